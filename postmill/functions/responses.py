@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from postmill.functions.bind import bind
 
-# A JSON string body: plain characters with escapes in between. Possessive, so it never backtracks.
-_BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
-_PAIR = rf'"{_BODY}"\s*:\s*"({_BODY})(?:"|\s*\}}\z)'
+# A JSON string body: plain characters with escapes in between. Possessive, so it never backtracks. The object
+# ends at its first closing brace, so no body holds one.
+_BODY = r'[^"\\}]*+(?:\\[^}][^"\\}]*+)*+'
+_PAIR = rf'"{_BODY}"\s*:\s*"({_BODY})(?:"|\}}\z)'
 
 
 def extract_response_text(body: Column | str) -> Column:

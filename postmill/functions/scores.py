@@ -46,12 +46,12 @@ def softmax(logits: Column | str) -> Column:
 
 
 def topk(values: Column | str, k: int = 5) -> Column:
-    """The ``k`` largest entries as ``(index, value)`` records, largest first, lower index first among equals."""
+    """The ``k`` largest entries as ``(id, value)`` records, largest first, lower id first among equals."""
     ranked = F.array_sort(
-        F.transform(_col(values), lambda x, i: F.struct((-x).alias("order"), i.alias("index"), x.alias("value")))
+        F.transform(_col(values), lambda x, i: F.struct((-x).alias("order"), i.alias("id"), x.alias("value")))
     )
     return F.transform(
-        F.slice(ranked, 1, k), lambda r: F.struct(r["index"].alias("index"), r["value"].alias("value"))
+        F.slice(ranked, 1, k), lambda r: F.struct(r["id"].alias("id"), r["value"].alias("value"))
     )
 
 

@@ -27,6 +27,10 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+# Not declared deterministic, or a filter on the decoded text would be pushed down with a second call in it.
+_unescape = _unescape.asNondeterministic()
+
+
 def unescape_html(text: Column | str) -> Column:
     """Decode HTML entities. Texts without ``&`` reach Python as NULL, so they cost no transfer."""
     text = _col(text)

@@ -103,13 +103,14 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return merged
 
 
-def drop_exact_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Distinct rows; with ``subset``, distinct on those columns only, other columns dropped."""
-    return (df if subset is None else df.select(*subset)).dropDuplicates()
+def drop_exact_rows(df: DataFrame, id_col: str | None = None) -> DataFrame:
+    """Distinct rows; with ``id_col``, distinct on all other columns, under the lowest id of each set of copies."""
+    if id_col is None:
+        return df.dropDuplicates()
+    others = [c for c in df.columns if c != id_col]
+    return df.groupBy(*others).agg(F.min(id_col).alias(id_col)).select(*df.columns)
 
 
-def clean_main(df: DataFrame, text_col: str = "tweet", label_col: str = "sentiment") -> DataFrame:
+def clean_main(df: DataFrame, text_col: str = "tweet", label_col: str = "sentiment", id_col: str | None = None) -> DataFrame:
     """Distinct rows that have both a text and a label. The null filter runs first: it shrinks the shuffle."""
-    return drop_exact_rows(drop_missing(df, [text_col, label_col]))
-
-
+    return drop_exact_rows(drop_missing(df, [text_col, label_col]), id_col)
