@@ -34,9 +34,10 @@ def encode_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     meet the vocabulary in one join, and the walk over the matches stays in the row of the word.
     """
     unk = vocab.where(F.col("token") == UNK).select(F.col("id").alias("unk"))
+    longest_token = vocab.agg(F.max(F.length("token"))).first()[0]
     size = F.length("word")
     starts = F.explode(F.sequence(F.lit(1), size))
-    ends = F.explode(F.sequence(F.lit(1), size - F.col("start") + 1))
+    ends = F.explode(F.sequence(F.lit(1), F.least(size - F.col("start") + 1, F.lit(longest_token))))
     piece = F.concat(F.when(F.col("start") == 1, "").otherwise("##"), F.substring("word", F.col("start"), F.col("len")))
     pieces = (
         words.where((size > 0) & (size <= MAX_WORD))

@@ -151,8 +151,9 @@ def oversample(df: DataFrame, id_col: str, label_col: str = "label", seed: int =
     spread over all tasks before they are expanded.
     """
     draws = materialise(oversample_draws(df, id_col, label_col, seed), "draws")
-    first = F.explode(F.sequence(F.lit(0), F.least(F.coalesce("copies", F.lit(0)), F.lit(COPIES_PER_ROW)).cast("int")))
-    balanced = df.join(draws, id_col, "left").withColumn("copy", first.cast("long")).drop("copies")
+    here = F.least(F.coalesce("copies", F.lit(0)), F.lit(COPIES_PER_ROW)).cast("long")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), here))
+    balanced = df.join(draws, id_col, "left").withColumn("copy", first).drop("copies")
     heavy = draws.where(F.col("copies") > COPIES_PER_ROW)
     if heavy.isEmpty():
         return balanced

@@ -14,8 +14,8 @@ from postmill.sources.scratch import hadoop_fs
 POSTS = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType())])
 TWEETS = T.StructType([T.StructField("tweet", T.StringType()), T.StructField("sentiment", T.IntegerType())])
 
-# Posts hold quotes, commas and newlines, so the CSV dialect doubles quotes and lets a record span lines.
-_CSV = {"quote": '"', "escape": '"', "multiLine": True}
+# Quotes inside a CSV value are doubled.
+_CSV = {"quote": '"', "escape": '"'}
 
 
 def read_posts(
@@ -24,8 +24,12 @@ def read_posts(
     format: str = "parquet",
     schema: T.StructType | str | None = None,
     header: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Read posts from parquet, CSV or JSON lines. CSV and JSON need a schema: inference is a second full read."""
+    """Read posts from parquet, CSV or JSON lines. CSV and JSON need a schema: inference is a second full read.
+
+    A CSV record may span lines. Without ``multi_line`` it may not, and Spark can split a large file.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
     paths = [path] if isinstance(path, str) else list(path)
     if format == "parquet":
@@ -33,7 +37,7 @@ def read_posts(
     if schema is None:
         raise ValueError(f"reading {format} needs a schema")
     if format == "csv":
-        return reader.options(header=header, **_CSV).csv(paths)
+        return reader.options(header=header, multiLine=multi_line, **_CSV).csv(paths)
     if format == "json":
         return reader.json(paths)
     raise ValueError(f"unknown format {format!r}")
@@ -52,7 +56,7 @@ def write_posts(
     if format == "parquet":
         writer.parquet(path)
     elif format == "csv":
-        writer.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+        writer.options(header=True, **_CSV).csv(path)
     elif format == "json":
         writer.json(path)
     else:
