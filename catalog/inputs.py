@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import text as tx
 from postmill.operators.encode import SPECIAL
+from postmill.sources.scratch import spread
 
 # Sources that stand in for the human-labelled corpus; all others stand in for the synthetic one.
 HUMAN_SOURCES = [f"src{i}" for i in range(10)]
@@ -48,7 +49,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn four times, dressed up the way a generator dresses posts."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     tag = F.concat(F.lit(" #"), "role")
     variants = {
         "marked": F.concat(F.lit("1. 2. "), "text", tag, tag),
@@ -75,10 +76,10 @@ def generator_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Special tokens, the words of ``benchmark``, and every character of ``documents`` as start and as rest."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(tx.words("text")).alias("w")).select(F.lower("w").alias("token"))
-    chars = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c"))
-    chars = chars.where("c <> ''").distinct()
+    """Special tokens, and the words and characters of ``benchmark``, characters as start and as rest of a word."""
+    items = table(spark, sf_dir, "benchmark").select(F.lower("text").alias("text"))
+    words = items.select(F.explode(tx.words("text")).alias("token"))
+    chars = items.select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").distinct()
     pieces = chars.select(F.col("c").alias("token")).unionByName(chars.select(F.concat(F.lit("##"), "c").alias("token")))
     tokens = words.unionByName(pieces).distinct().where(~F.col("token").isin(SPECIAL))
     # As long as the vocabulary of a few benchmark items and an alphabet, so one task can number it.

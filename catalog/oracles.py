@@ -226,7 +226,7 @@ def encoded(max_len: int) -> str:
     body = max_len - 2
     return f"""
         WITH RECURSIVE
-        chars AS (SELECT DISTINCT unnest(list_distinct(string_split(lower(text), ''))) AS c FROM documents),
+        chars AS (SELECT DISTINCT unnest(string_split(lower(text), '')) AS c FROM benchmark),
         tokens AS (SELECT c AS token FROM chars WHERE c <> '' UNION SELECT '##' || c FROM chars WHERE c <> ''
                    UNION SELECT lower(unnest(regexp_extract_all(text, '[^{WS}]+'))) FROM benchmark),
         vocab AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY token) + {len(SPECIAL) - 1} AS id FROM tokens WHERE token NOT IN ({special})

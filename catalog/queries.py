@@ -12,7 +12,7 @@ from postmill.functions import fixed, labels as lb, scores, text as tx
 from postmill.operators import corpus, encode, generated, metrics, models, neardup, sampling, synonyms
 from postmill.plans import curation, evaluation, preparation
 from postmill.sources import files
-from postmill.sources.scratch import scratch_path
+from postmill.sources.scratch import scratch_path, spread
 from postmill.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,7 +490,7 @@ def encode_corpus(spark, d):
 @query
 def mlm_mask(spark, d):
     lengths = F.transform(tx.space_tokens("text"), lambda t: F.length(t))
-    tokens = _documents(spark, d).select("doc_id", lengths.alias("input_ids"))
+    tokens = spread(_documents(spark, d).select("doc_id", "text")).select("doc_id", lengths.alias("input_ids"))
     masked = encode.mlm_mask(tokens, "doc_id", vocab_size=1000, mask_id=999, special_ids=[0, 1])
     return masked.select("doc_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("input_ids", "labels")])
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from postmill.functions import fixed
+from postmill.functions.bind import bind
 
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
@@ -130,3 +131,20 @@ def reject_reason(tidied: Column | str) -> Column:
         .when(is_tags_only(tidied), "tags_only")
         .when(~has_words(tidied, 3), "too_short")
     )
+
+
+def verdict(text: Column | str, strict_emoji: bool = False) -> Column:
+    """``(cleaned, reject_reason)`` of a generated post; exactly one of the two is NULL."""
+    unmarked = collapse_repeated_emoji(strip_list_marker(text), strict_emoji)
+    return bind(
+        strip_list_marker(drop_chars(unmarked)),
+        lambda base: bind(
+            dedupe_tags(base),
+            lambda tidied: bind(
+                reject_reason(tidied),
+                lambda reason: F.struct(
+                    F.when(reason.isNull(), strip(tidied)).alias("cleaned"), reason.alias("reject_reason")
+                ),
+            ),
+        ),
+    )

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import fixed, text as tx
+from postmill.functions.bind import bind
 from postmill.operators.sampling import hash_number
 from postmill.operators.skew import attach
-from postmill.sources.scratch import materialise
+from postmill.sources.scratch import materialise, spread
 
 PAD, UNK, CLS, SEP, MASK = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"
 SPECIAL = [PAD, UNK, CLS, SEP, MASK, fixed.USER_TOKEN, fixed.URL_TOKEN]
@@ -19,10 +20,12 @@ MAX_LEN = 512
 _WORDS = rf"{fixed.USER_TOKEN}|\[URL\]|[{tx.WORD}\p{{M}}]++|[^{tx.SPACE}]"
 
 
-def split_words(text: Column | str) -> Column:
+def split_words(text: Column | str, limit: int | None = None) -> Column:
+    """Lower-case words and symbols of a text, the first ``limit`` of them."""
     text = F.col(text) if isinstance(text, str) else text
+    found = F.regexp_extract_all(text, F.lit(_WORDS), 0)
     return F.transform(
-        F.regexp_extract_all(text, F.lit(_WORDS), 0),
+        found if limit is None else F.slice(found, 1, limit),
         lambda w: F.when(w.isin(fixed.USER_TOKEN, fixed.URL_TOKEN), w).otherwise(F.lower(w)),
     )
 
@@ -30,14 +33,14 @@ def split_words(text: Column | str) -> Column:
 def encode_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(word, ids)`` for distinct words: greedy longest match from the left, ``[UNK]`` if a rest has no match.
 
-    ``vocab`` has rows ``(token, id)``; a token that continues a word starts with ``##``. All pieces of a word
-    meet the vocabulary in one join, and the walk over the matches stays in the row of the word.
+    ``vocab`` is a stored table ``(token string, id int)``, so that Catalyst knows its size; a token that
+    continues a word starts with ``##``. All pieces of a word meet the vocabulary in one join. With a
+    vocabulary small enough to broadcast, everything after ``distinct`` runs in one stage.
     """
-    unk = vocab.where(F.col("token") == UNK).select(F.col("id").alias("unk"))
-    longest_token = vocab.agg(F.max(F.length("token"))).first()[0]
+    unk, longest = vocab.agg(F.max(F.when(F.col("token") == UNK, F.col("id"))), F.max(F.length("token"))).first()
     size = F.length("word")
     starts = F.explode(F.sequence(F.lit(1), size))
-    ends = F.explode(F.sequence(F.lit(1), F.least(size - F.col("start") + 1, F.lit(longest_token))))
+    ends = F.explode(F.sequence(F.lit(1), F.least(size - F.col("start") + 1, F.lit(longest))))
     piece = F.concat(F.when(F.col("start") == 1, "").otherwise("##"), F.substring("word", F.col("start"), F.col("len")))
     pieces = (
         words.where((size > 0) & (size <= MAX_WORD))
@@ -45,23 +48,28 @@ def encode_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
         .withColumn("len", ends)
         .withColumn("token", piece)
     )
-    longest = pieces.join(vocab, "token").groupBy("word", "start").agg(F.max(F.struct("len", "id")).alias("hit"))
-    matches = longest.groupBy("word").agg(
-        F.map_from_entries(F.collect_list(F.struct("start", "hit"))).alias("hits")
-    )
+    # Length in front of id in one number: a long is aggregated by hash, a struct by sorting.
+    code = F.shiftleft(F.col("len").cast("long"), 32) + F.col("id")
+    best = pieces.join(vocab, "token").groupBy("word", "start").agg(F.max(code).alias("code"))
+    matches = best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("start", "code"))).alias("hits"))
 
     def step(state, start):
-        hit = F.element_at(F.col("hits"), start)
-        moved = F.struct((start + hit["len"]).alias("at"), F.array_append(state["ids"], hit["id"]).alias("ids"))
-        return F.when((state["at"] == start) & hit.isNotNull(), moved).otherwise(state)
+        moved = bind(
+            F.element_at(F.col("hits"), start),
+            lambda hit: F.when(
+                hit.isNotNull(),
+                F.struct(
+                    (start + F.shiftright(hit, 32)).cast("int").alias("at"),
+                    F.array_append(state["ids"], hit.bitwiseAND(0xFFFFFFFF).cast("int")).alias("ids"),
+                ),
+            ).otherwise(state),
+        )
+        return F.when(state["at"] == start, moved).otherwise(state)
 
     begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("ids"))
-    walked = F.aggregate(F.sequence(F.lit(1), size), begin, step)
-    done = F.when(F.col("walk.at") == size + 1, F.col("walk.ids"))
-    found = matches.withColumn("walk", walked).select("word", done.alias("ids"))
-    return words.join(found, "word", "left").select(
-        "word", F.coalesce("ids", F.array(unk.scalar())).alias("ids")
-    )
+    walked = matches.withColumn("walk", F.aggregate(F.sequence(F.lit(1), size), begin, step))
+    found = walked.select("word", F.when(F.col("walk.at") == size + 1, F.col("walk.ids")).alias("ids"))
+    return words.join(found, "word", "left").select("word", F.coalesce("ids", F.array(F.lit(unk))).alias("ids"))
 
 
 def encode_corpus(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text", max_len: int = MAX_LEN) -> DataFrame:
@@ -70,16 +78,19 @@ def encode_corpus(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str =
     Words are encoded once per distinct word. Every word gives at least one id, so only the first
     ``max_len - 2`` words of a text can appear in its encoding and only these are looked up.
     """
-    vocab = vocab.select(F.col("token"), F.col("id").cast("int").alias("id"))
+    vocab = materialise(vocab.select("token", F.col("id").cast("int").alias("id")), "vocabulary")
     special = {row.token: row.id for row in vocab.where(F.col("token").isin(SPECIAL)).collect()}
     missing = {PAD, UNK, CLS, SEP} - special.keys()
     if missing:
         raise ValueError(f"vocabulary lacks {sorted(missing)}")
     occurrences = materialise(
-        df.select(id_col, F.posexplode(F.slice(split_words(text_col), 1, max_len - 2)).alias("pos", "word")), "words"
+        spread(df.select(id_col, text_col)).select(
+            id_col, F.posexplode(split_words(text_col, max_len - 2)).alias("pos", "word")
+        ),
+        "words",
     )
     table = materialise(encode_words(occurrences.select("word").distinct(), vocab), "encoded-words")
-    pieces = attach(occurrences, table, "word", "inner")
+    pieces = attach(occurrences, table, "word", "inner", occurrences.count())
     rows = pieces.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_pieces"))
     body = F.slice(F.flatten(F.transform("_pieces", lambda p: p["ids"])), 1, max_len - 2)
     empty = F.array().cast("array<int>")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import fixed, responses, text as tx
+from postmill.functions.bind import with_once
 from postmill.functions.labels import decode_labels
 from postmill.operators.sampling import sample_per_class
 from postmill.sources.files import split_accepted_rejected
@@ -46,23 +47,10 @@ def few_shot_prompts(
     )
 
 
-def _tidy(text: Column | str, strict_emoji: bool = False) -> Column:
-    unmarked = tx.collapse_repeated_emoji(tx.strip_list_marker(text), strict_emoji)
-    return tx.strip_list_marker(tx.drop_chars(unmarked))
-
-
 def with_verdict(df: DataFrame, text_col: str = "text", strict_emoji: bool = False) -> DataFrame:
-    """Add ``cleaned`` and ``reject_reason``; exactly one of the two is NULL.
-
-    Each rewrite is its own projection, since later expressions name its result several times.
-    """
-    return (
-        df.withColumn("_tidied", _tidy(text_col, strict_emoji))
-        .withColumn("_tidied", tx.dedupe_tags("_tidied"))
-        .withColumn("reject_reason", tx.reject_reason("_tidied"))
-        .withColumn("cleaned", F.when(F.col("reject_reason").isNull(), tx.strip("_tidied")))
-        .drop("_tidied")
-    )
+    """Add ``cleaned`` and ``reject_reason``; exactly one of the two is NULL."""
+    judged = with_once(df, "_verdict", tx.verdict(text_col, strict_emoji))
+    return judged.select(*df.columns, "_verdict.cleaned", "_verdict.reject_reason")
 
 
 def clean_generated(df: DataFrame, text_col: str = "text", strict_emoji: bool = False) -> DataFrame:
@@ -74,23 +62,16 @@ def clean_generated(df: DataFrame, text_col: str = "text", strict_emoji: bool =
 def parse_posts(df: DataFrame, generated_col: str = "generated") -> DataFrame:
     """Add ``posts``: the usable posts of a generated text as ``(position, post)`` records, in order.
 
-    The posts of a response are cleaned as an array on their row, so a response needs no shuffle to come back
+    The posts of a response are judged as an array on their row, so a response needs no shuffle to come back
     together.
     """
-    values = F.transform(responses.response_values(generated_col), lambda v, i: F.struct(i.alias("position"), v.alias("post")))
-
-    def rewrite(step):
-        return F.transform("_posts", lambda p: F.struct(p["position"].alias("position"), step(p["post"]).alias("post")))
-
-    usable = F.filter("_posts", lambda p: tx.reject_reason(p["post"]).isNull())
-    return (
-        df.withColumn("_posts", values)
-        .withColumn("_posts", rewrite(_tidy))
-        .withColumn("_posts", rewrite(tx.dedupe_tags))
-        .withColumn("_posts", usable)
-        .withColumn("posts", rewrite(tx.strip))
-        .drop("_posts")
+    judged = F.transform(
+        responses.response_values(generated_col),
+        lambda v, i: F.struct(i.alias("position"), tx.verdict(v).alias("verdict")),
     )
+    usable = F.filter(judged, lambda p: p["verdict"]["reject_reason"].isNull())
+    posts = F.transform(usable, lambda p: F.struct(p["position"].alias("position"), p["verdict"]["cleaned"].alias("post")))
+    return with_once(df, "posts", posts)
 
 
 def parse_responses(df: DataFrame, body_col: str = "body") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import fixed
+from postmill.sources.scratch import spread
 
 # Fixed values of the signature scheme.
 MERSENNE_PRIME = (1 << 61) - 1
@@ -96,7 +97,7 @@ def minhash_signature(df: DataFrame, text_col: str = "text", num_perm: int = fix
         signed = iter(minima(np.array(hashes, dtype=np.uint64), np.array(starts), num_perm).astype(np.int64))
         return pd.Series([next(signed) if ok else None for ok in known])
 
-    return df.withColumn("signature", sign(F.col(text_col)))
+    return spread(df).withColumn("signature", sign(F.col(text_col)))
 
 
 @lru_cache(maxsize=None)

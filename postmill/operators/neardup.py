@@ -16,7 +16,7 @@ from postmill.operators import minhash
 from postmill.operators.components import connected_components
 from postmill.operators.corpus import drop_ids
 from postmill.operators.skew import attach
-from postmill.sources.scratch import materialise, spread
+from postmill.sources.scratch import materialise
 
 SALTS = 4_096
 ROWS_PER_SALT = 100_000
@@ -28,7 +28,7 @@ def _bands(df: DataFrame, id_col: str, text_col: str, threshold: float, num_perm
         bands, rows = minhash.best_bands(threshold, num_perm)
     if bands * rows > num_perm:
         raise ValueError("bands * rows exceeds the number of permutations")
-    signed = minhash.minhash_signature(spread(df.select(id_col, text_col).dropna()), text_col, num_perm)
+    signed = minhash.minhash_signature(df.select(id_col, text_col).dropna(), text_col, num_perm)
     return materialise(minhash.band_keys(signed, id_col, bands, rows), "bands")
 
 

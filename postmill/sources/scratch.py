@@ -42,7 +42,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows on all cores, for a CPU-bound step over a table of fewer files than cores; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+    return df.repartition(cores, *df.columns) if 0 < len(df._jdf.inputFiles()) < cores else df
 
 
 def hadoop_fs(spark: SparkSession, path: str):
