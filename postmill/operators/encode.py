@@ -42,8 +42,11 @@ def encode_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(1), size))
     ends = F.explode(F.sequence(F.lit(1), F.least(size - F.col("start") + 1, F.lit(longest))))
     piece = F.concat(F.when(F.col("start") == 1, "").otherwise("##"), F.substring("word", F.col("start"), F.col("len")))
+    # Words are small but grow into all their pieces, so their partitions must not be merged by size.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = (
         words.where((size > 0) & (size <= MAX_WORD))
+        .repartition(tasks, "word")
         .withColumn("start", starts)
         .withColumn("len", ends)
         .withColumn("token", piece)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import fixed, text as tx
+from postmill.functions.bind import with_once
 from postmill.functions.labels import remap_labels
 from postmill.operators.corpus import (
     TWEET_NAMES,
@@ -35,7 +36,7 @@ def normalise_corpus(df: DataFrame, id_col: str, keep: Sequence[str] = (), casht
     the dedup: copies have the same length, so the result is the same and the shuffle smaller.
     """
     posts = drop_missing(project_text_label(df, [id_col, *keep]), ["text"])
-    masked = posts.withColumn("text", tx.preprocess_text("text", cashtags))
+    masked = with_once(posts, "text", tx.preprocess_text("text", cashtags))
     return keep_first(min_words(masked, 2), "text", id_col)
 
 

@@ -28,7 +28,7 @@ def read_posts(
 ) -> DataFrame:
     """Read posts from parquet, CSV or JSON lines. CSV and JSON need a schema: inference is a second full read.
 
-    A CSV record may span lines. Without ``multi_line`` it may not, and Spark can split a large file.
+    CSV does not tell an empty text from a missing one; both are read as NULL. A CSV record may span lines. Without ``multi_line`` it may not, and Spark can split a large file.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     paths = [path] if isinstance(path, str) else list(path)
