@@ -191,10 +191,12 @@ def prompts() -> str:
 
 
 def samples(requests: int) -> str:
+    n = fixed.EXAMPLES_PER_PROMPT
     return f"""
-        SELECT label, request, row_number() OVER (PARTITION BY label, request ORDER BY md5('0:' || request || ':' || doc_id), doc_id) - 1 AS position, doc_id, text
-        FROM ({LABELLED}), (SELECT unnest(range({requests})) AS request)
-        QUALIFY position < {fixed.EXAMPLES_PER_PROMPT}"""
+        SELECT label, request, position, doc_id, text
+        FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || doc_id), doc_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS size FROM ({LABELLED})),
+             (SELECT unnest(range({requests})) AS request), (SELECT unnest(range({n})) AS position)
+        WHERE position < size AND r = (request * {n} + position) % size"""
 
 
 SYNONYMS = """

@@ -80,11 +80,13 @@ def near_duplicate_pairs(
 ) -> DataFrame:
     """``(id, leader, jaccard)``: texts that meet the lowest id of one of their buckets and are similar to it.
 
-    The similarity is exact, over the tokens between single spaces. A leader's tokens are copied once per
+    The similarity is exact, over the tokens between single spaces; only linked texts are tokenised. A leader's tokens are copied once per
     100,000 links of its bucket, so the links of a hot leader are checked by many tasks.
     """
     links = materialise(_leader_links(_bands(df, id_col, text_col, threshold, num_perm, bands, rows)), "links")
-    tokens = df.select(F.col(id_col).alias("id"), F.array_distinct(tx.space_tokens(text_col)).alias("tokens"))
+    linked = links.select(F.explode(F.array("id", "leader")).alias("id")).distinct()
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(linked, "id", "left_semi")
+    tokens = materialise(texts.select("id", F.array_distinct(tx.space_tokens("text")).alias("tokens")), "tokens")
     copies = F.floor(F.col("n") / ROWS_PER_SALT)
     leaders = (
         links.groupBy("leader", "n").agg(F.count("*").alias("_links"))

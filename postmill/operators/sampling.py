@@ -175,17 +175,28 @@ def sample_per_class(
 ) -> DataFrame:
     """``(label, request, position, id)``: ``n`` rows of every class for each request, drawn without replacement.
 
-    Ranking reads ids and labels only, and every map task keeps at most ``n`` rows per class and request
-    before the shuffle.
+    Requests take turns along one seeded order of the class and start over at its end, so they share rows only
+    when a class has fewer than ``n * requests``. A histogram over hash prefixes tells how far into the order
+    that reaches; rows beyond are filtered out and only the few others are ranked. A class with fewer than
+    ``n`` rows gives all of them to every request.
     """
-    request = F.explode(F.sequence(F.lit(0), F.lit(requests - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("request").cast("string"), F.col(id_col).cast("string")))
-    order = Window.partitionBy(label_col, "request").orderBy("_key", id_col)
-    return (
-        df.where(F.col(label_col).isNotNull())
-        .select(id_col, label_col, request.alias("request"))
-        .withColumn("_key", key)
-        .withColumn("_row", F.row_number().over(order))
-        .where(F.col("_row") <= n)
-        .select(label_col, "request", (F.col("_row") - 1).alias("position"), id_col)
+    most = n * requests
+    keyed = df.where(F.col(label_col).isNotNull()).select(id_col, label_col, seeded_key(id_col, seed).alias("_key"))
+    keyed = keyed.withColumn("_bucket", F.substring("_key", 1, CLASS_PREFIX))
+    upto = F.sum("_n").over(Window.partitionBy(label_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    hist = keyed.groupBy(label_col, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", upto - F.col("_n"))
+    reach = hist.groupBy(label_col).agg(
+        F.max(F.when(F.col("_before") < most, F.col("_bucket"))).alias("last"), F.sum("_n").alias("size")
     )
+    classes = reach.collect()  # one row per class
+    if not classes:
+        return keyed.select(label_col, F.lit(0).alias("request"), F.lit(0).alias("position"), id_col)
+    near = reduce(lambda a, b: a | b, [(F.col(label_col) == c[label_col]) & (F.col("_bucket") <= c["last"]) for c in classes])
+    order = Window.partitionBy(label_col).orderBy("_key", id_col)
+    ranked = keyed.where(near).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    turns = [
+        (c[label_col], r, p, (r * n + p) % c["size"] + 1) for c in classes for r in range(requests) for p in range(min(n, c["size"]))
+    ]
+    label_type = df.schema[label_col].dataType.simpleString()
+    schedule = df.sparkSession.createDataFrame(turns, f"`{label_col}` {label_type}, request int, position int, _rank int")
+    return ranked.join(schedule, [label_col, "_rank"]).select(label_col, "request", "position", id_col)

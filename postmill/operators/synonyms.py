@@ -27,19 +27,18 @@ def synonym_oversample(
 
     ``synonyms`` has rows ``(token, synonym)``. Of the words that have a synonym, 30 % of the text's words, but
     one at least and ten at most, are replaced; choice and order follow the seed. Originals are unchanged.
-    Each text is split once however often it is drawn; copies carry only the replaced words.
+    A text's words meet the synonyms once, however often it is drawn.
     """
     balanced = oversample(df, id_col, label_col, seed)
-    originals, copies = balanced.where("copy = 0"), balanced.where("copy > 0")
-    drawn = materialise(copies.select(id_col, "copy"), "copies")
+    originals, copies = balanced.where("copy = 0"), materialise(balanced.where("copy > 0"), "copies")
     choices = synonyms.groupBy("token").agg(F.array_sort(F.collect_set("synonym")).alias("choices"))
     occurrences = materialise(
-        df.join(drawn.select(id_col).distinct(), id_col, "left_semi").select(
-            id_col, F.posexplode(F.split(text_col, " ", -1)).alias("pos", "_word")
-        ).select(id_col, "pos", F.lower("_word").alias("token")),
+        copies.where("copy = 1")
+        .select(id_col, F.posexplode(F.split(text_col, " ", -1)).alias("pos", "_word"))
+        .select(id_col, "pos", F.lower("_word").alias("token")),
         "words",
     )
-    known = attach(occurrences, choices, "token", "inner")
+    known = attach(occurrences, choices, "token", "inner", occurrences.count())
     slots = known.groupBy(id_col).agg(F.collect_list(F.struct("pos", "choices")).alias("slots"))
     tag = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("copy").cast("string"))
 
@@ -55,8 +54,7 @@ def synonym_oversample(
         )
     )
     rewritten = (
-        df.join(drawn, id_col)
-        .join(slots, id_col, "left")
+        attach(copies, slots, id_col, "left", copies.count())
         .withColumn("_tag", tag)
         .withColumn("_words", F.split(text_col, " ", -1))
         .withColumn("_chosen", F.slice(order, 1, wanted))

@@ -90,7 +90,11 @@ def test_sample_per_class(spark):
     groups = Counter((r.label, r.request) for r in out)
     assert set(groups.values()) == {4} and len(groups) == 6
     assert all(r.id % 2 == r.label for r in out)
-    assert len({frozenset(r.id for r in out if (r.label, r.request) == (0, q)) for q in range(3)}) > 1
+    assert len({r.id for r in out}) == 24
+    few = sampling.sample_per_class(df, "id", n=20, requests=3).collect()
+    assert Counter((r.label, r.request) for r in few) == {(c, q): 20 for c in (0, 1) for q in range(3)}
+    assert all(len({r.id for r in few if (r.label, r.request) == (1, q)}) == 20 for q in range(3))
+    assert sampling.sample_per_class(df.where("id < 0"), "id").count() == 0
 
 
 def test_synonym_copies(spark):
