@@ -73,33 +73,56 @@ def minima(hashes: np.ndarray, starts: np.ndarray, num_perm: int) -> np.ndarray:
     return out
 
 
+def signatures(texts: pd.Series, num_perm: int) -> np.ndarray:
+    """One row per text, none of which may be missing."""
+    memo: dict[str, int] = {}
+    hashes: list[int] = []
+    starts = [0]
+    for text in texts:
+        for token in set(text.split(" ")):
+            h = memo.get(token)
+            if h is None:
+                if len(memo) >= _MEMO:
+                    memo.clear()
+                h = memo[token] = token_hash(token)
+            hashes.append(h)
+        starts.append(len(hashes))
+    return minima(np.array(hashes, dtype=np.uint64), np.array(starts), num_perm)
+
+
 def minhash_signature(df: DataFrame, text_col: str = "text", num_perm: int = fixed.NUM_PERM) -> DataFrame:
-    """Add ``signature``: one minimum per permutation over the tokens between single spaces.
+    """Add ``signature``: one minimum per permutation over the tokens between single spaces; NULL for a NULL text.
 
     Only the text reaches Python, in Arrow batches; hashing is vectorised over all tokens of a batch.
     """
 
     @F.pandas_udf("array<long>")
     def sign(texts: pd.Series) -> pd.Series:
-        memo: dict[str, int] = {}
-        hashes: list[int] = []
-        starts = [0]
-        known = texts.notna().to_numpy()
-        for text in texts[known]:
-            for token in set(text.split(" ")):
-                h = memo.get(token)
-                if h is None:
-                    if len(memo) >= _MEMO:
-                        memo.clear()
-                    h = memo[token] = token_hash(token)
-                hashes.append(h)
-            starts.append(len(hashes))
-        signed = iter(minima(np.array(hashes, dtype=np.uint64), np.array(starts), num_perm).astype(np.int64))
+        known = texts.notna()
+        signed = iter(signatures(texts[known], num_perm).astype(np.int64))
         return pd.Series([next(signed) if ok else None for ok in known])
 
     return spread(df).withColumn("signature", sign(F.col(text_col)))
 
 
+def band_keys(
+    df: DataFrame, id_col: str, bands: int, rows: int, text_col: str = "text", num_perm: int = fixed.NUM_PERM
+) -> DataFrame:
+    """``(id, key)``, one 16-byte key per band of each text's signature; equal keys mean equal bands.
+
+    Keys are cut from the signature where it is computed, so the signature itself does not travel.
+    """
+
+    @F.pandas_udf("array<binary>")
+    def keys(texts: pd.Series) -> pd.Series:
+        signed = np.ascontiguousarray(signatures(texts, num_perm))
+        cuts = [(bytes([i]), i * rows, (i + 1) * rows) for i in range(bands)]
+        return pd.Series([[hashlib.md5(name + row[lo:hi].tobytes()).digest() for name, lo, hi in cuts] for row in signed])
+
+    texts = spread(df.select(F.col(id_col).alias("id"), text_col).where(F.col(text_col).isNotNull()))
+    return texts.select("id", F.explode(keys(F.col(text_col))).alias("key"))
+
+
 @lru_cache(maxsize=None)
 def best_bands(threshold: float = fixed.THRESHOLD, num_perm: int = fixed.NUM_PERM, fp: float = 0.5, fn: float = 0.5) -> tuple[int, int]:
     """Bands and rows per band that minimise the weighted area of false positives and false negatives."""
@@ -113,12 +136,3 @@ def best_bands(threshold: float = fixed.THRESHOLD, num_perm: int = fixed.NUM_PER
             misses = np.mean((1 - above**rows) ** bands) * (1 - threshold)
             best = min(best, (fp * false_hits + fn * misses, bands, rows))
     return best[1], best[2]
-
-
-def band_keys(df: DataFrame, id_col: str, bands: int, rows: int) -> DataFrame:
-    """``(id, key)``, one row per band of the signature; equal keys mean equal bands."""
-    parts = [
-        F.unhex(F.md5(F.concat(F.lit(f"{i}:"), F.array_join(F.slice("signature", i * rows + 1, rows).cast("array<string>"), ","))))
-        for i in range(bands)
-    ]
-    return df.select(F.col(id_col).alias("id"), F.explode(F.array(*parts)).alias("key")).where("key is not null")

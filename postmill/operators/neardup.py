@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from postmill.functions import fixed, text as tx
 from postmill.operators import minhash
 from postmill.operators.components import connected_components
-from postmill.operators.corpus import drop_ids, drop_missing
+from postmill.operators.corpus import drop_ids
 from postmill.operators.skew import attach
 from postmill.sources.scratch import materialise
 
@@ -28,8 +28,7 @@ def _bands(df: DataFrame, id_col: str, text_col: str, threshold: float, num_perm
         bands, rows = minhash.best_bands(threshold, num_perm)
     if bands * rows > num_perm:
         raise ValueError("bands * rows exceeds the number of permutations")
-    signed = minhash.minhash_signature(drop_missing(df.select(id_col, text_col), [text_col]), text_col, num_perm)
-    return materialise(minhash.band_keys(signed, id_col, bands, rows), "bands")
+    return materialise(minhash.band_keys(df, id_col, bands, rows, text_col, num_perm), "bands")
 
 
 def _bucket_links(bands: DataFrame) -> tuple[DataFrame, DataFrame]:

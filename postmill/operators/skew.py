@@ -16,7 +16,7 @@ def attach(
     on: str | Sequence[str],
     how: str = "left",
     big_rows: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join ``small``, which has one row per key, onto ``big``.
 
@@ -28,6 +28,7 @@ def attach(
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     on = [on] if isinstance(on, str) else list(on)
     if big_rows is not None and big_rows < hot_rows:
         return big.join(small, on, how)

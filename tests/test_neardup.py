@@ -162,7 +162,7 @@ def shapes():
 
 @pytest.mark.parametrize("shape", shapes())
 def test_components(spark, monkeypatch, shape):
-    monkeypatch.setattr(skew, "HOT_ROWS", 1)
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
     edges = shapes()[shape]
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.id: r.component for r in components.connected_components(df).collect()}
