@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import text as tx
@@ -83,8 +83,6 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = chars.select(F.col("c").alias("token")).unionByName(chars.select(F.concat(F.lit("##"), "c").alias("token")))
     tokens = words.unionByName(pieces).distinct().where(~F.col("token").isin(SPECIAL))
     # As long as the vocabulary of a few benchmark items and an alphabet, so one task can number it.
-    from pyspark.sql import Window
-
     numbered = tokens.select("token", (F.row_number().over(Window.orderBy("token")) + len(SPECIAL) - 1).alias("id"))
     special = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIAL)], "token string, id int")
     return special.unionByName(numbered)

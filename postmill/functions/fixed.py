@@ -19,6 +19,7 @@ LEAKED_LABELS = ["positive", "negative", "neutral"]
 # Code point ranges in which a repeated character is collapsed, in code point order.
 EMOJI_RANGES = [
     (0x24C2, 0x1F251),
+    (0x2702, 0x27B0),
     (0x1F1E0, 0x1F1FF),
     (0x1F300, 0x1F5FF),
     (0x1F600, 0x1F64F),

@@ -83,7 +83,7 @@ def strip_list_marker(text: Column | str) -> Column:
 def collapse_repeated_emoji(text: Column | str, strict: bool = False) -> Column:
     """Drop a symbol that repeats its predecessor. The default class also spans CJK; ``strict`` leaves it out."""
     ranges = [r for r in fixed.EMOJI_RANGES if not (strict and r[0] == 0x24C2)]
-    symbols = "\\x{2702}-\\x{27B0}" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
+    symbols = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
     return F.regexp_replace(_col(text), rf"([{symbols}])\1+", "$1")
 
 

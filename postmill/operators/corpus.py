@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import fixed, text as tx
+from postmill.functions.labels import encode_labels
 
 TWEET_NAMES = {"tweet": "text", "sentiment": "label"}
 SENTENCE_NAMES = {"sentence": "text"}
@@ -90,8 +91,6 @@ def merge_generated(main: DataFrame, generated: DataFrame, label_col: str = "sen
 
     Class names are encoded; labels that are codes already are kept.
     """
-    from postmill.functions.labels import encode_labels
-
     if generated.schema[label_col].dataType.typeName() == "string":
         code = encode_labels(label_col, dict(vocab or fixed.SENTIMENT_CODES))
         generated = generated.withColumn(label_col, code)

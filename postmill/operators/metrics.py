@@ -83,11 +83,10 @@ def confusion_matrix(df: DataFrame, true_col: str, pred_col: str, labels: Sequen
     if labels is None:
         both = counts.select(F.explode(F.array("true", "pred")).alias("label")).where("label is not null")
         labels = sorted(row.label for row in both.distinct().collect())
-    cells = counts.withColumn("n", F.col("n"))
     zeros = df.sparkSession.createDataFrame([(x,) for x in labels], counts.select("true").schema).select(
         "true", F.col("true").alias("pred"), F.lit(0).cast("long").alias("n")
     )
-    pivoted = cells.unionByName(zeros).groupBy("true").pivot("pred", list(labels)).agg(F.sum("n"))
+    pivoted = counts.unionByName(zeros).groupBy("true").pivot("pred", list(labels)).agg(F.sum("n"))
     return pivoted.na.fill(0).where(F.col("true").isin(list(labels)))
 
 

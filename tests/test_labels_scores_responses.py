@@ -2,7 +2,6 @@ import json
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from postmill.functions import labels, responses, scores
 from postmill.operators.generated import accepted_and_failed, few_shot_prompts, parse_posts, parse_responses
