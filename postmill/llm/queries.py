@@ -7,10 +7,13 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chat_format, token_counts
-from postmill.llm.common import read_table
+from postmill.llm import chat_format, mixing, quality, sharding, simhash, token_counts
+from postmill.llm.common import materialise, read_table
 
 CONTEXT = 512
+SHARDS = 24
+#: Target weights of the mixture; sources that are not named share the weight of ``*``.
+WEIGHTS = {"src0": 8, "src1": 4, "src2": 4, "src3": 2, "src4": 2, "src5": 2, "*": 8}
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +63,39 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), simhash.hex_code(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialise(read_table(spark, sf_dir, "documents").select("doc_id", "source"), "sources")
+    return mixing.mix_sources(rows, WEIGHTS)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = quality.fit_classifier(documents, read_table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(documents, model)
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", predicted.alias("predicted"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_sharding": op2_sharding,
     "op4_chat_format": op4_chat_format,
+    "op6_simhash": op6_simhash,
+    "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
