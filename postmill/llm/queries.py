@@ -7,11 +7,12 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chat_format, mixing, quality, sharding, simhash, token_counts
+from postmill.llm import chat_format, decontaminate, hamming, mixing, quality, sharding, simhash, token_counts
 from postmill.llm.common import materialise, read_table
 
 CONTEXT = 512
 SHARDS = 24
+NEIGHBOURS = 10
 #: Target weights of the mixture; sources that are not named share the weight of ``*``.
 WEIGHTS = {"src0": 8, "src1": 4, "src2": 4, "src3": 2, "src4": 2, "src5": 2, "*": 8}
 
@@ -22,6 +23,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
 
 
+def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    found = hamming.search_vectors(vectors, F.col("vec_id") % 100 == 0, NEIGHBOURS)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("neighbour_id"), F.col("distance").cast("long").alias("distance"))
+
+
+OP3_SQL = """
+WITH codes AS (
+  SELECT DISTINCT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END), '') AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64
+), pairs AS (
+  SELECT q.vec_id AS query_id, q.code AS query_code, c.vec_id AS neighbour_id, hamming(q.code, c.code) AS distance
+  FROM codes q, codes c WHERE q.vec_id % 100 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, query_code ORDER BY distance, neighbour_id) AS rank FROM pairs)
+SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
@@ -76,6 +95,33 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_code(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+OP7_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS key, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item, l, array_to_string(w[i:i + l - 1], ' ') AS win
+  FROM (SELECT item, w, least(len(w), 13) AS l, unnest(range(1, (len(w) - least(len(w), 13) + 2)::BIGINT)) AS i FROM item WHERE len(w) > 0)
+), text AS (SELECT DISTINCT key, w FROM doc),
+occ AS (
+  SELECT key, i, l, array_to_string(w[i:i + l - 1], ' ') AS win
+  FROM (SELECT key, w, l, unnest(range(1, (len(w) - l + 2)::BIGINT)) AS i FROM text, (SELECT DISTINCT l FROM win) WHERE len(w) >= l)
+), hit AS (SELECT occ.key, occ.i, occ.l, win.item FROM occ JOIN win ON occ.win = win.win AND occ.l = win.l),
+words_hit AS (SELECT key, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT key, unnest(range(i, i + l)) AS p FROM hit) GROUP BY key),
+items AS (SELECT key, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT key, item FROM hit) GROUP BY key)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN words_hit USING (key) LEFT JOIN items USING (key)
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(read_table(spark, sf_dir, "documents").select("doc_id", "source"), "sources")
     return mixing.mix_sources(rows, WEIGHTS)
@@ -92,12 +138,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op3_hamming_topk": op3_hamming_topk,
     "op4_chat_format": op4_chat_format,
     "op6_simhash": op6_simhash,
+    "op7_decontaminate": op7_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
 
 ORACLES = {
+    "op3_hamming_topk": OP3_SQL,
     "op4_chat_format": OP4_SQL,
+    "op7_decontaminate": OP7_SQL,
 }
