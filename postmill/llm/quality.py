@@ -13,8 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LABELLED = 4_000  # labelled rows the classifier is fitted on, at most
@@ -156,24 +157,26 @@ def fit_classifier(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return Classifier.fit(pairs, rows["label"].to_numpy())
 
 
-def score_quality(df: DataFrame, model: Classifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` of every row, from 0 to 1: the similarity-weighted share of label 1 among the nearest labelled texts.
+def quality_score(spark: SparkSession, model: Classifier | None, text_col: str = "text") -> Column:
+    """Score of a text from 0 to 1: the similarity-weighted share of label 1 among the nearest labelled texts.
 
-    The whole text is read and nothing but the text. A NULL text counts as empty and is scored like any short text.
-    Repeated rows give repeated results; rows with equal texts get equal scores. Without a model (no labels) every
-    score is 0.5. Other columns are not read. One narrow pass; the broadcast model is bounded by its parameters.
+    The whole text is read and nothing but the text. A NULL text counts as empty and is scored like any short text; rows
+    with equal texts get equal scores. Without a model (no labels) every score is 0.5. A narrow step; the broadcast
+    model is bounded by its parameters.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(F.col(id_col), F.col(text_col))
     if model is None:
-        return texts.select(F.col(id_col), F.lit(0.5).alias("score"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+        return F.lit(0.5)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        parts = [texts.iloc[lo : lo + ROW_BLOCK] for lo in range(0, len(texts), ROW_BLOCK)]
+        scores = [shared.value.score([terms(t or "") for t in part]) for part in parts]
+        return pd.Series(np.concatenate(scores) if scores else np.empty(0))
+
+    return score(F.col(text_col))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, ROW_BLOCK):
-                part = batch.slice(lo, ROW_BLOCK)
-                scores = shared.value.score([terms(t.as_py() or "") for t in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=[id_col, "score"])
 
-    return texts.mapInArrow(scored, f"`{id_col}` {kind}, score double")
+def score_quality(df: DataFrame, model: Classifier | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All rows and columns of ``df`` with ``score_col``; repeated rows give repeated results."""
+    return df.withColumn(score_col, quality_score(df.sparkSession, model, text_col))

@@ -7,8 +7,9 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chat_format, decontaminate, hamming, mixing, quality, sharding, simhash, token_counts
+from postmill.llm import chat_format, decontaminate, hamming, html_text, mixing, quality, sharding, simhash, token_counts, warc
 from postmill.llm.common import materialise, read_table
+from postmill.sources.scratch import scratch_path
 
 CONTEXT = 512
 SHARDS = 24
@@ -90,6 +91,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_code(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -122,6 +128,22 @@ FROM doc LEFT JOIN words_hit USING (key) LEFT JOIN items USING (key)
 """
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    return warc.read_records(warc.write_archives(read_table(spark, sf_dir, "pages"), folder), folder)
+
+
+OP8_SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+sized AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM payloads),
+held AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS holder FROM sized)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN holder IS NULL OR page_id IS NOT DISTINCT FROM holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to
+FROM held
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(read_table(spark, sf_dir, "documents").select("doc_id", "source"), "sources")
     return mixing.mix_sources(rows, WEIGHTS)
@@ -130,7 +152,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     model = quality.fit_classifier(documents, read_table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(documents, model)
+    scored = quality.score_quality(documents.select("doc_id", "text"), model)
     predicted = (F.col("score") >= 0.5).cast("int")
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", predicted.alias("predicted"))
 
@@ -140,8 +162,10 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_hamming_topk": op3_hamming_topk,
     "op4_chat_format": op4_chat_format,
+    "op5_html_text": op5_html_text,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
+    "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
@@ -150,4 +174,5 @@ ORACLES = {
     "op3_hamming_topk": OP3_SQL,
     "op4_chat_format": OP4_SQL,
     "op7_decontaminate": OP7_SQL,
+    "op8_warc": OP8_SQL,
 }
