@@ -13,10 +13,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.common import materialise, salted_rank
+from postmill.llm.common import materialise
 
 BLOCK = 64
 SALTS = 1_024
@@ -73,25 +73,24 @@ def mix_sources(df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id
     rows; the last block of a pool may be short. Nothing is dropped or repeated: when a pool is used up the others go
     on in the ratio of their weights. Repeated rows are rows like others. An empty table gives an empty result.
 
-    ``df`` is read twice, so pass a written table. Plan and broadcast have at most one row per pair of pools.
+    The first pass counts the rows of every pool and salt, of which there are 1,024 per pool. From the counts follows
+    where each salt begins in the schedule, so the second pass moves every row once, to the partition of its place, and
+    numbers it there; no task holds more of a pool than its salts there. Plan and broadcast tables have at most one row
+    per pair of pools, and per pool and salt. ``df`` is read twice, the first time by id and source only.
     """
     weights = {OTHERS: 1, **weights}
     if any(w != int(w) or w < 1 for w in weights.values()):
         raise ValueError("weights must be positive whole numbers")
     spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = [name for name in weights if name != OTHERS]
     pool = F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(OTHERS) if named else F.lit(OTHERS)
-    pooled = df.withColumn("mix_pool", pool)
-    rows = {r.mix_pool: r.n for r in pooled.groupBy("mix_pool").agg(F.count("*").alias("n")).collect()}
-    plan = phases({name: -(-n // block) for name, n in rows.items()}, weights)
-    table = spark.createDataFrame(plan, "mix_pool string, _first long, _end long, _start long, _period long, _slots array<long>")
     key = F.xxhash64(F.col(id_col))
-    ranked = salted_rank(pooled, ["mix_pool"], F.pmod(key, F.lit(SALTS)).cast("int"), [key, F.col(id_col)], "_rank", SALTS)
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block))
-    dealt = ranked.join(F.broadcast(table), "mix_pool").where("mix_block >= _first AND mix_block < _end")
-    turn = F.col("mix_block") - F.col("_first")
-    within = F.element_at("_slots", (turn % F.size("_slots") + 1).cast("int"))
-    dealt = dealt.withColumn("mix_slot", F.col("_start") + F.floor(turn / F.size("_slots")) * F.col("_period") + within)
+    salt = F.pmod(key, F.lit(SALTS)).cast("int")
+    counts = materialise(df.select(pool.alias("mix_pool"), salt.alias("_salt")).groupBy("mix_pool", "_salt").agg(F.count("*").alias("_n")), "pool-salts")
+    rows = {r.mix_pool: r.n for r in counts.groupBy("mix_pool").agg(F.sum("_n").alias("n")).collect()}
+    plan = phases({name: -(-n // block) for name, n in rows.items()}, weights)
+    table = F.broadcast(spark.createDataFrame(plan, "mix_pool string, _first long, _end long, _start long, _period long, _slots array<long>"))
     # A pool's last block is short by some rows; blocks behind it move up by as many.
     short = []
     for name, first, end, start, length, slots in plan:
@@ -99,15 +98,30 @@ def mix_sources(df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id
         if lacking and end == -(-rows[name] // block) and end > first:
             turns, at = divmod(end - 1 - first, len(slots))
             short.append((start + turns * length + slots[at], lacking))
-    missing = F.lit(0).cast("long")
-    for slot, lacking in short:
-        missing = missing + F.when(F.col("mix_slot") > slot, F.lit(lacking)).otherwise(F.lit(0))
-    position = F.col("mix_slot") * block + F.col("_rank") % block - missing
-    return dealt.withColumn("mix_position", position.cast("long")).select(*df.columns, "mix_pool", "mix_block", "mix_slot", "mix_position")
+
+    def placed(ranked: DataFrame) -> DataFrame:
+        """Add block, slot and position of the row with ``_rank`` in its pool."""
+        dealt = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block)).join(table, "mix_pool").where("mix_block >= _first AND mix_block < _end")
+        turn = F.col("mix_block") - F.col("_first")
+        within = F.element_at("_slots", (turn % F.size("_slots") + 1).cast("int"))
+        dealt = dealt.withColumn("mix_slot", F.col("_start") + F.floor(turn / F.size("_slots")) * F.col("_period") + within)
+        missing = F.lit(0).cast("long")
+        for slot, lacking in short:
+            missing = missing + F.when(F.col("mix_slot") > slot, F.lit(lacking)).otherwise(F.lit(0))
+        return dealt.withColumn("mix_position", (F.col("mix_slot") * block + F.col("_rank") % block - missing).cast("long"))
+
+    before = Window.partitionBy("mix_pool").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("mix_pool", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rank"))
+    part = F.floor(F.col("mix_position") * parts / max(sum(rows.values()), 1)).cast("int")
+    starts = placed(starts).select("mix_pool", "_salt", F.col("_rank").alias("_before"), part.alias("_part"))
+    salted = df.withColumns({"mix_pool": pool, "_salt": salt, "_key": key}).join(F.broadcast(starts), ["mix_pool", "_salt"])
+    within = Window.partitionBy("_part", "mix_pool", "_salt").orderBy("_key", id_col)
+    moved = salted.repartitionById(parts, F.col("_part"))
+    ranked = moved.withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1)
+    return placed(ranked).select(*[F.col(c) for c in df.columns], "mix_pool", "mix_block", "mix_slot", "mix_position")
 
 
 def mixed_order(df: DataFrame, weights: Mapping[str, int], **options) -> DataFrame:
-    """The rows of ``df`` in mixed order: a written result has its files, and the rows in them, by position."""
-    mixed = mix_sources(materialise(df, "unmixed"), weights, **options)
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(tasks, "mix_position").sortWithinPartitions("mix_position").select(*df.columns)
+    """The rows of ``df`` in mixed order: a written result has the rows of a file in the order of the schedule and the
+    files one after another, but for the last salt of each pool in a file, which is not divided between two files."""
+    return mix_sources(df, weights, **options).sortWithinPartitions("mix_position").select(*df.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import chat_format, decontaminate, hamming, html_text, mixing, quality, sharding, simhash, token_counts, warc
-from postmill.llm.common import materialise, read_table
+from postmill.llm.common import read_table
 from postmill.sources.scratch import scratch_path
 
 CONTEXT = 512
@@ -145,8 +145,7 @@ FROM held
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialise(read_table(spark, sf_dir, "documents").select("doc_id", "source"), "sources")
-    return mixing.mix_sources(rows, WEIGHTS)
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
