@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from postmill.llm.common import materialise, salted_rank
 
 SALTS = 64
-ROUNDS = 5
+ROUNDS = 8
 
 
 @dataclass(frozen=True)
@@ -39,9 +39,16 @@ def granted(asked: np.ndarray, room: np.ndarray) -> np.ndarray:
     """
     swaps = np.minimum(asked, asked.T)
     rest = asked - swaps
-    wanted = rest.sum(axis=0)
-    share = np.minimum(room, wanted) / np.maximum(wanted, 1)
-    return swaps + np.floor(rest * share).astype(np.int64)
+    out = swaps.copy()
+    for j, column in enumerate(rest.T):
+        wanted, most = int(column.sum()), int(min(room[j], column.sum()))
+        if most:
+            exact = column * most / wanted
+            share = np.floor(exact).astype(np.int64)
+            behind = np.argsort(share - exact, kind="stable")[: most - share.sum()]
+            share[behind] += 1
+            out[:, j] += share
+    return out
 
 
 def _column_of(matrix: np.ndarray, row: Column, column: Column) -> Column:
@@ -50,17 +57,23 @@ def _column_of(matrix: np.ndarray, row: Column, column: Column) -> Column:
     return F.element_at(flat, (row * matrix.shape[1] + column + 1).cast("int"))
 
 
-def _proposals(state: DataFrame, capacity: int, shards: int) -> DataFrame:
+def _proposals(state: DataFrame, sizes: np.ndarray, room: np.ndarray, turn: int) -> DataFrame:
     """Add ``target``, the shard a document asks for: one of its hub's homes, which are as many of the hub's fullest
-    shards as its size needs. A document in a home, and one whose hub is all in one shard, asks for its own."""
+    shards as its size needs. A hub that fits into one shard passes over shards that have no room left, unless it is
+    there as a whole. A document in a home asks for its own shard."""
+    shards = len(sizes)
     tally = state.groupBy("hub", "shard").agg(F.count("*").alias("n"))
-    turn = F.pmod(F.col("shard") + F.xxhash64("hub"), F.lit(shards))  # breaks ties differently for each hub
-    hubs = tally.groupBy("hub").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), turn.alias("turn"), "shard"))).alias("homes"), F.sum("n").alias("size")
-    )
-    needed = F.ceil(F.col("size") / F.lit(max(capacity, 1))).cast("int")
-    homes = F.transform(F.slice("homes", 1, needed), lambda h: h["shard"])
-    hubs = hubs.where(F.size("homes") > needed).select("hub", homes.alias("homes"))
+    full = F.array(*[F.lit(bool(r < max(1, q // 100))) for r, q in zip(room, sizes)])
+    tie = F.pmod(F.col("shard") + F.xxhash64("hub", F.lit(turn)), F.lit(shards))  # another order for each hub and round
+    place = F.struct(F.get(full, F.col("shard")).alias("full"), (-F.col("n")).alias("n"), tie.alias("tie"), "shard")
+    hubs = tally.groupBy("hub").agg(F.collect_list(place).alias("homes"), F.sum("n").alias("size"))
+    needed = F.ceil(F.col("size") / F.lit(max(int(sizes.min()), 1))).cast("int")
+    by_count = F.transform("homes", lambda h: F.struct(h["n"].alias("n"), h["tie"].alias("tie"), h["shard"].alias("shard")))
+    fullest = F.transform(F.array_sort(by_count), lambda h: h["shard"])
+    with_room = F.transform(F.array_sort("homes"), lambda h: h["shard"])
+    homes = F.slice(F.when(needed > 1, fullest).otherwise(with_room), 1, needed)
+    # Written, so that the join has a plain exchange on both sides, which Spark can split at a hot hub.
+    hubs = materialise(hubs.where(F.size("homes") > needed).select("hub", homes.alias("homes")), "hubs")
     joined = state.join(hubs, "hub", "left")
     pick = F.element_at("homes", (F.pmod(F.xxhash64("hub", "row_key", F.lit("home")), F.size("homes")) + 1).cast("int"))
     stays = F.col("homes").isNull() | F.array_contains("homes", F.col("shard"))
@@ -76,17 +89,19 @@ def propagate(linked: DataFrame, sizes: np.ndarray, rounds: int = ROUNDS) -> Dat
     salt = F.pmod(F.xxhash64("hub", "row_key"), F.lit(SALTS)).cast("int")
     start = salted_rank(linked, [], salt, ["hub", "row_key"], "_rank", SALTS)
     state = materialise(start.select("row_key", "hub", F.pmod("_rank", F.lit(shards)).cast("int").alias("shard")), "shards")
-    for _ in range(rounds):
-        asking = materialise(_proposals(state, int(sizes.min()), shards), "proposals")
+    n_linked = state.count()
+    held = Quotas(n_linked, shards).sizes()
+    for turn in range(rounds):
+        asking = materialise(_proposals(state, sizes, sizes - held, turn), "proposals")
         flows = asking.groupBy("shard", "target").agg(F.count("*").alias("n")).collect()
         asked = np.zeros((shards, shards), dtype=np.int64)
         for flow in flows:
             asked[flow.shard, flow.target] = flow.n
-        held = asked.sum(axis=1)
         np.fill_diagonal(asked, 0)
         quota = granted(asked, sizes - held)
         if not quota.sum():
             break
+        held = held + quota.sum(axis=0) - quota.sum(axis=1)
         movers = asking.where("shard <> target")
         by_hub = F.pmod(F.xxhash64("hub"), F.lit(SALTS)).cast("int")
         ranked = salted_rank(movers, ["shard", "target"], by_hub, ["hub", "row_key"], "_rank", SALTS)
@@ -117,7 +132,7 @@ def shard_documents(df: DataFrame, shards: int, id_col: str = "doc_id", text_col
         "nodes",
     )
     sizes = Quotas(nodes.count(), shards).sizes()
-    hubs = nodes.groupBy("hub").agg(F.count("*").alias("_n")).where("_n > 1").select("hub")
+    hubs = materialise(nodes.groupBy("hub").agg(F.count("*").alias("_n")).where("_n > 1").select("hub"), "shared-hubs")
     marked = materialise(
         nodes.join(hubs.withColumn("_linked", F.lit(True)), "hub", "left").withColumn("_linked", F.coalesce("_linked", F.lit(False))), "marked"
     )
