@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import text as tx
 from postmill.operators.encode import SPECIAL
-from postmill.sources.scratch import spread
+from postmill.operators.sampling import rank_in_class
+from postmill.sources.scratch import materialise
 
 # Sources that stand in for the human-labelled corpus; all others stand in for the synthetic one.
 HUMAN_SOURCES = [f"src{i}" for i in range(10)]
@@ -17,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def all_cores(df: DataFrame) -> DataFrame:
+    """Rows on all cores, for a CPU-bound step over a table too small to have a split per core. Larger ones stay."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    execution = df._jdf.queryExecution()
+    small = int(execution.optimizedPlan().stats().sizeInBytes()) < cores << 20
+    return df.repartition(cores, *df.columns) if small and execution.toRdd().getNumPartitions() < cores else df
+
+
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch losses; a tenth of the batches has none."""
+    batches = table(spark, sf_dir, "events").groupBy("user_id").agg((F.avg("value") / 100).alias("loss"), F.count("*").alias("n"))
+    return batches.withColumn("loss", F.when(F.col("user_id") % 10 != 0, F.col("loss")))
+
+
 def label_code() -> Column:
     return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 1).otherwise(0).cast("int")
 
@@ -42,14 +58,14 @@ def main_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with a class predicted from the length of the text."""
-    guess = F.when(F.col("n_chars") > 2000, 2).when(F.col("n_chars") > 300, 1).otherwise(0)
+    """Labelled documents with a class predicted from the length of the text; for some lengths none."""
+    guess = F.when(F.col("n_chars") % 17 == 0, None).when(F.col("n_chars") > 2000, 2).when(F.col("n_chars") > 300, 1).otherwise(0)
     return labelled(spark, sf_dir).select("doc_id", "label", guess.alias("predicted"))
 
 
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn four times, dressed up the way a generator dresses posts."""
-    turns = spread(table(spark, sf_dir, "conversations"))
+    turns = all_cores(table(spark, sf_dir, "conversations"))
     tag = F.concat(F.lit(" #"), "role")
     variants = {
         "marked": F.concat(F.lit("1. 2. "), "text", tag, tag),
@@ -82,8 +98,8 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = items.select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").distinct()
     pieces = chars.select(F.col("c").alias("token")).unionByName(chars.select(F.concat(F.lit("##"), "c").alias("token")))
     tokens = words.unionByName(pieces).distinct().where(~F.col("token").isin(SPECIAL))
-    # As long as the vocabulary of a few benchmark items and an alphabet, so one task can number it.
-    numbered = tokens.select("token", (F.row_number().over(Window.orderBy("token")) + len(SPECIAL) - 1).alias("id"))
+    ranked = rank_in_class(materialise(tokens.select("token", F.lit(0).alias("label")), "tokens"), "token", "label", seed=0)
+    numbered = ranked.select("token", (F.col("rank") + len(SPECIAL)).cast("int").alias("id"))
     special = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIAL)], "token string, id int")
     return special.unionByName(numbered)
 

@@ -13,7 +13,7 @@ HUMAN = "source IN (" + ", ".join(f"'{s}'" for s in HUMAN_SOURCES) + ")"
 LABEL = "CASE WHEN l.toxic = 1 THEN 2 WHEN l.quality = 1 THEN 1 ELSE 0 END"
 LABELLED = f"SELECT d.doc_id, d.text, d.source, d.lang, d.n_chars, CAST({LABEL} AS INTEGER) AS label FROM documents d JOIN labels l USING (doc_id)"
 MAIN = f"SELECT d.doc_id, d.text AS tweet, CASE WHEN l.doc_id IS NULL THEN NULL ELSE {LABEL} END AS sentiment FROM documents d LEFT JOIN labels l USING (doc_id)"
-GUESS = "CASE WHEN n_chars > 2000 THEN 2 WHEN n_chars > 300 THEN 1 ELSE 0 END"
+GUESS = "CASE WHEN n_chars % 17 = 0 THEN NULL WHEN n_chars > 2000 THEN 2 WHEN n_chars > 300 THEN 1 ELSE 0 END"
 PREDICTED = f"SELECT doc_id, label, {GUESS} AS predicted FROM ({LABELLED})"
 NAMES = "CASE {} WHEN 0 THEN 'neutral' WHEN 1 THEN 'bullish' WHEN 2 THEN 'bearish' END"
 
@@ -136,12 +136,11 @@ DOCUMENTS = "SELECT doc_id, text, source FROM documents"
 LINKS = f"""
     SELECT DISTINCT id, leader FROM (
         SELECT id, min(id) OVER (PARTITION BY key) AS leader FROM ({bands(DOCUMENTS)})) WHERE id <> leader"""
-PAIRS = f"""
-    SELECT id, leader, round(j, 9) AS jaccard FROM (
-        SELECT id, leader, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS j
-        FROM (SELECT l.id, l.leader, list_distinct(string_split(x.text, ' ')) AS a, list_distinct(string_split(y.text, ' ')) AS b
-              FROM ({LINKS}) l JOIN documents x ON x.doc_id = l.id JOIN documents y ON y.doc_id = l.leader))
-    WHERE j >= {fixed.THRESHOLD}"""
+SIMILAR = f"""
+    WITH t AS MATERIALIZED (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL)
+    SELECT x.doc_id AS id, y.doc_id AS leader FROM t x JOIN t y ON x.doc_id > y.doc_id
+      AND least(len(x.w), len(y.w)) >= {fixed.THRESHOLD} * greatest(len(x.w), len(y.w))
+    WHERE len(list_intersect(x.w, y.w)) >= {fixed.THRESHOLD} * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))"""
 
 
 def components(edges: str) -> str:
@@ -205,20 +204,22 @@ SYNONYMS = """
     WHERE w[i] <> w[i + 1] GROUP BY w[i]"""
 
 
-def synonym_copies() -> str:
-    number = "('0x' || substr(md5('0:' || doc_id || ':' || copy || ':{}:' || pos), 1, 15))::BIGINT"
+def synonym_copies(source: str, ident: str) -> str:
+    prime = 2_147_483_647
+    seeds = ", ".join(f"('0x' || substr(md5('0:{n}:' || {ident} || ':' || copy), 1, 15))::BIGINT % {prime - 1} + 1 AS s_{n}" for n in ("where", "which", "shift"))
+    number = f"((s_{{}} * (pos + 1) + s_shift) % {prime})"
     return f"""
-        WITH d AS MATERIALIZED ({draws(LABELLED, 'doc_id')}),
-        w AS (SELECT doc_id, copy, label, pos - 1 AS pos, words[pos] AS word, len(words) AS n
-              FROM (SELECT doc_id, copy, label, string_split(text, ' ') AS words, unnest(range(1, len(string_split(text, ' ')) + 1)) AS pos FROM d WHERE copy > 0)),
+        WITH d AS MATERIALIZED ({draws(source, ident)}),
+        w AS (SELECT {ident}, copy, label, pos - 1 AS pos, words[pos] AS word, len(words) AS n, s_where, s_which, s_shift
+              FROM (SELECT {ident}, copy, label, string_split(text, ' ') AS words, unnest(range(1, len(string_split(text, ' ')) + 1)) AS pos, {seeds} FROM d WHERE copy > 0)),
         c AS (SELECT w.*, s.choices,
                      CASE WHEN s.choices IS NOT NULL THEN row_number() OVER (
-                         PARTITION BY doc_id, copy, s.choices IS NULL ORDER BY {number.format('where')}, pos) END AS r
+                         PARTITION BY {ident}, copy, s.choices IS NULL ORDER BY {number.format('where')}, pos) END AS r
               FROM w LEFT JOIN ({SYNONYMS}) s ON s.token = lower(w.word)),
-        x AS (SELECT doc_id, copy, label, pos,
+        x AS (SELECT {ident}, copy, label, pos,
                      CASE WHEN r <= greatest(1, least(10, floor(0.3 * n))) THEN choices[{number.format('which')} % len(choices) + 1] ELSE word END AS word FROM c)
-        SELECT doc_id, label, copy, string_agg(word, ' ' ORDER BY pos) AS text FROM x GROUP BY doc_id, label, copy
-        UNION ALL SELECT doc_id, label, copy, text FROM d WHERE copy = 0"""
+        SELECT {ident}, label, copy, string_agg(word, ' ' ORDER BY pos) AS text FROM x GROUP BY {ident}, label, copy
+        UNION ALL SELECT {ident}, label, copy, text FROM d WHERE copy = 0"""
 
 
 def encoded(max_len: int) -> str:
@@ -231,13 +232,13 @@ def encoded(max_len: int) -> str:
         chars AS (SELECT DISTINCT unnest(string_split(lower(text), '')) AS c FROM benchmark),
         tokens AS (SELECT c AS token FROM chars WHERE c <> '' UNION SELECT '##' || c FROM chars WHERE c <> ''
                    UNION SELECT lower(unnest(regexp_extract_all(text, '[^{WS}]+'))) FROM benchmark),
-        vocab AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY token) + {len(SPECIAL) - 1} AS id FROM tokens WHERE token NOT IN ({special})
+        vocab AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY md5('0:' || token), token) + {len(SPECIAL) - 1} AS id FROM tokens WHERE token NOT IN ({special})
                   UNION ALL SELECT * FROM (VALUES {fixed_rows}) AS s(token, id)),
         occ AS MATERIALIZED (SELECT doc_id, i, CASE WHEN w[i] IN ('@USER', '[URL]') THEN w[i] ELSE lower(w[i]) END AS word
                 FROM (SELECT doc_id, w, unnest(range(1, least(len(w), {body}) + 1)) AS i
                       FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS w FROM documents))),
         words AS MATERIALIZED (SELECT DISTINCT word FROM occ),
-        pieces AS (SELECT word, s, unnest(range(1, length(word) - s + 2)) AS len FROM (SELECT word, unnest(range(1, length(word) + 1)) AS s FROM words WHERE length(word) <= 100)),
+        pieces AS (SELECT word, s, unnest(range(1, length(word) - s + 2)) AS len FROM (SELECT word, unnest(range(1, length(word) + 1)) AS s FROM words)),
         best AS MATERIALIZED (SELECT word, s, max(len) AS len, arg_max(id, len) AS id
                  FROM pieces JOIN vocab ON token = CASE WHEN s = 1 THEN '' ELSE '##' END || substr(word, s, len) GROUP BY word, s),
         walk AS (SELECT word, 1::BIGINT AS place, []::BIGINT[] AS ids FROM words
@@ -259,8 +260,8 @@ def masked_tokens(vocab_size: int, mask_id: int, special: list[int], p: float =
     return f"""
         SELECT doc_id, string_agg(CASE WHEN {chosen} THEN {kind} ELSE t END, ',' ORDER BY i) AS input_ids,
                string_agg(CASE WHEN {chosen} THEN t ELSE -100 END, ',' ORDER BY i) AS labels
-        FROM (SELECT doc_id, {seeds}, i, length(w[i]) AS t
-              FROM (SELECT doc_id, string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM documents))
+        FROM (SELECT doc_id, {seeds}, i, w[i]::INTEGER AS t
+              FROM (SELECT doc_id, string_split(input_ids, ',') AS w, unnest(range(1, 513)) AS i FROM ({encoded(512)})))
         GROUP BY doc_id"""
 
 
@@ -272,7 +273,7 @@ CLASS_SCORES = f"""
                  coalesce(sum(n) FILTER (t = k AND p = k), 0)::BIGINT AS tp
           FROM ({CONFUSION}), (SELECT unnest([0, 1, 2]) AS k) GROUP BY k)"""
 F1 = f"(SELECT sum(f1 * support) / sum(support) FROM ({CLASS_SCORES}))"
-ACCURACY = f"(SELECT avg((label = predicted)::INTEGER) FROM ({PREDICTED}))"
+ACCURACY = f"(SELECT avg(coalesce(label = predicted, false)::INTEGER) FROM ({PREDICTED}))"
 
 
 def matrix(names: list[str], true: str, pred: str) -> str:
@@ -287,9 +288,11 @@ TOP = """
            round(p / sum(p) OVER (PARTITION BY vec_id), 8) AS probability
     FROM s QUALIFY place < 5"""
 
+PERPLEXITY = "(SELECT exp(sum(loss * n) / sum(n)) FROM (SELECT avg(value) / 100 AS loss, count(*) AS n FROM events WHERE user_id % 10 <> 0 GROUP BY user_id))"
 HUMAN_TRAIN = split(normal(f"{LABELLED} WHERE {HUMAN}", "label"), 0.2)
 TRAINING = f"""
     SELECT 'synthetic:' || doc_id AS row_id, text, label FROM ({normal(f"{LABELLED} WHERE NOT ({HUMAN})", "label")})
+    WHERE text NOT IN (SELECT text FROM ({HUMAN_TRAIN}) WHERE split = 'validation')
     UNION ALL SELECT 'human:' || doc_id, text, label FROM ({HUMAN_TRAIN}) WHERE split = 'train'"""
 FINETUNING = split(normal(LABELLED, "label"), 0.2)
 
@@ -306,6 +309,17 @@ def curated() -> str:
           AND doc_id NOT IN (SELECT id FROM ({bands(clean)}) WHERE key IN (SELECT key FROM human_keys))"""
 
 
+def curation() -> str:
+    merged = f"SELECT CASE WHEN label = 1 OR length(text) % 5 <> 0 THEN text END AS tweet, label AS sentiment FROM ({LABELLED}) WHERE NOT ({HUMAN})"
+    parts = []
+    for stage, rows in (("merged", merged), ("cleaned", f"SELECT DISTINCT * FROM ({merged}) WHERE tweet IS NOT NULL AND sentiment IS NOT NULL")):
+        nulls = {"tweet": "count(*) - count(tweet)", "sentiment": "count(*) - count(sentiment)", "cells": "2 * count(*) - count(tweet) - count(sentiment)"}
+        parts.append(f"SELECT '{stage}' AS stage, 'duplicate_rows' AS measure, coalesce(sum(n - 1), 0)::BIGINT AS value FROM (SELECT count(*) AS n FROM ({rows}) GROUP BY tweet, sentiment)")
+        parts += [f"SELECT '{stage}', 'null_{name}', ({count})::BIGINT FROM ({rows})" for name, count in nulls.items()]
+        parts.append(f"SELECT '{stage}', 'rows_of_' || sentiment, count(*) FROM ({rows}) WHERE sentiment IS NOT NULL GROUP BY sentiment")
+    return " UNION ALL ".join(parts)
+
+
 ORACLES: dict[str, str] = {
     "convert_format": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "read_splits": f"SELECT doc_id, 'human' AS split, source, length(text) AS n FROM documents WHERE {HUMAN}",
@@ -317,7 +331,7 @@ ORACLES: dict[str, str] = {
     "remap_labels": f"SELECT doc_id, CASE label WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS label FROM ({LABELLED})",
     "encode_labels": f"SELECT doc_id, label FROM ({LABELLED})",
     "decode_labels": f"SELECT doc_id, {NAMES.format('label')} AS label FROM ({LABELLED})",
-    "harmonise_predictions": f"SELECT doc_id, CASE predicted WHEN 0 THEN 'neutral' WHEN 1 THEN 'positive' ELSE 'negative' END AS label FROM ({PREDICTED})",
+    "harmonise_predictions": f"SELECT doc_id, CASE predicted WHEN 0 THEN 'neutral' WHEN 1 THEN 'positive' WHEN 2 THEN 'negative' END AS label FROM ({PREDICTED})",
     "drop_missing": f"SELECT doc_id, sentiment FROM ({MAIN}) WHERE tweet IS NOT NULL AND sentiment IS NOT NULL",
     "min_words": f"SELECT doc_id FROM documents WHERE {at_least('text', 3)}",
     "of_class": f"SELECT doc_id, label FROM ({LABELLED}) WHERE label = 2",
@@ -339,7 +353,9 @@ ORACLES: dict[str, str] = {
     "reject_reasons": f"SELECT conv_id, turn, variant, reject_reason FROM ({verdicts()})",
     "parse_posts": USABLE,
     "failed_generations": FAILED,
-    "ingest_responses": f"SELECT 'accepted' AS side, label, tweet AS text FROM ({USABLE}) UNION ALL SELECT 'failed', label, generated FROM ({FAILED})",
+    "ingest_responses": f"""
+        SELECT 'accepted' AS side, label, tweet AS text FROM ({USABLE}) UNION ALL SELECT 'failed', label, generated FROM ({FAILED})
+        UNION ALL SELECT 'failed', NULL, '{{"label":' || label || ',"body":"{{\\"output\\"' FROM ({RESPONSES}) WHERE conv_id % 50 = 7""",
     "sample_per_class": f"SELECT label, request, position, doc_id FROM ({samples(2)})",
     "few_shot_prompts": prompts(),
     "argmax_label": "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS predicted FROM embeddings",
@@ -358,8 +374,14 @@ ORACLES: dict[str, str] = {
     "class_scores": f"SELECT label, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM ({CLASS_SCORES})",
     "weighted_f1": f"SELECT round({F1}, 9) AS weighted_f1",
     "confusion_matrix": matrix(["0", "1", "2"], "label", "predicted::VARCHAR").replace("GROUP BY label", "GROUP BY 1"),
-    "perplexity": """
-        SELECT round(exp(sum(loss * n) / sum(n)), 6) AS perplexity FROM (SELECT avg(value) / 100 AS loss, count(*) AS n FROM events GROUP BY user_id)""",
+    "perplexity": f"SELECT round({PERPLEXITY}, 6) AS perplexity",
+    "evaluate_finetune_report": f"""
+        SELECT 'test/final_accuracy' AS metric, round({ACCURACY}, 6) AS value UNION ALL SELECT 'test/final_f1_score', round({F1}, 6)
+        UNION ALL SELECT 'test/perplexity', round({PERPLEXITY}, 6)""",
+    "text_as_string": f"SELECT doc_id, sentiment::VARCHAR AS text FROM ({MAIN})",
+    "training_columns_pretrain": f"""
+        SELECT n_ids, n_used, list_sum(list_transform(string_split(input_ids, ','), lambda x: x::BIGINT))::BIGINT AS sum_ids FROM ({encoded(512)})""",
+    "fit_sentiment_baseline": f"SELECT count(*) AS n_predicted, true AS known_classes, true AS beats_majority FROM ({LABELLED})",
     "evaluate_test": f"""
         SELECT 'test/final_accuracy' AS metric, round({ACCURACY}, 9) AS value UNION ALL SELECT 'test/final_f1_score', round({F1}, 9)""",
     "evaluate_finetune": matrix(["bearish", "bullish", "neutral"], NAMES.format("label"), f"({NAMES.format('predicted')})").replace("GROUP BY label", "GROUP BY 1"),
@@ -372,11 +394,12 @@ ORACLES: dict[str, str] = {
     "train_val_split": split("SELECT doc_id, lang FROM documents", 0.1),
     "kfold": folds("SELECT doc_id, lang FROM documents", 7),
     "oversample": f"SELECT doc_id, label, copy FROM ({draws(LABELLED, 'doc_id')})",
-    "synonym_oversample": synonym_copies(),
+    "synonym_oversample": synonym_copies(LABELLED, "doc_id"),
+    "build_training_set_synonym": synonym_copies(TRAINING, "row_id"),
     "minhash_signature": f"SELECT doc_id, md5(string_agg(h, ',' ORDER BY p)) AS signature FROM ({signatures(DOCUMENTS)}) GROUP BY doc_id",
-    "near_duplicate_pairs": PAIRS,
+    "near_duplicate_pairs": f"SELECT id, group_id, true AS all_similar FROM ({components(SIMILAR)})",
     "near_duplicate_groups": GROUPS,
-    "near_duplicate_groups_verified": components(PAIRS),
+    "near_duplicate_groups_verified": components(SIMILAR),
     "near_duplicate_star_groups": star_groups(),
     "near_duplicate_report": f"SELECT group_id, id, text FROM ({GROUPS}) JOIN documents ON doc_id = id",
     "remove_near_duplicates": f"SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT id FROM ({GROUPS}) WHERE id <> group_id)",
@@ -394,8 +417,9 @@ ORACLES: dict[str, str] = {
     "training_set_validation": f"SELECT doc_id, text, label FROM ({HUMAN_TRAIN}) WHERE split = 'validation'",
     "held_out_for_perplexity": f"SELECT doc_id, text FROM ({FINETUNING}) WHERE split = 'train'",
     "curate_synthetic": curated(),
-    "encode_corpus": encoded(128),
-    "mlm_mask": masked_tokens(1000, 999, [0, 1]),
+    "curation_profile": curation(),
+    "encode_corpus": encoded(512),
+    "mlm_mask": masked_tokens(1000, 4, list(range(len(SPECIAL)))),
     "score_corpus": """
         SELECT doc_id, CASE WHEN e > n THEN 'BULLISH' ELSE 'BEARISH' END AS label, round((greatest(e, n) + 1) / (e + n + 1), 9) AS score
         FROM (SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS e, length(text) - length(replace(text, 'n', '')) AS n FROM documents)""",
@@ -413,6 +437,7 @@ _INTEGERS = {
     "kfold": ["fold"],
     "pretraining_folds": ["fold"],
     "encode_corpus": ["n_used"],
+    "training_columns_pretrain": ["n_ids", "n_used"],
 }
 for _name, _columns in _INTEGERS.items():
     _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _columns)

@@ -12,7 +12,8 @@ from postmill.functions import fixed, labels as lb, scores, text as tx
 from postmill.operators import corpus, encode, generated, metrics, models, neardup, sampling, synonyms
 from postmill.plans import curation, evaluation, preparation
 from postmill.sources import files
-from postmill.sources.scratch import scratch_path, spread
+from postmill.operators.components import connected_components
+from postmill.sources.scratch import materialise, scratch_path
 from postmill.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +50,8 @@ def read_splits(spark, d):
 @query
 def replace_table(spark, d):
     path = scratch_path(spark, "main")
-    files.write_posts(src.main_table(spark, d), path)
+    files.write_posts(src.main_table(spark, d).where("doc_id % 2 = 0"), path)
+    files.replace_table(src.main_table(spark, d), path)
     kept = files.replace_table(corpus.clean_main(spark.read.parquet(path), id_col="doc_id"), path)
     new, old = spark.read.parquet(path), spark.read.parquet(kept)
     return new.select(F.lit("new").alias("version"), "doc_id").unionByName(old.select(F.lit("old").alias("version"), "doc_id"))
@@ -58,7 +60,7 @@ def replace_table(spark, d):
 @query
 def split_accepted_rejected(spark, d):
     verdicts = generated.with_verdict(src.raw_posts(spark, d))
-    good, bad = files.split_accepted_rejected(verdicts, F.col("reject_reason").isNull())
+    good, bad = files.write_accepted_rejected(verdicts, F.col("reject_reason").isNull(), scratch_path(spark, "sides"), format="csv")
     keys = ["conv_id", "turn", "variant"]
     return good.select(*keys, F.lit("accepted").alias("side")).unionByName(bad.select(*keys, F.lit("rejected").alias("side")))
 
@@ -98,6 +100,13 @@ def drop_missing(spark, d):
     return corpus.drop_missing(src.main_table(spark, d), ["tweet", "sentiment"]).select("doc_id", "sentiment")
 
 
+@query
+def text_as_string(spark, d):
+    """Texts that are numbers, and missing ones."""
+    rows = src.main_table(spark, d).select("doc_id", F.col("sentiment").alias("text"))
+    return corpus.text_as_string(rows)
+
+
 @query
 def min_words(spark, d):
     return corpus.min_words(_documents(spark, d), 3).select("doc_id")
@@ -182,6 +191,8 @@ def ingest_responses(spark, d):
     landing, accepted = scratch_path(spark, "landing"), scratch_path(spark, "accepted")
     failed, state = scratch_path(spark, "failed"), scratch_path(spark, "stream")
     src.generator_responses(spark, d).select("label", "body").write.json(landing)
+    cut = F.substring(F.to_json(F.struct("label", "body")), 1, 30)
+    src.generator_responses(spark, d).where("conv_id % 50 = 7").select(cut.alias("value")).write.mode("append").text(landing)
     ingest.ingest_responses(spark, landing, accepted, failed, state, available_now=True).awaitTermination()
     good = ingest.read_accepted(spark, accepted).select(F.lit("accepted").alias("side"), "label", F.col("tweet").alias("text"))
     bad = ingest.read_failed(spark, failed).select(F.lit("failed").alias("side"), "label", F.col("generated").alias("text"))
@@ -274,8 +285,7 @@ def confusion_matrix(spark, d):
 
 @query
 def perplexity(spark, d):
-    batches = src.table(spark, d, "events").groupBy("user_id").agg((F.avg("value") / 100).alias("loss"), F.count("*").alias("n"))
-    return metrics.perplexity(batches).select(F.round("perplexity", 6).alias("perplexity"))
+    return metrics.perplexity(src.losses(spark, d)).select(F.round("perplexity", 6).alias("perplexity"))
 
 
 @query
@@ -288,6 +298,13 @@ def evaluate_test(spark, d):
     return report.select("metric", F.round("value", 9).alias("value"))
 
 
+@query
+def evaluate_finetune_report(spark, d):
+    scored = src.predictions(spark, d).withColumn("predicted", F.upper(lb.decode_labels("predicted")))
+    report, _ = evaluation.evaluate(scored, "finetune", losses=src.losses(spark, d))
+    return report.select("metric", F.round("value", 6).alias("value"))
+
+
 @query
 def evaluate_finetune(spark, d):
     scored = src.predictions(spark, d).withColumn("predicted", F.upper(lb.decode_labels("predicted")))
@@ -366,8 +383,10 @@ def minhash_signature(spark, d):
 
 @query
 def near_duplicate_pairs(spark, d):
-    pairs = neardup.near_duplicate_pairs(_documents(spark, d), "doc_id")
-    return pairs.select("id", "leader", F.round("jaccard", 9).alias("jaccard"))
+    """The links, as the groups they hold together; every link is an edge of the brute-force graph."""
+    pairs = materialise(neardup.near_duplicate_pairs(_documents(spark, d), "doc_id"), "pairs")
+    groups = connected_components(pairs, "id", "leader").select("id", F.col("component").alias("group_id"))
+    return groups.withColumn("all_similar", F.lit(pairs.where(F.col("jaccard") < fixed.THRESHOLD).isEmpty()))
 
 
 @query
@@ -450,6 +469,15 @@ def build_training_set(spark, d):
     return balanced.select("row_id", "label", "copy", "text")
 
 
+@query
+def build_training_set_synonym(spark, d):
+    posts = src.tweets(spark, d)
+    balanced, _ = preparation.build_training_set(
+        posts.where(~src.is_human()), posts.where(src.is_human()), "doc_id", mode="synonym", synonyms=src.synonyms(spark, d)
+    )
+    return balanced.select("row_id", "label", "copy", "text")
+
+
 @query
 def training_set_validation(spark, d):
     posts = src.tweets(spark, d)
@@ -471,14 +499,24 @@ def curate_synthetic(spark, d):
     return curation.curate_synthetic(main, new, human, "doc_id").select("doc_id", "sentiment")
 
 
+@query
+def curation_profile(spark, d):
+    made = src.tweets(spark, d).where(~src.is_human()).select("doc_id", "tweet", "sentiment")
+    new = made.where("sentiment <> 1").select("doc_id", F.when(F.length("tweet") % 5 != 0, F.col("tweet")).alias("tweet"), lb.decode_labels("sentiment").alias("sentiment"))
+    return curation.curation_profile(made.where("sentiment = 1"), new, "doc_id")
+
+
 # Encoding, scoring, models.
 
 
+def _encoded(spark, d):
+    docs = src.all_cores(_documents(spark, d).select("doc_id", "text"))
+    return encode.encode_corpus(docs, src.vocabulary(spark, d), "doc_id")
+
+
 @query
 def encode_corpus(spark, d):
-    docs = _documents(spark, d).select("doc_id", "text")
-    encoded = encode.encode_corpus(docs, src.vocabulary(spark, d), "doc_id", max_len=128)
-    columns = corpus.training_columns(encoded.withColumn("label", F.col("doc_id")), "finetune")
+    columns = corpus.training_columns(_encoded(spark, d).withColumn("label", F.col("doc_id")), "finetune")
     return columns.select(
         F.col("label").alias("doc_id"),
         F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
@@ -487,11 +525,17 @@ def encode_corpus(spark, d):
     )
 
 
+@query
+def training_columns_pretrain(spark, d):
+    columns = corpus.training_columns(_encoded(spark, d), "pretrain")
+    numbers = F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return columns.select(F.size("input_ids").alias("n_ids"), numbers.alias("sum_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_used"))
+
+
 @query
 def mlm_mask(spark, d):
-    lengths = F.transform(tx.space_tokens("text"), lambda t: F.length(t))
-    tokens = spread(_documents(spark, d).select("doc_id", "text")).select("doc_id", lengths.alias("input_ids"))
-    masked = encode.mlm_mask(tokens, "doc_id", vocab_size=1000, mask_id=999, special_ids=[0, 1])
+    tokens = _encoded(spark, d).select("doc_id", "input_ids")
+    masked = encode.mlm_mask(tokens, "doc_id", vocab_size=1000, mask_id=encode.SPECIAL.index(encode.MASK), special_ids=list(range(len(encode.SPECIAL))))
     return masked.select("doc_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("input_ids", "labels")])
 
 
@@ -510,6 +554,13 @@ def score_corpus(spark, d):
 
 @query
 def fit_sentiment_baseline(spark, d):
-    train = src.labelled(spark, d).select("doc_id", "text", "label")
+    """Whether the baseline predicts every row, known classes only, and better than the largest class would."""
+    train = src.labelled(spark, d).select("doc_id", F.when(F.length("text") % 50 != 0, F.col("text")).alias("text"), "label")
     model = models.fit_sentiment_baseline(train, features=1 << 12, max_iter=10)
-    return models.predict_baseline(model, train).select("doc_id", "label", "predicted")
+    predicted = materialise(models.predict_baseline(model, train).select("label", "predicted"), "predicted")
+    majority = metrics.largest_class(predicted).first().max_rows / predicted.count()
+    return predicted.agg(
+        F.count("predicted").alias("n_predicted"),
+        F.bool_and(F.col("predicted").isin(0, 1, 2)).alias("known_classes"),
+        (F.avg((F.col("label") == F.col("predicted")).cast("int")) > majority).alias("beats_majority"),
+    )

@@ -10,7 +10,11 @@ from postmill.functions.bind import bind
 # A JSON string body: plain characters with escapes in between. Possessive, so it never backtracks. The object
 # ends at its first closing brace, so no body holds one.
 _BODY = r'[^"\\}]*+(?:\\[^}][^"\\}]*+)*+'
-_PAIR = rf'"{_BODY}"\s*:\s*"({_BODY})(?:"|\}}\z)'
+# Between single quotes an apostrophe may stand, unless the value could end there.
+_SINGLE = r"(?:[^'\\}]|\\[^}]|'(?!\s*[,}]))*+"
+# A key in quotes of either kind, or a bare one behind a brace, a comma or a space.
+_KEY = rf"""(?:"{_BODY}"|'[^'\\}}]*+'|(?<=[{{,\s])\w++)"""
+_PAIR = rf"""{_KEY}\s*:\s*(?:"({_BODY})(?:"|\}}\z)|'({_SINGLE})'(?=\s*[,}}]))"""
 
 
 def extract_response_text(body: Column | str) -> Column:
@@ -40,18 +44,24 @@ def _parsed_values(parsed: Column) -> Column:
 
 
 def _recovered_values(candidate: Column) -> Column:
-    return F.transform(
-        F.regexp_extract_all(candidate, F.lit(_PAIR), 1),
-        lambda s: F.coalesce(F.from_json(F.concat(F.lit('["'), s, F.lit('"]')), "array<string>")[0], s),
-    )
+    def unescaped(s: Column) -> Column:
+        return F.coalesce(F.from_json(F.concat(F.lit('["'), s, F.lit('"]')), "array<string>")[0], s)
+
+    def single(s: Column) -> Column:
+        plain = F.replace(F.replace(s, F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"'))
+        return unescaped(plain)
+
+    double_quoted = F.regexp_extract_all(candidate, F.lit(_PAIR), 1)
+    single_quoted = F.regexp_extract_all(candidate, F.lit(_PAIR), 2)
+    return F.zip_with(double_quoted, single_quoted, lambda d, s: F.when(s != "", single(s)).otherwise(unescaped(d)))
 
 
 def response_values(text: Column | str) -> Column:
     """String values of the first JSON object in ``text``, in order; empty when there are none.
 
     Well-formed objects are parsed; values that are not strings are left out and a repeated key keeps its
-    last value. In a broken object every complete ``"key": "value"`` pair is recovered, and a last value that
-    misses its closing quote ends at the brace.
+    last value. In a broken object every complete ``"key": "value"`` pair is recovered, in quotes of either kind and with
+    bare keys too, and a last value that misses its closing double quote ends at the brace.
     """
     values = bind(
         first_json_object(text),

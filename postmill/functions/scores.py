@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import fixed
@@ -55,5 +55,11 @@ def topk(values: Column | str, k: int = 5) -> Column:
     )
 
 
+def token_of(vocab: DataFrame, hits: DataFrame, id_col: str = "id") -> DataFrame:
+    """Add ``token``, looked up in ``vocab (token, id)``; NULL for an unknown id."""
+    tokens = vocab.select("token", F.col("id").alias("_id"))
+    return hits.join(tokens, hits[id_col] == tokens["_id"], "left").drop("_id")
+
+
 def softmax_topk(logits: Column | str, k: int = 5) -> Column:
     return topk(softmax(logits), k)

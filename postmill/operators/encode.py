@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +13,13 @@ from postmill.functions import fixed, text as tx
 from postmill.functions.bind import bind
 from postmill.operators.sampling import hash_number
 from postmill.operators.skew import attach
-from postmill.sources.scratch import materialise, spread
+from postmill.sources.scratch import materialise
 
 PAD, UNK, CLS, SEP, MASK = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"
 SPECIAL = [PAD, UNK, CLS, SEP, MASK, fixed.USER_TOKEN, fixed.URL_TOKEN]
-MAX_WORD = 100
 MAX_LEN = 512
+BROADCAST_TOKENS = 1_000_000  # a larger vocabulary is joined instead of broadcast
+_MEMO = 200_000  # distinct words a Python worker remembers
 
 # Mask tokens stay whole; otherwise a word is a run of letters, marks and digits, or one symbol.
 _WORDS = rf"{fixed.USER_TOKEN}|\[URL\]|[{tx.WORD}\p{{M}}]++|[^{tx.SPACE}]"
@@ -45,7 +50,7 @@ def encode_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     # Words are small but grow into all their pieces, so their partitions must not be merged by size.
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = (
-        words.where((size > 0) & (size <= MAX_WORD))
+        words.where(size > 0)
         .repartition(tasks, "word")
         .withColumn("start", starts)
         .withColumn("len", ends)
@@ -75,44 +80,83 @@ def encode_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return words.join(found, "word", "left").select("word", F.coalesce("ids", F.array(F.lit(unk))).alias("ids"))
 
 
+def word_encoder(vocab: dict[str, int]):
+    """Ids of a word: greedy longest match from the left, ``[UNK]`` if a rest has no match."""
+    longest, unknown, memo = max(map(len, vocab)), [vocab[UNK]], {}
+
+    def ids(word: str) -> list[int]:
+        known = memo.get(word)
+        if known is not None:
+            return known
+        out, start = [], 0
+        while start < len(word):
+            prefix = "##" if start else ""
+            for end in range(min(len(word), start + longest), start, -1):
+                found = vocab.get(prefix + word[start:end])
+                if found is not None:
+                    out.append(found)
+                    start = end
+                    break
+            else:
+                out = unknown
+                break
+        if len(memo) >= _MEMO:
+            memo.clear()
+        memo[word] = out = out or unknown
+        return out
+
+    return ids
+
+
+def _bodies(df: DataFrame, vocab: DataFrame, text_col: str, most: int) -> DataFrame:
+    """Add ``_body``, the ids of a text's words, with a broadcast vocabulary: one narrow pass."""
+    tokens = df.sparkSession.sparkContext.broadcast({row.token: row.id for row in vocab.collect()})
+
+    @F.pandas_udf("array<int>")
+    def body(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = word_encoder(tokens.value)
+        for words in texts:
+            yield words.map(lambda own: None if own is None else list(islice((i for w in own for i in ids(w)), most)))
+
+    return df.withColumn("_body", F.coalesce(body(split_words(text_col, most)), F.array().cast("array<int>")))
+
+
+def _joined_bodies(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """The same by joins, for a vocabulary that is too large to broadcast."""
+    occurrences = materialise(df.select(id_col, F.posexplode(split_words(text_col, most)).alias("pos", "word")), "words")
+    table = materialise(encode_words(occurrences.select("word").distinct(), vocab), "encoded-words")
+    pieces = attach(occurrences, table, "word", "inner", occurrences.count())
+    rows = pieces.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_pieces"))
+    body = F.slice(F.flatten(F.transform("_pieces", lambda p: p["ids"])), 1, most)
+    return df.join(rows, id_col, "left").withColumn("_body", F.coalesce(body, F.array().cast("array<int>"))).drop("_pieces")
+
+
 def encode_corpus(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text", max_len: int = MAX_LEN) -> DataFrame:
     """Add ``input_ids``, ``token_type_ids`` and ``attention_mask`` of ``max_len`` entries each.
 
-    Words are encoded once per distinct word. Every word gives at least one id, so only the first
-    ``max_len - 2`` words of a text can appear in its encoding and only these are looked up.
+    Every word gives at least one id, so only the first ``max_len - 2`` words of a text can appear in its encoding and
+    only these are looked up; a word may have any length. A vocabulary of up to a million tokens is broadcast and the
+    corpus takes one narrow pass; a larger one is joined.
     """
     vocab = materialise(vocab.select("token", F.col("id").cast("int").alias("id")), "vocabulary")
     special = {row.token: row.id for row in vocab.where(F.col("token").isin(SPECIAL)).collect()}
     missing = {PAD, UNK, CLS, SEP} - special.keys()
     if missing:
         raise ValueError(f"vocabulary lacks {sorted(missing)}")
-    occurrences = materialise(
-        spread(df.select(id_col, text_col)).select(
-            id_col, F.posexplode(split_words(text_col, max_len - 2)).alias("pos", "word")
-        ),
-        "words",
-    )
-    table = materialise(encode_words(occurrences.select("word").distinct(), vocab), "encoded-words")
-    pieces = attach(occurrences, table, "word", "inner", occurrences.count())
-    rows = pieces.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_pieces"))
-    body = F.slice(F.flatten(F.transform("_pieces", lambda p: p["ids"])), 1, max_len - 2)
-    empty = F.array().cast("array<int>")
+    if vocab.count() <= BROADCAST_TOKENS:
+        encoded = _bodies(df, vocab, text_col, max_len - 2)
+    else:
+        encoded = _joined_bodies(df, vocab, id_col, text_col, max_len - 2)
     used = F.size("_body") + 2
     ids = F.concat(
         F.array(F.lit(special[CLS])), F.col("_body"), F.array(F.lit(special[SEP])), F.array_repeat(F.lit(special[PAD]), max_len - used)
     )
-    return (
-        df.join(rows, id_col, "left")
-        .withColumn("_body", F.coalesce(body, empty))
-        .withColumns(
-            {
-                "input_ids": ids,
-                "token_type_ids": F.array_repeat(F.lit(0), max_len),
-                "attention_mask": F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), max_len - used)),
-            }
-        )
-        .drop("_pieces", "_body")
-    )
+    columns = {
+        "input_ids": ids,
+        "token_type_ids": F.array_repeat(F.lit(0), max_len),
+        "attention_mask": F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), max_len - used)),
+    }
+    return encoded.withColumns(columns).drop("_body")
 
 
 def mlm_mask(df: DataFrame, id_col: str, vocab_size: int, mask_id: int, special_ids: list[int], p: float = 0.15, seed: int = 0) -> DataFrame:

@@ -10,6 +10,7 @@ from postmill.functions.bind import with_once
 from postmill.functions.labels import decode_labels
 from postmill.operators.sampling import sample_per_class
 from postmill.sources.files import split_accepted_rejected
+from postmill.sources.scratch import materialise
 
 
 def few_shot_prompts(
@@ -29,8 +30,8 @@ def few_shot_prompts(
     """
     drawn = sample_per_class(df.where(F.col(label_col).isin(list(vocab.values()))), id_col, label_col, n, requests, seed)
     texts = df.select(id_col, F.col(text_col).alias("_text"))
-    # At most classes * requests * n drawn rows, whatever the size of the corpus.
-    picked = texts.join(F.broadcast(drawn), id_col)
+    # At most classes * requests * n drawn rows: written, so that their size decides how they are joined.
+    picked = texts.join(materialise(drawn, "drawn"), id_col)
     quoted = F.regexp_extract(F.to_json(F.array("_text")), r"(?s)\A\[(.*)\]\z", 1)
     line = F.concat(F.lit('  "'), F.col("position").cast("string"), F.lit('": '), quoted)
     grouped = picked.groupBy(F.col(label_col).alias("label"), "request").agg(

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.sources.scratch import materialise
+
+MAX_CLASSES = 1_000
+
 
 def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Rows per class, largest first; rows without a label are not counted."""
@@ -41,11 +45,14 @@ def profile_nulls(df: DataFrame) -> DataFrame:
 
 
 def confusion_counts(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
-    return df.groupBy(F.col(true_col).alias("true"), F.col(pred_col).alias("pred")).agg(F.count("*").alias("n"))
+    """Rows per true and predicted class. Rows without a true class are left out; a missing prediction counts as wrong."""
+    return df.where(F.col(true_col).isNotNull()).groupBy(F.col(true_col).alias("true"), F.col(pred_col).alias("pred")).agg(F.count("*").alias("n"))
 
 
 def accuracy(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
-    return df.agg(F.avg((F.col(true_col) == F.col(pred_col)).cast("int")).alias("accuracy"))
+    """Share of the rows with a true class whose prediction equals it; a missing prediction is wrong."""
+    hit = F.coalesce(F.col(true_col) == F.col(pred_col), F.lit(False))
+    return df.where(F.col(true_col).isNotNull()).agg(F.avg(hit.cast("int")).alias("accuracy"))
 
 
 def class_scores(counts: DataFrame) -> DataFrame:
@@ -54,7 +61,7 @@ def class_scores(counts: DataFrame) -> DataFrame:
     as_true = F.struct(F.col("true").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), hit.cast("long").alias("tp"))
     as_pred = F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp"))
     sides = counts.select(F.explode(F.array(as_true, as_pred)).alias("s")).select("s.*")
-    totals = sides.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
+    totals = sides.where("label IS NOT NULL").groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
 
     def ratio(top, bottom):
         return F.when(bottom > 0, top / bottom).otherwise(0.0)
@@ -75,15 +82,19 @@ def weighted_f1(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, true_col: str, pred_col: str, labels: Sequence | None = None) -> DataFrame:
-    """One row per true class and one column per predicted class, over the union of both.
+    """One row per true class and one column per predicted class, over the union of both."""
+    return matrix_of(materialise(confusion_counts(df, true_col, pred_col), "confusion"), labels)
+
 
-    Without ``labels`` the classes are read from the data first.
-    """
-    counts = confusion_counts(df, true_col, pred_col)
+def matrix_of(counts: DataFrame, labels: Sequence | None = None, most: int = MAX_CLASSES) -> DataFrame:
+    """The confusion matrix of written ``confusion_counts``. Without ``labels`` the classes are read from the counts;
+    more than ``most`` of them are an error, since each is a column."""
     if labels is None:
         both = counts.select(F.explode(F.array("true", "pred")).alias("label")).where("label is not null")
-        labels = sorted(row.label for row in both.distinct().collect())
-    zeros = df.sparkSession.createDataFrame([(x,) for x in labels], counts.select("true").schema).select(
+        labels = sorted(row.label for row in both.distinct().limit(most + 1).collect())
+        if len(labels) > most:
+            raise ValueError(f"more than {most} classes")
+    zeros = counts.sparkSession.createDataFrame([(x,) for x in labels], counts.select("true").schema).select(
         "true", F.col("true").alias("pred"), F.lit(0).cast("long").alias("n")
     )
     pivoted = counts.unionByName(zeros).groupBy("true").pivot("pred", list(labels)).agg(F.sum("n"))
@@ -91,14 +102,19 @@ def confusion_matrix(df: DataFrame, true_col: str, pred_col: str, labels: Sequen
 
 
 def perplexity(df: DataFrame, loss_col: str = "loss", size_col: str = "n") -> DataFrame:
-    """Exponential of the mean loss, weighted by batch size; infinite on overflow."""
-    mean = F.sum(F.col(loss_col) * F.col(size_col)) / F.nullif(F.sum(size_col), F.lit(0))
+    """Exponential of the mean loss, weighted by batch size; infinite on overflow. Batches without a loss are left out."""
+    size = F.when(F.col(loss_col).isNotNull(), F.col(size_col))
+    mean = F.sum(F.col(loss_col) * size) / F.nullif(F.sum(size), F.lit(0))
     return df.agg(F.exp(mean).alias("perplexity"))
 
 
 def metrics_report(df: DataFrame, true_col: str, pred_col: str, prefix: str = "test") -> DataFrame:
     """Accuracy and weighted F1 as ``(metric, value)`` rows, from one pass over the predictions."""
-    counts = confusion_counts(df, true_col, pred_col)
+    return report_of(confusion_counts(df, true_col, pred_col), prefix)
+
+
+def report_of(counts: DataFrame, prefix: str = "test", losses: DataFrame | None = None, loss_col: str = "loss", size_col: str = "n") -> DataFrame:
+    """The report of ``confusion_counts``; with batch ``losses`` it has a perplexity row as well."""
     scored = class_scores(counts).agg(
         F.sum(F.col("recall") * F.col("support")).alias("hits"),
         F.sum(F.col("f1") * F.col("support")).alias("f1"),
@@ -108,4 +124,7 @@ def metrics_report(df: DataFrame, true_col: str, pred_col: str, prefix: str = "t
         F.struct(F.lit(f"{prefix}/final_accuracy").alias("metric"), (F.col("hits") / F.col("total")).alias("value")),
         F.struct(F.lit(f"{prefix}/final_f1_score").alias("metric"), (F.col("f1") / F.col("total")).alias("value")),
     )
-    return scored.select(F.explode(values).alias("m")).select("m.*")
+    report = scored.select(F.explode(values).alias("m")).select("m.*")
+    if losses is None:
+        return report
+    return report.unionByName(perplexity(losses, loss_col, size_col).select(F.lit(f"{prefix}/perplexity").alias("metric"), F.col("perplexity").alias("value")))

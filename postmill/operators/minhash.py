@@ -11,11 +11,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import fixed
-from postmill.sources.scratch import spread
 
 # Fixed values of the signature scheme.
 MERSENNE_PRIME = (1 << 61) - 1
@@ -24,7 +23,6 @@ SEED = 1
 
 _BLOCK = 1_024  # hashes permuted per NumPy call: 1 MB of products for 128 permutations
 _SPAN = 65_536  # tokens that share a table of distinct hashes: 32 MB at most
-_MEMO = 500_000  # distinct token hashes a Python worker remembers
 
 
 @lru_cache(maxsize=None)
@@ -39,8 +37,14 @@ def permutations(num_perm: int) -> tuple[np.ndarray, np.ndarray]:
     return a.copy(), b.copy()
 
 
-def token_hash(token: str) -> int:
-    return int.from_bytes(hashlib.sha1(token.encode("utf-8")).digest()[:4], "little")
+def token_hashes(text_col: str) -> Column:
+    """Distinct tokens between single spaces, as the first four bytes of their SHA-1 read from the low end."""
+    tokens = F.array_distinct(F.split(text_col, " ", -1))
+    digests = F.transform(tokens, lambda t: F.substring(F.sha1(t.cast("binary")), 1, 8))
+    return F.transform(
+        digests,
+        lambda h: F.conv(F.concat(*[F.substring(h, at, 2) for at in (7, 5, 3, 1)]), 16, 10).cast("long"),
+    )
 
 
 def permuted(hashes: np.ndarray, num_perm: int) -> np.ndarray:
@@ -73,36 +77,26 @@ def minima(hashes: np.ndarray, starts: np.ndarray, num_perm: int) -> np.ndarray:
     return out
 
 
-def signatures(texts: pd.Series, num_perm: int) -> np.ndarray:
-    """One row per text, none of which may be missing."""
-    memo: dict[str, int] = {}
-    hashes: list[int] = []
-    starts = [0]
-    for text in texts:
-        for token in set(text.split(" ")):
-            h = memo.get(token)
-            if h is None:
-                if len(memo) >= _MEMO:
-                    memo.clear()
-                h = memo[token] = token_hash(token)
-            hashes.append(h)
-        starts.append(len(hashes))
-    return minima(np.array(hashes, dtype=np.uint64), np.array(starts), num_perm)
+def signatures(hashes: pd.Series, num_perm: int) -> np.ndarray:
+    """One row per array of token hashes, none of which may be missing or empty."""
+    starts = np.append(0, np.cumsum([len(h) for h in hashes]))
+    flat = np.concatenate(list(hashes)) if len(hashes) else np.empty(0)
+    return minima(flat.astype(np.uint64), starts, num_perm)
 
 
 def minhash_signature(df: DataFrame, text_col: str = "text", num_perm: int = fixed.NUM_PERM) -> DataFrame:
     """Add ``signature``: one minimum per permutation over the tokens between single spaces; NULL for a NULL text.
 
-    Only the text reaches Python, in Arrow batches; hashing is vectorised over all tokens of a batch.
+    Tokens are hashed in the JVM; only 32-bit hashes reach Python, in Arrow batches.
     """
 
     @F.pandas_udf("array<long>")
-    def sign(texts: pd.Series) -> pd.Series:
-        known = texts.notna()
-        signed = iter(signatures(texts[known], num_perm).astype(np.int64))
+    def sign(hashes: pd.Series) -> pd.Series:
+        known = hashes.notna()
+        signed = iter(signatures(hashes[known], num_perm).astype(np.int64))
         return pd.Series([next(signed) if ok else None for ok in known])
 
-    return spread(df).withColumn("signature", sign(F.col(text_col)))
+    return df.withColumn("signature", sign(token_hashes(text_col)))
 
 
 def band_keys(
@@ -114,13 +108,13 @@ def band_keys(
     """
 
     @F.pandas_udf("array<binary>")
-    def keys(texts: pd.Series) -> pd.Series:
-        signed = np.ascontiguousarray(signatures(texts, num_perm))
-        cuts = [(bytes([i]), i * rows, (i + 1) * rows) for i in range(bands)]
+    def keys(hashes: pd.Series) -> pd.Series:
+        signed = np.ascontiguousarray(signatures(hashes, num_perm))
+        cuts = [(i.to_bytes(2, "little"), i * rows, (i + 1) * rows) for i in range(bands)]
         return pd.Series([[hashlib.md5(name + row[lo:hi].tobytes()).digest() for name, lo, hi in cuts] for row in signed])
 
-    texts = spread(df.select(F.col(id_col).alias("id"), text_col).where(F.col(text_col).isNotNull()))
-    return texts.select("id", F.explode(keys(F.col(text_col))).alias("key"))
+    texts = df.select(F.col(id_col).alias("id"), text_col).where(F.col(text_col).isNotNull())
+    return texts.select("id", F.explode(keys(token_hashes(text_col))).alias("key"))
 
 
 @lru_cache(maxsize=None)

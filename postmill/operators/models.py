@@ -7,10 +7,14 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions import text as tx
+
+_TEXT = "_baseline_text"
+
 Predictor = Callable[[Sequence[str]], Sequence[tuple[str, float]]]
 
 
@@ -36,14 +40,19 @@ def score_corpus(df: DataFrame, make_predictor: Callable[[], Predictor], text_co
 
 
 def fit_sentiment_baseline(train: DataFrame, text_col: str = "text", label_col: str = "label", features: int = 1 << 16, max_iter: int = 20) -> PipelineModel:
-    """Fit TF-IDF features and a multinomial logistic regression; all passes are Spark jobs over the rows."""
+    """Fit TF-IDF features and a multinomial logistic regression; all passes are Spark jobs over the rows.
+
+    Words are the library's words. Rows without a text or a label are left out; predicting a NULL text is predicting an
+    empty one.
+    """
     stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=r"\s+"),
+        SQLTransformer(statement=f"SELECT *, coalesce(`{text_col}`, '') AS {_TEXT} FROM __THIS__"),
+        RegexTokenizer(inputCol=_TEXT, outputCol="tokens", pattern=f"[{tx.SPACE}]+", toLowercase=True),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(labelCol=label_col, featuresCol="features", family="multinomial", maxIter=max_iter, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(train)
+    return Pipeline(stages=stages).fit(train.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()))
 
 
 def predict_baseline(model: PipelineModel, df: DataFrame) -> DataFrame:

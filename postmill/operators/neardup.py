@@ -6,6 +6,7 @@ represented by m - 1 links to its lowest id, never by its m * (m - 1) / 2 pairs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,19 +17,44 @@ from postmill.operators import minhash
 from postmill.operators.components import connected_components
 from postmill.operators.corpus import drop_ids
 from postmill.operators.skew import attach
-from postmill.sources.scratch import materialise
+from postmill.sources.scratch import materialise, scratch_path
 
 SALTS = 4_096
 ROWS_PER_SALT = 100_000
+#: Bands and rows of a verified search: its recall at a similarity of 0.95 is all but complete.
+VERIFIED_BANDS = (16, 8)
 
 
-def _bands(df: DataFrame, id_col: str, text_col: str, threshold: float, num_perm: int, bands: int | None, rows: int | None) -> DataFrame:
-    """Band table, written once: the signatures are computed in Python and read by several later steps."""
+@dataclass(frozen=True)
+class Signed:
+    """A corpus made ready for the search: ``bands (id, key)`` of every distinct text, under the lowest of its ids, and
+    ``copies (id, first)``, the other ids of a text."""
+
+    bands: DataFrame
+    copies: DataFrame
+
+
+def sign_corpus(
+    df: DataFrame,
+    id_col: str,
+    text_col: str = "text",
+    threshold: float = fixed.THRESHOLD,
+    num_perm: int = fixed.NUM_PERM,
+    bands: int | None = None,
+    rows: int | None = None,
+) -> Signed:
+    """Sign every distinct text once; written, since several later steps read the result."""
     if bands is None or rows is None:
         bands, rows = minhash.best_bands(threshold, num_perm)
     if bands * rows > num_perm:
         raise ValueError("bands * rows exceeds the number of permutations")
-    return materialise(minhash.band_keys(df, id_col, bands, rows, text_col, num_perm), "bands")
+    texts = df.where(F.col(text_col).isNotNull())
+    hashes = materialise(texts.select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("hash")), "text-hashes")
+    repeated = hashes.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = materialise(repeated, "repeated-texts")
+    copies = materialise(hashes.join(repeated, "hash").where("id <> first").select("id", "first"), "copies")
+    first = drop_ids(texts, copies.select(F.col("id").alias(id_col)), id_col)
+    return Signed(materialise(minhash.band_keys(first, id_col, bands, rows, text_col, num_perm), "bands"), copies)
 
 
 def _bucket_links(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,20 +80,28 @@ def _tree_edges(bands: DataFrame) -> DataFrame:
     return up.unionByName(down.select(F.col("id").alias("a"), F.col("local").alias("b")))
 
 
-def _leader_links(bands: DataFrame) -> DataFrame:
-    """Distinct ``(id, leader, n)`` with ``n`` the largest bucket the two meet in."""
-    down, heads = _bucket_links(bands)
-    via = down.join(heads, ["key", "local"]).select("id", "leader", "n")
-    links = via.unionByName(heads.select(F.col("local").alias("id"), "leader", "n").where("id <> leader"))
-    return links.groupBy("id", "leader").agg(F.max("n").alias("n"))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays without repeats."""
     both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _checked(links: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """``(id, leader, jaccard)`` of the similar ones among distinct ``links (id, leader)``.
+
+    A leader's tokens are copied once per 100,000 of its links, so a hot leader is checked by many tasks.
+    """
+    counts = materialise(links.groupBy("leader").agg(F.count("*").alias("n")), "leaders")
+    copies = F.floor(F.col("n") / ROWS_PER_SALT)
+    leaders = counts.join(tokens.withColumnsRenamed({"id": "leader", "tokens": "leader_tokens"}), "leader").select(
+        "leader", "leader_tokens", F.explode(F.sequence(F.lit(0).cast("long"), copies)).alias("salt")
+    )
+    salted = links.join(counts, "leader").select("id", "leader", F.pmod(F.xxhash64("id"), copies + 1).alias("salt"))
+    both = salted.join(tokens, "id").join(leaders, ["leader", "salt"])
+    scored = both.select("id", "leader", jaccard(F.col("tokens"), F.col("leader_tokens")).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= threshold)
+
+
 def near_duplicate_pairs(
     df: DataFrame,
     id_col: str,
@@ -77,25 +111,55 @@ def near_duplicate_pairs(
     bands: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
-    """``(id, leader, jaccard)``: texts that meet the lowest id of one of their buckets and are similar to it.
+    """``(id, leader, jaccard)``: verified links that hold the near-duplicate groups together.
 
-    The similarity is exact, over the tokens between single spaces; only linked texts are tokenised. A leader's tokens are copied once per
-    100,000 links of its bucket, so the links of a hot leader are checked by many tasks.
+    In every bucket the lowest id is compared with all members. Members that are not similar to it elect the next
+    lowest of them, which is compared with all members as well, until each member is similar to a leader or has been
+    one; a bucket of similar texts takes one round, and its pairs are never enumerated. The similarity is exact, over
+    the tokens between single spaces; only texts that share a bucket are tokenised. Copies of a text are linked to its
+    lowest id with similarity 1. Without ``bands`` and ``rows`` the search takes 16 bands of 8 rows.
     """
-    links = materialise(_leader_links(_bands(df, id_col, text_col, threshold, num_perm, bands, rows)), "links")
-    linked = links.select(F.explode(F.array("id", "leader")).alias("id")).distinct()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(linked, "id", "left_semi")
+    if bands is None or rows is None:
+        bands, rows = VERIFIED_BANDS
+    signed = sign_corpus(df, id_col, text_col, threshold, num_perm, bands, rows)
+    n_bands = signed.bands.count()
+    shared = materialise(signed.bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
+    buckets = materialise(attach(signed.bands, shared, "key", "inner", n_bands), "buckets")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(buckets.select("id").distinct(), "id", "left_semi")
     tokens = materialise(texts.select("id", F.array_distinct(tx.space_tokens("text")).alias("tokens")), "tokens")
-    copies = F.floor(F.col("n") / ROWS_PER_SALT)
-    leaders = (
-        links.groupBy("leader", "n").agg(F.count("*").alias("_links"))
-        .join(tokens.withColumnsRenamed({"id": "leader", "tokens": "leader_tokens"}), "leader")
-        .select("leader", "n", "leader_tokens", F.explode(F.sequence(F.lit(0).cast("long"), copies)).alias("salt"))
-    )
-    salted = links.withColumn("salt", F.pmod(F.xxhash64("id"), copies + 1))
-    checked = salted.join(tokens, "id").join(leaders, ["leader", "n", "salt"])
-    scored = checked.select("id", "leader", jaccard(F.col("tokens"), F.col("leader_tokens")).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= threshold)
+    found = [signed.copies.select("id", F.col("first").alias("leader"), F.lit(1.0).alias("jaccard"))]
+    open_rows, tried = buckets, None
+    while not open_rows.isEmpty():
+        elected = materialise(open_rows.groupBy("key").agg(F.min("id").alias("leader")), "elected")
+        met = attach(buckets, elected, "key", "inner", n_bands).where("id <> leader").select("id", "leader").distinct()
+        if tried is not None:
+            met = met.join(tried, ["id", "leader"], "left_anti").join(
+                tried.select(F.col("leader").alias("id"), F.col("id").alias("leader")), ["id", "leader"], "left_anti"
+            )
+        links = materialise(met, "links")
+        similar = materialise(_checked(links, tokens, threshold), "similar")
+        found.append(similar)
+        tried = links if tried is None else tried.unionByName(links)
+        alike = reduce(DataFrame.unionByName, found[1:]).select("id", "leader")
+        alike = alike.unionByName(alike.select(F.col("leader").alias("id"), F.col("id").alias("leader")))
+        left = attach(open_rows, elected, "key", "inner", n_bands).where("id <> leader")
+        open_rows = materialise(left.join(alike, ["id", "leader"], "left_anti").select("id", "key"), "open")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _with_copies(groups: DataFrame, copies: DataFrame) -> DataFrame:
+    """Groups of distinct texts with the other ids of each text; a repeated text without a group makes one."""
+    first = copies.select(F.col("first").alias("id")).distinct()
+    own = first.join(groups.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("group_id"))
+    every = groups.unionByName(own)
+    more = copies.join(every.select(F.col("id").alias("first"), "group_id"), "first").select("id", "group_id")
+    return every.unionByName(more)
+
+
+def signed_groups(signed: Signed) -> DataFrame:
+    """``(id, group_id)``, connected by collisions."""
+    groups = connected_components(_tree_edges(signed.bands)).select("id", F.col("component").alias("group_id"))
+    return _with_copies(materialise(groups, "groups"), signed.copies)
 
 
 def near_duplicate_groups(
@@ -111,52 +175,74 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """``(id, group_id)`` for every text that is in a group; a group is named by its lowest id.
 
-    ``components`` joins texts that are connected by collisions, or with ``verify`` by similar links.
+    ``components`` joins texts that are connected by collisions, or with ``verify`` by similar links; without ``bands``
+    and ``rows`` the first takes the bands that fit the threshold, the second 16 bands of 8 rows.
     ``star`` walks the ids upwards and lets each text that is in no group yet open one with all texts it
     collides with, so groups may overlap.
     """
-    if grouping == "star":
-        if verify:
-            raise ValueError("star groups are built from collisions alone")
-        return _star_groups(_bands(df, id_col, text_col, threshold, num_perm, bands, rows))
-    if grouping != "components":
+    if grouping not in ("components", "star"):
         raise ValueError(f"unknown grouping {grouping!r}")
     if verify:
+        if grouping == "star":
+            raise ValueError("star groups are built from collisions alone")
         pairs = near_duplicate_pairs(df, id_col, text_col, threshold, num_perm, bands, rows)
         edges = pairs.select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    else:
-        edges = _tree_edges(_bands(df, id_col, text_col, threshold, num_perm, bands, rows))
-    return connected_components(edges).select("id", F.col("component").alias("group_id"))
+        return connected_components(edges).select("id", F.col("component").alias("group_id"))
+    signed = sign_corpus(df, id_col, text_col, threshold, num_perm, bands, rows)
+    if grouping == "star":
+        return _with_copies(materialise(_star_groups(signed.bands), "star-groups"), signed.copies)
+    return signed_groups(signed)
 
 
 def _star_groups(bands: DataFrame) -> DataFrame:
-    """Rounds of the upward walk: a text opens a group once it is the lowest open one in all its buckets."""
+    """Rounds of the upward walk: a text opens a group once it is the lowest open one in all its buckets.
+
+    There are as many rounds as the longest chain of ascending ids in which each text collides with the next; every
+    round appends its centres to one written table.
+    """
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     n_rows = bands.count()
     rows = materialise(attach(bands, sizes, "key", "inner", n_rows), "buckets")
-    open_rows, found = rows, []
+    spark, path = bands.sparkSession, scratch_path(bands.sparkSession, "centres")
+    schema = rows.select("key", F.col("id").alias("group_id")).schema
+    open_rows, rounds = rows, 0
     while not open_rows.isEmpty():
         lowest = open_rows.groupBy("key").agg(F.min("id").alias("lowest"))
         seen = materialise(attach(open_rows, lowest, "key", "inner", n_rows), "lowest")
         centres = seen.groupBy("id").agg(F.bool_and(F.col("id") == F.col("lowest")).alias("opens")).where("opens")
-        owned = materialise(seen.join(centres.select("id"), "id", "left_semi").select("key", F.col("id").alias("group_id")), "centres")
-        found.append(owned)
+        own = seen.join(centres.select("id"), "id", "left_semi").select("key", F.col("id").alias("group_id"))
+        own.write.parquet(f"{path}/round={rounds}")
+        owned = spark.read.schema(schema).parquet(f"{path}/round={rounds}")
         covered = attach(open_rows, owned, "key", "inner", n_rows).select("id").distinct()
         open_rows = materialise(open_rows.join(covered, "id", "left_anti"), "open")
-    if not found:
+        rounds += 1
+    if not rounds:
         return rows.select("id", F.col("id").alias("group_id"))
-    owners = reduce(DataFrame.unionByName, found)
+    owners = spark.read.schema(schema).parquet(path).select("key", "group_id")
     return attach(rows, owners, "key", "inner", n_rows).select("id", "group_id").distinct()
 
 
 def remove_near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", **search) -> DataFrame:
     """Keep the text that names each group, and all texts without a group."""
-    groups = near_duplicate_groups(df, id_col, text_col, **search)
+    groups = materialise(near_duplicate_groups(df, id_col, text_col, **search), "all-groups")
     kept = groups.where("id = group_id").select("id")
     dropped = groups.where("id <> group_id").select("id").distinct().join(kept, "id", "left_anti")
     return drop_ids(df, dropped.withColumnRenamed("id", id_col), id_col)
 
 
+def overlapping(ours: Signed, theirs: Signed, drop_internal: bool = False) -> DataFrame:
+    """``(id)`` of our texts that collide with one of theirs or, with ``drop_internal``, with another of ours."""
+    keys = theirs.bands.select("key")
+    if drop_internal:
+        repeated = ours.bands.groupBy("key").agg(F.count("*").alias("n"))
+        keys = keys.unionByName(repeated.where("n > 1").select("key"))
+    hits = attach(ours.bands, keys.distinct(), "key", "inner", ours.bands.count()).select("id")
+    if drop_internal:
+        hits = hits.unionByName(ours.copies.select(F.col("first").alias("id")))
+    hits = materialise(hits.distinct(), "overlap")
+    return hits.unionByName(ours.copies.join(hits.withColumnRenamed("id", "first"), "first").select("id"))
+
+
 def remove_overlap(
     candidate: DataFrame,
     base: DataFrame,
@@ -169,19 +255,27 @@ def remove_overlap(
     bands: int | None = None,
     rows: int | None = None,
     drop_internal: bool = False,
+    verify: bool = False,
 ) -> DataFrame:
     """Drop candidate texts that collide with a base text.
 
-    ``drop_internal`` also drops candidates that collide with one another, every copy of them.
+    ``drop_internal`` also drops candidates that collide with one another, every copy of them. With ``verify`` both
+    corpora are searched as one: candidates in a verified group with a base text, or with ``drop_internal`` in any
+    verified group, are dropped.
     """
-    ours = _bands(candidate, id_col, text_col, threshold, num_perm, bands, rows)
-    theirs = _bands(base, base_id_col or id_col, base_text_col or text_col, threshold, num_perm, bands, rows)
-    keys = theirs.select("key")
-    if drop_internal:
-        repeated = ours.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        keys = keys.unionByName(repeated.select("key"))
-    hits = attach(ours, keys.distinct(), "key", "inner", ours.count()).select(F.col("id").alias(id_col)).distinct()
-    return drop_ids(candidate, hits, id_col)
+    search = {"threshold": threshold, "num_perm": num_perm, "bands": bands, "rows": rows}
+    base_id, base_text = base_id_col or id_col, base_text_col or text_col
+    if verify:
+        ours = candidate.select(F.lit(1).alias("side"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+        theirs = base.select(F.lit(0).alias("side"), F.col(base_id).alias("own"), F.col(base_text).alias("text"))
+        both = materialise(ours.unionByName(theirs).select(F.struct("side", "own").alias("id"), "text"), "both")
+        groups = materialise(near_duplicate_groups(both, "id", "text", verify=True, **search), "both-groups")
+        # A group is named by its lowest id, and base ids are below all others.
+        hit = F.col("id.side") == 1 if drop_internal else (F.col("id.side") == 1) & (F.col("group_id.side") == 0)
+        return drop_ids(candidate, groups.where(hit).select(F.col("id.own").alias(id_col)), id_col)
+    ours = sign_corpus(candidate, id_col, text_col, **search)
+    theirs = sign_corpus(base, base_id, base_text, **search)
+    return drop_ids(candidate, overlapping(ours, theirs, drop_internal).select(F.col("id").alias(id_col)), id_col)
 
 
 def group_report(groups: DataFrame, df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

@@ -144,13 +144,14 @@ def oversample_draws(df: DataFrame, id_col: str, label_col: str = "label", seed:
     return rank_in_class(df, id_col, label_col, seed).join(drawn, [label_col, "rank"]).select(id_col, "copies")
 
 
-def oversample(df: DataFrame, id_col: str, label_col: str = "label", seed: int = 0) -> DataFrame:
+def oversample(df: DataFrame, id_col: str, label_col: str = "label", seed: int = 0, draws: DataFrame | None = None) -> DataFrame:
     """All rows (``copy`` 0) and, numbered from 1, the drawn copies that make all classes equally large.
 
     Texts travel once, keyed by id, next to a copy count. A row drawn very often is cut into pieces that are
-    spread over all tasks before they are expanded.
+    spread over all tasks before they are expanded. ``draws`` is a written result of ``oversample_draws``, if there is one.
     """
-    draws = materialise(oversample_draws(df, id_col, label_col, seed), "draws")
+    if draws is None:
+        draws = materialise(oversample_draws(df, id_col, label_col, seed), "draws")
     here = F.least(F.coalesce("copies", F.lit(0)), F.lit(COPIES_PER_ROW)).cast("long")
     first = F.explode(F.sequence(F.lit(0).cast("long"), here))
     balanced = df.join(draws, id_col, "left").withColumn("copy", first).drop("copies")
@@ -192,11 +193,21 @@ def sample_per_class(
     if not classes:
         return keyed.select(label_col, F.lit(0).alias("request"), F.lit(0).alias("position"), id_col)
     near = reduce(lambda a, b: a | b, [(F.col(label_col) == c[label_col]) & (F.col("_bucket") <= c["last"]) for c in classes])
-    order = Window.partitionBy(label_col).orderBy("_key", id_col)
-    ranked = keyed.where(near).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
-    turns = [
-        (c[label_col], r, p, (r * n + p) % c["size"] + 1) for c in classes for r in range(requests) for p in range(min(n, c["size"]))
-    ]
-    label_type = df.schema[label_col].dataType.simpleString()
-    schedule = df.sparkSession.createDataFrame(turns, f"`{label_col}` {label_type}, request int, position int, _rank int")
-    return ranked.join(schedule, [label_col, "_rank"]).select(label_col, "request", "position", id_col)
+    # Numbered per class and hash prefix, so no task ranks a whole class; the prefixes taken are the lowest ones.
+    ranked = rank_in_class(keyed.where(near).select(id_col, label_col), id_col, label_col, seed).where(F.col("rank") < most)
+    # The schedule is made where it is needed: every task numbers its own slots.
+    spark = df.sparkSession
+    slots = spark.range(len(classes) * requests * n)
+    entry = F.get(F.array(*[F.struct(F.lit(c[label_col]).alias("label"), F.lit(c["size"]).alias("size")) for c in classes]), F.floor(F.col("id") / (requests * n)).cast("int"))
+    request, position = F.floor(F.col("id") / n) % requests, F.col("id") % n
+    schedule = (
+        slots.select(entry.alias("_class"), request.cast("int").alias("request"), position.cast("int").alias("position"))
+        .where(F.col("position") < F.col("_class.size"))
+        .select(
+            F.col("_class.label").cast(df.schema[label_col].dataType).alias(label_col),
+            "request",
+            "position",
+            ((F.col("request").cast("long") * n + F.col("position")) % F.col("_class.size")).alias("rank"),
+        )
+    )
+    return ranked.join(schedule, [label_col, "rank"]).select(label_col, "request", "position", id_col)

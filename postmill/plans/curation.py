@@ -4,19 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from postmill.operators.corpus import clean_main, merge_generated
-from postmill.operators.neardup import remove_near_duplicates, remove_overlap
+from pyspark.sql import functions as F
+
+from postmill.operators.corpus import clean_main, drop_ids, merge_generated
+from postmill.operators.metrics import class_counts, profile_duplicates, profile_nulls
+from postmill.operators.neardup import Signed, overlapping, remove_near_duplicates, remove_overlap, sign_corpus, signed_groups
 from postmill.sources.scratch import materialise
 
 
 def curate_synthetic(
-    main: DataFrame, generated: DataFrame, human: DataFrame, id_col: str, human_id_col: str | None = None, **search
+    main: DataFrame, generated: DataFrame, human: DataFrame, id_col: str, human_id_col: str | None = None, verify: bool = False, **search
 ) -> DataFrame:
-    """Merge new posts into the main table, clean it, and drop near copies within it and of human posts."""
-    merged = merge_generated(main, generated)
-    cleaned = materialise(clean_main(merged, id_col=id_col), "cleaned")
-    distinct = remove_near_duplicates(cleaned, id_col, "tweet", **search)
-    overlap = {k: v for k, v in search.items() if k in ("threshold", "num_perm", "bands", "rows")}
-    return remove_overlap(
-        distinct, human, id_col, "tweet", base_id_col=human_id_col or id_col, base_text_col="tweet", **overlap
-    )
+    """Merge new posts into the main table, clean it, and drop near copies within it and of human posts.
+
+    Every distinct text is signed once: the bands of the posts that survive the first step serve the second. With
+    ``verify`` both steps check similarities.
+    """
+    cleaned = materialise(clean_main(merge_generated(main, generated), id_col=id_col), "cleaned")
+    human_id = human_id_col or id_col
+    if verify or search.get("grouping", "components") != "components":
+        distinct = remove_near_duplicates(cleaned, id_col, "tweet", verify=verify, **search)
+        overlap = {k: v for k, v in search.items() if k != "grouping"}
+        return remove_overlap(distinct, human, id_col, "tweet", base_id_col=human_id, base_text_col="tweet", verify=verify, **overlap)
+    search.pop("grouping", None)
+    ours = sign_corpus(cleaned, id_col, "tweet", **search)
+    theirs = sign_corpus(human, human_id, "tweet", **search)
+    near = materialise(signed_groups(ours).where("id <> group_id").select("id"), "near-copies")
+    left = Signed(ours.bands.join(near, "id", "left_anti"), ours.copies.join(near, "id", "left_anti"))
+    dropped = near.unionByName(overlapping(left, theirs)).withColumnRenamed("id", id_col)
+    return drop_ids(cleaned, dropped, id_col)
+
+
+def curation_profile(main: DataFrame, generated: DataFrame, id_col: str, text_col: str = "tweet", label_col: str = "sentiment") -> DataFrame:
+    """``(stage, measure, value)``: duplicate rows, missing cells and rows per class before and after cleaning."""
+    merged = materialise(merge_generated(main, generated), "merged")
+    rows = None
+    for stage, df in (("merged", merged), ("cleaned", materialise(clean_main(merged, text_col, label_col, id_col), "cleaned"))):
+        posts = df.drop(id_col)
+        measures = [
+            profile_duplicates(posts).select(F.lit("duplicate_rows").alias("measure"), F.col("duplicate_rows").alias("value")),
+            profile_nulls(posts).select(F.explode(F.create_map(*[x for c in [*posts.columns, "cells"] for x in (F.lit(f"null_{c}"), F.col(f"null_{c}"))])).alias("measure", "value")),
+            class_counts(posts, label_col).select(F.concat(F.lit("rows_of_"), F.col(label_col).cast("string")).alias("measure"), F.col("n_rows").alias("value")),
+        ]
+        for measure in measures:
+            own = measure.select(F.lit(stage).alias("stage"), "measure", "value")
+            rows = own if rows is None else rows.unionByName(own)
+    return rows

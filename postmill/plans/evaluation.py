@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from postmill.functions import fixed
 from postmill.functions.labels import decode_labels, harmonise_predictions
-from postmill.operators.metrics import confusion_matrix, metrics_report
+from postmill.operators.metrics import confusion_counts, matrix_of, report_of
+from postmill.sources.scratch import materialise
 
 
 def label_pairs(scored: DataFrame, category: str, true_col: str = "label", pred_col: str = "predicted") -> DataFrame:
@@ -23,8 +24,12 @@ def label_pairs(scored: DataFrame, category: str, true_col: str = "label", pred_
     raise ValueError(f"unknown category {category!r}")
 
 
-def evaluate(scored: DataFrame, category: str, true_col: str = "label", pred_col: str = "predicted") -> tuple[DataFrame, DataFrame]:
-    """Metrics report and confusion matrix of a scored table."""
-    pairs = label_pairs(scored, category, true_col, pred_col)
-    prefix = "eval" if category == "finetune" else category
-    return metrics_report(pairs, "true", "pred", prefix), confusion_matrix(pairs, "true", "pred")
+def evaluate(
+    scored: DataFrame, category: str, true_col: str = "label", pred_col: str = "predicted", losses: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Metrics report and confusion matrix of a scored table; ``losses`` adds a perplexity row to the report.
+
+    Both come from one written table of counts, so a prediction in ``scored`` is made once.
+    """
+    counts = materialise(confusion_counts(label_pairs(scored, category, true_col, pred_col), "true", "pred"), "confusion")
+    return report_of(counts, "test", losses), matrix_of(counts)

@@ -79,14 +79,20 @@ def build_training_set(
     seed: int = 42,
     draw_seed: int = 0,
     synonyms: DataFrame | None = None,
+    keep_leaks: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Balanced training rows from both corpora, and the validation rows of the human one as they are.
 
-    Ids may repeat across the corpora, so training rows are told apart by ``row_id``, ``<corpus>:<id>``.
+    Ids may repeat across the corpora, so training rows are told apart by ``row_id``, ``<corpus>:<id>``. Synthetic posts
+    whose normalised text is a validation text are left out of training, unless ``keep_leaks``.
     """
     split = prepare_finetuning(human, id_col, frac, seed)
+    made = prepare_synthetic(synthetic, id_col)
+    if not keep_leaks:
+        held = split.where("split = 'validation'").select(F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+        made = made.join(held, (F.xxhash64("text") == F.col("_hash")) & (F.col("text") == F.col("_text")), "left_anti")
     training = combine_corpora(
-        {"synthetic": prepare_synthetic(synthetic, id_col), "human": split.where("split = 'train'").drop("split")}
+        {"synthetic": made, "human": split.where("split = 'train'").drop("split")}
     )
     row_id = F.concat_ws(":", F.col("corpus"), F.col(id_col).cast("string"))
     training = materialise(training.withColumn("row_id", row_id), "training")

@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from postmill.sources.scratch import SCRATCH
+
 _shipped: set[str] = set()
 
 
@@ -23,9 +25,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
         .getOrCreate()
     )
     ship_package(spark)
+    local_scratch(spark)
     return spark
 
 
+def local_scratch(spark: SparkSession) -> None:
+    """A temporary scratch folder for a session on one machine that names none."""
+    named = spark.conf.get(SCRATCH, None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] == "local":
+        spark.conf.set(SCRATCH, tempfile.mkdtemp(prefix="postmill-"))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers; not needed when it is installed or passed by ``--py-files``."""
     context = spark.sparkContext

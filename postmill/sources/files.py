@@ -76,30 +76,58 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split", mode: str =
 
 
 def convert_format(
-    spark: SparkSession, source: str, target: str, schema: T.StructType | str, mode: str = "errorifexists"
+    spark: SparkSession,
+    source: str,
+    target: str,
+    schema: T.StructType | str,
+    mode: str = "errorifexists",
+    header: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Turn a CSV of posts into a parquet table and return a reader over it."""
-    write_posts(read_posts(spark, source, format="csv", schema=schema), target, mode=mode)
+    """Turn a CSV of posts into a parquet table and return a reader over it.
+
+    Without ``multi_line`` no record may span lines, and Spark can split a large file.
+    """
+    posts = read_posts(spark, source, format="csv", schema=schema, header=header, multi_line=multi_line)
+    write_posts(posts, target, mode=mode)
     return spark.read.schema(schema).parquet(target)
 
 
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
+
+
 def replace_table(df: DataFrame, path: str) -> str:
     """Replace the parquet table at ``path``; the previous version stays next to it as ``<path>_old``.
 
-    The new version is complete before anything is renamed, so ``df`` may read the table it replaces.
+    The new version is complete before anything is renamed, so ``df`` may read the table it replaces. A version from
+    an earlier replacement is removed only when the new one is in place; when a rename fails, the table and the earlier
+    version are put back and the error is raised.
     """
     spark = df.sparkSession
     path = path.rstrip("/")
-    staged = f"{path}_new_{uuid.uuid4().hex}"
-    df.write.parquet(staged)
+    tag = uuid.uuid4().hex
     fs, current = hadoop_fs(spark, path)
     _, kept = hadoop_fs(spark, f"{path}_old")
-    _, fresh = hadoop_fs(spark, staged)
-    if fs.exists(current):
-        if fs.exists(kept):
-            raise FileExistsError(f"{path}_old already holds an earlier version")
-        fs.rename(current, kept)
-    fs.rename(fresh, current)
+    _, fresh = hadoop_fs(spark, f"{path}_new_{tag}")
+    _, aside = hadoop_fs(spark, f"{path}_older_{tag}")
+    df.write.parquet(f"{path}_new_{tag}")
+    undo = []
+    try:
+        if fs.exists(current):
+            if fs.exists(kept):
+                _rename(fs, kept, aside)
+                undo.append((aside, kept))
+            _rename(fs, current, kept)
+            undo.append((kept, current))
+        _rename(fs, fresh, current)
+    except Exception:
+        for moved, back in reversed(undo):
+            _rename(fs, moved, back)
+        fs.delete(fresh, True)
+        raise
+    fs.delete(aside, True)
     return f"{path}_old"
 
 
@@ -107,3 +135,14 @@ def split_accepted_rejected(df: DataFrame, accepted: Column) -> tuple[DataFrame,
     """Two frames: rows for which ``accepted`` is true, and all others, NULL verdicts included."""
     verdict = F.coalesce(accepted, F.lit(False))
     return df.where(verdict), df.where(~verdict)
+
+
+def write_accepted_rejected(df: DataFrame, accepted: Column, path: str, format: str = "parquet", mode: str = "errorifexists") -> tuple[DataFrame, DataFrame]:
+    """Write both sides in one pass, as ``side=accepted`` and ``side=rejected`` folders (CSV with a header), and return
+    a reader over each. ``df`` is evaluated once."""
+    side = F.when(F.coalesce(accepted, F.lit(False)), "accepted").otherwise("rejected")
+    write_posts(df.withColumn("side", side), path, format=format, mode=mode, partition_by=["side"])
+    schema = T.StructType([*df.schema.fields, T.StructField("side", T.StringType())])
+    reader = df.sparkSession.read.schema(schema)
+    every = reader.options(header=True, multiLine=True, **_CSV).csv(path) if format == "csv" else reader.format(format).load(path)
+    return tuple(every.where(F.col("side") == name).drop("side") for name in ("accepted", "rejected"))

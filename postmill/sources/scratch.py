@@ -6,25 +6,22 @@ checkpoint it is columnar: later passes that need only ids do not read the texts
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+SCRATCH = "spark.postmill.scratch"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``, or a temporary one for a local session without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
+    """Folder of this application under ``spark.postmill.scratch`` or, where that is unset, ``spark.checkpoint.dir``.
+
+    Either must name a folder that all executors share.
+    """
+    root = spark.conf.get(SCRATCH, None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if app not in _local_roots:
-            _local_roots[app] = tempfile.mkdtemp(prefix="postmill-")
-        root = _local_roots[app]
-    return f"{root.rstrip('/')}/postmill-{app}"
+        raise ValueError(f"set {SCRATCH} or spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/')}/postmill-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -39,12 +36,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows on all cores, for a CPU-bound step over a table of fewer files than cores; others stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *df.columns) if 0 < len(df._jdf.inputFiles()) < cores else df
-
-
 def hadoop_fs(spark: SparkSession, path: str):
     """The Hadoop file system and path object for ``path``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,33 +11,48 @@ from postmill.operators.generated import accepted_and_failed, parse_responses
 from postmill.sources.scratch import hadoop_fs
 
 RESPONSES = "label int, body string"
+BROKEN = "_corrupt_record"
 ACCEPTED = "label int, position int, tweet string"
 FAILED = "label int, generated string, reason string"
+COUNTS = "label int, n long"
+
+
+def counts_path(accepted_path: str) -> str:
+    """Accepted posts per class and batch, a few rows each, next to the accepted posts."""
+    return f"{accepted_path.rstrip('/')}_counts"
 
 
 def full_classes(spark: SparkSession, accepted_path: str, quota: int, before_batch: int) -> list[int]:
-    """Classes with more than ``quota`` accepted posts from batches before ``before_batch``."""
-    fs, path = hadoop_fs(spark, accepted_path)
+    """Classes with more than ``quota`` accepted posts from batches before ``before_batch``; reads the counts only."""
+    fs, path = hadoop_fs(spark, counts_path(accepted_path))
     if not fs.exists(path):
         return []
-    accepted = spark.read.schema(f"{ACCEPTED}, batch_id long").parquet(accepted_path)
-    counts = accepted.where(F.col("batch_id") < before_batch).groupBy("label").agg(F.count("*").alias("n"))
+    counts = spark.read.schema(f"{COUNTS}, batch_id long").parquet(counts_path(accepted_path))
+    totals = counts.where(F.col("batch_id") < before_batch).groupBy("label").agg(F.sum("n").alias("n"))
     # One row per class code of the generator, so a handful.
-    return [row.label for row in counts.where(F.col("n") > quota).collect()]
+    return [row.label for row in totals.where(F.col("n") > quota).collect()]
 
 
 def write_batch(batch: DataFrame, batch_id: int, accepted_path: str, failed_path: str, quota: int) -> None:
     """Parse one batch and write its two sides under its own folder, so that a replay overwrites itself.
 
-    Responses of a class that was full before the batch go to the failed side, unparsed.
+    Responses of a class that was full before the batch go to the failed side, unparsed, and so do lines that are no
+    JSON object of the expected form.
     """
     full = full_classes(batch.sparkSession, accepted_path, quota, batch_id)
+    broken = F.col(BROKEN).isNotNull() if BROKEN in batch.columns else F.lit(False)
     is_full = F.coalesce(F.col("label").isin(full), F.lit(False)) if full else F.lit(False)
-    parsed = parse_responses(batch.where(~is_full)).persist()
+    parsed = parse_responses(batch.where(~broken & ~is_full).select("label", "body")).persist()
     accepted, failed = accepted_and_failed(parsed)
-    over = batch.where(is_full).select("label", F.col("body").alias("generated"), F.lit("over_quota").alias("reason"))
-    accepted.write.mode("overwrite").parquet(f"{accepted_path}/batch_id={batch_id}")
-    failed.unionByName(over).write.mode("overwrite").parquet(f"{failed_path}/batch_id={batch_id}")
+    over = batch.where(~broken & is_full).select("label", F.col("body").alias("generated"), F.lit("over_quota").alias("reason"))
+    failed = failed.unionByName(over)
+    if BROKEN in batch.columns:
+        failed = failed.unionByName(batch.where(broken).select("label", F.col(BROKEN).alias("generated"), F.lit("bad_line").alias("reason")))
+    target = f"{accepted_path}/batch_id={batch_id}"
+    accepted.write.mode("overwrite").parquet(target)
+    failed.write.mode("overwrite").parquet(f"{failed_path}/batch_id={batch_id}")
+    counts = batch.sparkSession.read.schema(ACCEPTED).parquet(target).groupBy("label").agg(F.count("*").alias("n"))
+    counts.coalesce(1).write.mode("overwrite").parquet(f"{counts_path(accepted_path)}/batch_id={batch_id}")
     parsed.unpersist()
 
 
@@ -53,10 +68,11 @@ def ingest_responses(
 ) -> StreamingQuery:
     """Start the stream over a folder of JSON lines ``{"label": code, "body": response}``.
 
-    A body that is no response, or holds no usable post, is kept on the failed side with a reason; nothing
-    stops the stream. The quota is looked up once per batch, so a class may overshoot by one batch.
+    A body that is no response, or holds no usable post, is kept on the failed side with a reason, and so is the text of
+    a line that is broken; nothing is lost and nothing stops the stream. The quota is looked up once per batch, so a class may overshoot by one batch.
     """
-    source = spark.readStream.schema(RESPONSES).option("maxFilesPerTrigger", files_per_batch).json(landing)
+    schema = f"{RESPONSES}, {BROKEN} string"
+    source = spark.readStream.schema(schema).options(maxFilesPerTrigger=files_per_batch, columnNameOfCorruptRecord=BROKEN).json(landing)
     writer = source.writeStream.foreachBatch(
         lambda batch, batch_id: write_batch(batch, batch_id, accepted_path, failed_path, quota)
     ).option("checkpointLocation", checkpoint)

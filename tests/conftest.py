@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent.parent))
 
 from postmill.session import local_session  # noqa: E402
+from postmill.sources.scratch import drop_scratch  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -15,6 +16,7 @@ def spark():
     session = local_session(4, shuffle_partitions=4, driver_memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
 
 

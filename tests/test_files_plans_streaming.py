@@ -52,8 +52,39 @@ def test_replace_keeps_the_old_version(spark, tmp_path):
     posts(spark).write.parquet(path)
     kept = files.replace_table(spark.read.parquet(path).where("id = 1"), path)
     assert spark.read.parquet(path).count() == 1 and spark.read.parquet(kept).count() == 4
-    with pytest.raises(FileExistsError):
-        files.replace_table(spark.read.parquet(path), path)
+    files.replace_table(posts(spark), path)
+    assert spark.read.parquet(path).count() == 4 and spark.read.parquet(kept).count() == 1
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["main", "main_old"]
+
+
+def test_a_failing_rename_leaves_both_versions(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/main"
+    posts(spark).write.parquet(path)
+    kept = files.replace_table(posts(spark).where("id = 1"), path)
+    rename, calls = files._rename, []
+
+    def failing(fs, source, target):
+        calls.append(target)
+        if len(calls) == 3:
+            raise OSError("no")
+        rename(fs, source, target)
+
+    monkeypatch.setattr(files, "_rename", failing)
+    with pytest.raises(OSError):
+        files.replace_table(posts(spark).where("id < 0"), path)
+    assert spark.read.parquet(path).count() == 1 and spark.read.parquet(kept).count() == 4
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["main", "main_old"]
+
+
+def test_both_sides_are_written_once(spark, tmp_path):
+    good, bad = files.write_accepted_rejected(posts(spark), F.col("id") == 1, f"{tmp_path}/sides", format="csv")
+    assert good.count() == 1 and bad.count() == 3 and good.columns == posts(spark).columns
+
+
+def test_csv_without_header(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("\nfirst post,1\nsecond post,-1\n")
+    out = files.convert_format(spark, f"{tmp_path}/plain.csv", f"{tmp_path}/plain", files.POSTS, header=False, multi_line=False)
+    assert sorted((r.text, r.label) for r in out.collect()) == [("first post", 1), ("second post", -1)]
 
 
 def test_scratch_follows_the_session(spark):
@@ -141,3 +172,32 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     batch = spark.read.schema(ingest.RESPONSES).json(f"{tmp_path}/landing")
     ingest.write_batch(batch, 0, f"{tmp_path}/accepted", f"{tmp_path}/failed", quota=0)
     assert sorted((r.label, r.tweet) for r in ingest.read_accepted(spark, f"{tmp_path}/accepted").collect()) == before[0]
+
+
+def test_a_broken_line_is_kept(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    body = json.dumps({"output": {"choices": [{"text": json.dumps({"0": "a post of words"})}]}})
+    (landing / "a.json").write_text(json.dumps({"label": 1, "body": body}) + '\n{"label": 2, "body": "cut off\n')
+    places = [f"{tmp_path}/{name}" for name in ("accepted", "failed", "state")]
+    ingest.ingest_responses(spark, str(landing), *places, available_now=True).awaitTermination()
+    assert [r.tweet for r in ingest.read_accepted(spark, places[0]).collect()] == ["a post of words"]
+    assert [(r.generated, r.reason) for r in ingest.read_failed(spark, places[1]).collect()] == [('{"label": 2, "body": "cut off', "bad_line")]
+
+
+def test_the_quota_reads_counts_only(spark, tmp_path):
+    accepted = f"{tmp_path}/accepted"
+    spark.createDataFrame([(1, 5), (2, 1)], "label int, n long").write.parquet(f"{ingest.counts_path(accepted)}/batch_id=0")
+    spark.createDataFrame([(1, 5), (2, 9)], "label int, n long").write.parquet(f"{ingest.counts_path(accepted)}/batch_id=1")
+    assert ingest.full_classes(spark, accepted, 4, 1) == [1]
+    assert sorted(ingest.full_classes(spark, accepted, 4, 2)) == [1, 2]
+
+
+def test_validation_texts_are_not_trained_on(spark):
+    human = spark.createDataFrame([(i, f"human post {i}", i % 3) for i in range(20)], "id long, tweet string, sentiment int")
+    made = spark.createDataFrame([(i, f"human post {i}", 0) for i in range(20)] + [(50, "made up post", 1)], "id long, tweet string, sentiment int")
+    train, validation = preparation.build_training_set(made, human, "id", mode=None)
+    held = {r.text for r in validation.collect()}
+    assert len(held) == 4 and not held & {r.text for r in train.collect()}
+    leaky, _ = preparation.build_training_set(made, human, "id", mode=None, keep_leaks=True)
+    assert held <= {r.text for r in leaky.collect()}

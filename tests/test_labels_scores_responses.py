@@ -5,6 +5,7 @@ import pytest
 
 from postmill.functions import labels, responses, scores
 from postmill.operators.generated import accepted_and_failed, few_shot_prompts, parse_posts, parse_responses
+from postmill.operators.sampling import sample_per_class
 
 
 def one(spark, value, schema, expression):
@@ -112,3 +113,30 @@ def test_short_class_gives_a_short_prompt(spark):
     df = spark.createDataFrame([(1, "a b", 2)], "id long, text string, label int")
     rows = few_shot_prompts(df, "id", requests=1).collect()
     assert [(r.label, r.n_examples) for r in rows] == [(2, 1)]
+
+
+@pytest.mark.parametrize(
+    "text,posts",
+    [
+        ("{'0': 'a b c', '1': 'it\\'s d e',}", ["a b c", "it's d e"]),
+        ("{'0': 'it's a b', '1': 'c d e',}", ["it's a b", "c d e"]),
+        ('{0: "a b c", 1: "d \\"e\\" f"}', ["a b c", 'd "e" f']),
+        ('{"0": "a b c" "1": "d e f"}', ["a b c", "d e f"]),
+        ('{"0": "a b c}', ["a b c"]),
+    ],
+)
+def test_repair_of_broken_objects(spark, text, posts):
+    assert one(spark, text, "string", responses.response_values("x")) == posts
+
+
+def test_tokens_of_the_top_ids(spark):
+    vocab = spark.createDataFrame([("a", 0), ("b", 1)], "token string, id int")
+    hits = spark.createDataFrame([(1,), (5,)], "id int")
+    assert sorted((r.id, r.token) for r in scores.token_of(vocab, hits).collect()) == [(1, "b"), (5, None)]
+
+
+def test_many_requests_need_no_list_on_the_driver(spark):
+    df = spark.createDataFrame([(i, i % 2, "t") for i in range(9)], "id long, label int, text string")
+    drawn = sample_per_class(df, "id", n=3, requests=20_000)
+    counts = drawn.groupBy("label", "request").count().groupBy("count").count().collect()
+    assert [tuple(r) for r in counts] == [(3, 40_000)]

@@ -44,7 +44,7 @@ def test_profiles(spark):
 def test_evaluate(spark):
     scored = spark.createDataFrame([(0, "NEUTRAL"), (1, "BEARISH")], "label int, predicted string")
     report, matrix = evaluation.evaluate(scored, "finetune")
-    assert {r.metric: r.value for r in report.collect()}["eval/final_accuracy"] == 0.5
+    assert {r.metric: r.value for r in report.collect()}["test/final_accuracy"] == 0.5
     assert sorted(r.true for r in matrix.collect()) == ["bearish", "bullish", "neutral"]
     named = spark.createDataFrame([("positive", "BULLISH"), ("negative", "neutral")], "label string, predicted string")
     assert evaluation.label_pairs(named, "test").collect() == [("positive", "positive"), ("negative", "neutral")]
@@ -99,3 +99,50 @@ def test_baseline_learns_obvious_words(spark):
     df = spark.createDataFrame(rows, "text string, label int")
     model = models.fit_sentiment_baseline(df, features=1 << 8, max_iter=10)
     assert models.predict_baseline(model, df).where("label = predicted").count() >= 43
+
+
+def test_missing_predictions_and_losses(spark):
+    rows = spark.createDataFrame([("a", "a"), ("a", None), ("b", "b"), ("b", "b"), (None, "a")], "true string, pred string")
+    assert metrics.accuracy(rows, "true", "pred").first().accuracy == 0.75
+    report = {r.metric: r.value for r in metrics.metrics_report(rows, "true", "pred").collect()}
+    assert report["test/final_accuracy"] == 0.75
+    losses = spark.createDataFrame([(1.0, 10), (None, 10)], "loss double, n long")
+    assert abs(metrics.perplexity(losses).first().perplexity - 2.718281828) < 1e-6
+    with pytest.raises(ValueError):
+        metrics.matrix_of(metrics.confusion_counts(rows, "true", "pred"), most=1)
+
+
+def test_predictions_are_made_once(spark, tmp_path):
+    log = f"{tmp_path}/calls"
+
+    def make():
+        def predict(texts):
+            with open(log, "a") as out:
+                out.write("x" * len(texts))
+            return [("NEUTRAL", 1.0) for _ in texts]
+
+        return predict
+
+    texts = spark.createDataFrame([(i % 3, f"t{i}") for i in range(40)], "label int, text string")
+    scored = models.score_corpus(texts, make).withColumn("predicted", F.col("prediction.label"))
+    report, matrix = evaluation.evaluate(scored, "finetune")
+    assert report.count() == 2 and matrix.count() == 3
+    assert len(open(log).read()) == 40
+
+
+def test_long_words_and_plan_of_encoding(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "ab" * 90 + " ab zz"), (2, None), (3, "")], "id long, text string")
+    own = spark.createDataFrame([(t, i) for i, t in enumerate([*encode.SPECIAL, "ab", "##ab"])], "token string, id int")
+    encoded = encode.encode_corpus(df, own, "id", max_len=400)
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    one = {r.id: (r.input_ids, r.attention_mask) for r in encoded.collect()}
+    assert one[1][0][:94] == [2, 7, *[8] * 89, 7, 1, 3] and sum(one[1][1]) == 94
+    monkeypatch.setattr(encode, "BROADCAST_TOKENS", 0)
+    assert {r.id: (r.input_ids, r.attention_mask) for r in encode.encode_corpus(df, own, "id", max_len=400).collect()} == one
+
+
+def test_baseline_with_missing_texts(spark):
+    rows = [("good \u00a0fine", 1), ("bad poor", 2), ("so so", 0), (None, 1), ("x", None)] * 5
+    df = spark.createDataFrame(rows, "text string, label int")
+    model = models.fit_sentiment_baseline(df, features=1 << 8, max_iter=5)
+    assert models.predict_baseline(model, df).where("predicted IN (0, 1, 2)").count() == 25

@@ -176,3 +176,51 @@ def test_attach_is_a_plain_join(spark, hot_rows):
     for how in ("left", "inner"):
         got = sorted(skew.attach(big, small, "k", how, hot_rows=hot_rows).select("n", "k", "v").collect(), key=str)
         assert got == sorted(big.join(small, "k", how).select("n", "k", "v").collect(), key=str)
+
+
+def test_fixed_values_of_the_signature_scheme():
+    a, b = minhash.permutations(128)
+    assert (int(a[0]), int(b[0]), int(a[-1]), int(b[-1])) == FIRST_AND_LAST
+    assert minhash.best_bands(0.95, 128) == (3, 42)
+
+
+# Multiplier and offset of the first and the last permutation.
+FIRST_AND_LAST = (775169054918279404, 1758426461858698312, 1931671111240692334, 1454448473341514576)
+
+
+def test_a_leader_that_is_not_similar_does_not_hide_links(spark):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[:60] + [f"x{i}" for i in range(30)]), " ".join(words), " ".join(words[:-1] + ["other"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = neardup.near_duplicate_pairs(df, "id", bands=32, rows=1).collect()
+    assert [(r.id, r.leader) for r in pairs] == [(2, 1)]
+    groups = neardup.near_duplicate_groups(df, "id", bands=32, rows=1, verify=True)
+    assert sorted(tuple(r) for r in groups.collect()) == [(1, 1), (2, 1)]
+
+
+def test_many_bands(spark):
+    _, df = corpus(spark)
+    assert minhash.band_keys(df, "id", 300, 1, num_perm=300).count() == 300 * df.count()
+
+
+def test_copies_are_signed_once(spark):
+    df = spark.createDataFrame([(i, f"text number {i % 4}") for i in range(20)], "id long, text string")
+    signed = neardup.sign_corpus(df, "id")
+    assert signed.bands.select("id").distinct().count() == 4 and signed.copies.count() == 16
+    assert sorted(tuple(r) for r in neardup.near_duplicate_groups(df, "id").collect()) == [(i, i % 4) for i in range(20)]
+
+
+def test_signing_keeps_the_splits(spark, tmp_path):
+    spark.range(4000).selectExpr("id", "concat('some text ', id) AS text").coalesce(1).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    before = df.rdd.getNumPartitions()
+    assert minhash.minhash_signature(df).rdd.getNumPartitions() >= before
+
+
+def test_verified_overlap(spark):
+    words = [f"w{i}" for i in range(100)]
+    base = spark.createDataFrame([(1, " ".join(words))], "id long, text string")
+    near = " ".join(words[:-1] + ["z"])
+    ours = spark.createDataFrame([(1, near), (2, "other words"), (3, "twin one"), (4, "twin one"), (5, None)], "id long, text string")
+    assert sorted(r.id for r in neardup.remove_overlap(ours, base, "id", verify=True).collect()) == [2, 3, 4, 5]
+    assert sorted(r.id for r in neardup.remove_overlap(ours, base, "id", verify=True, drop_internal=True).collect()) == [2, 5]
