@@ -240,6 +240,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = linked.groupBy("component").agg(F.min("lowest").alias("component_id"))
     moved = linked.join(named, "component").select("fingerprint", "component_id")
     labels = classes.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "lowest").alias("component_id"))
+    # Written, so that the join has a plain exchange on both sides, which Spark can split at a hot fingerprint.
+    labels = materialise(labels, "fingerprint-labels")
     return signed.join(labels, "fingerprint").select("id", "fingerprint", "component_id")
 
 
