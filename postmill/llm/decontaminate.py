@@ -136,7 +136,8 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, text_col: s
     hits = found.select(F.col("key").alias("_key"), F.col("hits").alias("_hits"))
     n_words = F.size(words(F.col(text_col)))
     if not spans:
-        n_hits = hits.select("_key", F.size("_hits").alias("_n_hit"))
+        # The keys grow with the corpus, so they are never broadcast: the same plan at every size.
+        n_hits = hits.select("_key", F.size("_hits").alias("_n_hit")).hint("merge")
         joined = keyed.join(n_hits, "_key", "left")
         dirty = is_contaminated(F.coalesce("_n_hit", F.lit(0)), F.when(F.col("_n_hit") > 0, n_words).otherwise(0))
         return joined.where(~dirty).select(*[documents[c] for c in documents.columns])

@@ -253,8 +253,9 @@ def keep_one(df: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFr
     """The row that names each component, one of them if the id repeats; ``groups`` is a written result."""
     named = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("_n"))
     named = materialise(named, "kept")
-    once = named.where(F.col("_n") == 1).select(F.col("id").alias("_kept"))
-    again = named.where(F.col("_n") > 1).select(F.col("id").alias("_kept"))
+    # The ids grow with the corpus, so they are never broadcast: the same plan at every size.
+    once = named.where(F.col("_n") == 1).select(F.col("id").alias("_kept")).hint("merge")
+    again = named.where(F.col("_n") > 1).select(F.col("id").alias("_kept")).hint("merge")
     single = df.join(once, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
     repeated = df.join(again, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
     return single.unionByName(repeated)
