@@ -10,8 +10,7 @@ blocks, which is exact as well.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb, log2
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +43,15 @@ def _mask(bits: range) -> int:
     return _signed(sum(1 << b for b in bits))
 
 
-def _probes(code: Column, bits: range, flips: int) -> Column:
-    """The chunk's values, in place, at exactly ``flips`` flipped bits."""
-    masks = ",".join(f"{_signed(sum(1 << b for b in chosen))}L" for chosen in combinations(bits, flips))
-    masks = masks.replace(f"{-(1 << 63)}L", "shiftleft(1L, 63)")
-    return F.transform(F.expr(f"array({masks})"), lambda m: code.bitwiseAND(_mask(bits)).bitwiseXOR(m))
+def _probes(queries: DataFrame, bits: range, flips: int) -> DataFrame:
+    """Queries with ``value``, the chunk's bits in place, at exactly ``flips`` flipped ones: a flip at a time, upwards."""
+    value = F.col("query_code").bitwiseAND(_mask(bits))
+    probes = queries.select("query_id", "query_code", value.alias("value"), F.lit(bits.start - 1).alias("_bit"))
+    for _ in range(flips):
+        further = probes.where(F.col("_bit") < bits.stop - 1)
+        grown = further.withColumn("_bit", F.explode(F.sequence(F.col("_bit") + 1, F.lit(bits.stop - 1))))
+        probes = grown.withColumn("value", F.expr("value ^ shiftleft(1L, _bit)"))
+    return probes.drop("_bit")
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
@@ -111,7 +114,8 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int, chunks: int | No
     n_codes = codes.count()
     total = min(k, codes.select(F.sum(F.size("ids"))).first()[0] or 0)
     if chunks is None:
-        chunks = max(2, round(BITS / max(log2(max(n_codes, 2)), 4)))
+        # As many chunks as leave a chunk no more values than there are codes, so that few probes are in vain.
+        chunks = max(2, ceil(BITS / max(log2(max(n_codes, 2)), 4)))
     cuts = chunk_bits(chunks)
     numbers = F.array(*[F.struct(F.lit(j).alias("chunk"), F.col("code").bitwiseAND(_mask(bits)).alias("value")) for j, bits in enumerate(cuts)])
     index = materialise(codes.select(F.explode(numbers).alias("_entry"), "code", "ids").select("_entry.*", "code", "ids"), "code-index")
@@ -134,8 +138,8 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int, chunks: int | No
         for chunk, bits in enumerate(cuts):
             if flips > len(bits):
                 continue
-            probes = active.select("query_id", "query_code", F.explode(_probes(F.col("query_code"), bits, flips)).alias("value"))
-            met = probes.join(index.where(F.col("chunk") == chunk), "value")
+            # Probes are far more than their queries, which Catalyst can't see: both sides are shuffled, none is broadcast.
+            met = _probes(active, bits, flips).join(index.where(F.col("chunk") == chunk).hint("merge"), "value")
             xor = F.col("query_code").bitwiseXOR(F.col("code"))
             met = met.where(_found_first(xor, chunk, cuts, flips))
             met = met.select("query_id", "query_code", F.explode("ids").alias("id"), F.bit_count(xor).cast("int").alias("distance"))
