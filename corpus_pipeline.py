@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import decontaminate, mixing, quality, sharding, simhash
-from postmill.llm.common import materialise, read_table
+from postmill.llm.common import materialise, read_table, with_place
 from postmill.llm.queries import SHARDS, WEIGHTS
 from postmill.session import ship_package
 
@@ -32,13 +32,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the schedule takes them from their sources."""
+    """All documents, in the order in which the schedule takes them from their sources; shards and slots follow it."""
     return mixing.mixed_order(docs, WEIGHTS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, size, text_crc32, shard, slot)`` of all documents."""
-    return sharding.shard_documents(docs, SHARDS).withColumnRenamed("id", "doc_id")
+    """``(doc_id, size, text_crc32, shard, slot)`` of all documents, dealt to the shards in the order they come in."""
+    return sharding.shard_documents(with_place(docs, "_at"), SHARDS, order_col="_at").withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

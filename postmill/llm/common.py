@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.sources.scratch import materialise
 
-__all__ = ["chunks_by_size", "materialise", "read_table", "salted_rank"]
+__all__ = ["chunks_by_size", "materialise", "read_table", "salted_rank", "with_place"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: the number of a row from 0 in the order of files and of rows in them. ``df`` reads a written parquet
+    table; another frame is written first. The driver sees one count per file."""
+    try:
+        files = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("n")).collect()
+    except AnalysisException:
+        return with_place(materialise(df, "placed-rows"), name)
+    part = re.compile(r"part-(\d+)")
+    starts, start = [], 0
+    for row in sorted(files, key=lambda r: (int(found[1]) if (found := part.search(r._file.rsplit("/", 1)[-1])) else -1, r._file)):
+        starts.append((row._file, start))
+        start += row.n
+    table = F.broadcast(df.sparkSession.createDataFrame(starts, "_file string, _before long"))
+    marked = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return marked.join(table, "_file").select(*df.columns, (F.col("_before") + F.col("_row")).alias(name))
+
+
 def salted_rank(df: DataFrame, keys: Sequence[str], salt: Column, order: Sequence[Column | str], rank: str, buckets: int) -> DataFrame:
     """Add ``rank``: a gapless number from 0 within ``keys``, in order of (salt, ``order``).
 

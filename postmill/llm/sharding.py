@@ -80,6 +80,21 @@ def _proposals(state: DataFrame, sizes: np.ndarray, room: np.ndarray, turn: int)
     return joined.select(*state.columns, F.when(stays, F.col("shard")).otherwise(pick).alias("target"))
 
 
+def _in_turn(rank: Column, free: np.ndarray) -> Column:
+    """Shard of the row with ``rank``: shards with free places take turns until theirs are used up."""
+    shard, start, below = F.lit(None).cast("int"), 0, 0
+    turns = []
+    for level in sorted(set(int(f) for f in free if f > 0)):
+        takers = [i for i, f in enumerate(free) if f >= level]
+        end = start + (level - below) * len(takers)
+        taker = F.element_at(F.array(*[F.lit(i) for i in takers]), (F.pmod(rank - start, F.lit(len(takers))) + 1).cast("int"))
+        turns.append((end, taker))
+        start, below = end, level
+    for end, taker in reversed(turns):
+        shard = F.when(rank < end, taker).otherwise(shard)
+    return shard
+
+
 def propagate(linked: DataFrame, sizes: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
     """``(row_key, hub, shard)``: shards of linked documents, never more of them in a shard than ``sizes`` allows.
 
@@ -112,7 +127,9 @@ def propagate(linked: DataFrame, sizes: np.ndarray, rounds: int = ROUNDS) -> Dat
     return state
 
 
-def shard_documents(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(
+    df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, order_col: str | None = None
+) -> DataFrame:
     """``(id, size, text_crc32, shard, slot)`` for every row; documents with equal texts are linked.
 
     Law: the numbers of rows of any two shards differ by at most one. Under it, copies of a text share a shard, or as
@@ -120,7 +137,11 @@ def shard_documents(df: DataFrame, shards: int, id_col: str = "doc_id", text_col
     numbers the rows of a shard from 0 without gaps. A NULL text counts as empty and is linked with empty ones.
     Repeated rows, NULL ids among them, are rows like others and each get a slot. Other columns are not read. An empty
     table gives an empty result.
+
+    ``order_col`` holds the place of a row in an order of the whole table, from 0. With it documents without links go to
+    the shards in turn in that order, and the slots of every shard follow it; without it both follow a hash of the id.
     """
+    given = [] if order_col is None else ["_place"]
     text = F.coalesce(F.col(text_col), F.lit(""))
     nodes = materialise(
         df.select(
@@ -128,10 +149,12 @@ def shard_documents(df: DataFrame, shards: int, id_col: str = "doc_id", text_col
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text, F.octet_length(text)).alias("hub"),
+            *[F.coalesce(F.col(order_col), F.lit(2**62)).cast("long").alias(name) for name in given],
         ),
         "nodes",
     )
-    sizes = Quotas(nodes.count(), shards).sizes()
+    n_rows = nodes.count()
+    sizes = Quotas(n_rows, shards).sizes()
     hubs = materialise(nodes.groupBy("hub").agg(F.count("*").alias("_n")).where("_n > 1").select("hub"), "shared-hubs")
     marked = materialise(
         nodes.join(hubs.withColumn("_linked", F.lit(True)), "hub", "left").withColumn("_linked", F.coalesce("_linked", F.lit(False))), "marked"
@@ -142,13 +165,18 @@ def shard_documents(df: DataFrame, shards: int, id_col: str = "doc_id", text_col
         "linked",
     )
     state = propagate(linked.select("row_key", "hub"), sizes, rounds)
-    columns = ["id", "size", "text_crc32", "shard"]
+    columns = ["id", "size", "text_crc32", "shard", *given]
     placed = linked.join(state, ["hub", "row_key"]).select(*columns)
     taken = {row.shard: row.n for row in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    free = np.cumsum(sizes - np.array([taken.get(i, 0) for i in range(shards)]))
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    others = salted_rank(marked.where("not _linked"), [], salt, ["id", "hub"], "_rank", SALTS)
-    place = F.size(F.filter(F.array(*[F.lit(int(x)).cast("long") for x in free]), lambda end: end <= F.col("_rank")))
+    free = sizes - np.array([taken.get(i, 0) for i in range(shards)])
+    if given:  # salts in the given order, so that ranks follow it
+        salt = F.least(F.floor(F.col("_place") * SALTS / max(n_rows, 1)), F.lit(SALTS - 1)).cast("int")
+        place = _in_turn(F.col("_rank"), free)
+    else:
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+        ends = F.array(*[F.lit(int(x)).cast("long") for x in np.cumsum(free)])
+        place = F.size(F.filter(ends, lambda end: end <= F.col("_rank")))
+    others = salted_rank(marked.where("not _linked"), [], salt, [*given, "id", "hub"], "_rank", SALTS)
     filled = others.withColumn("shard", place).select(*columns)
     shards_of = materialise(placed.unionByName(filled), "placed")
-    return salted_rank(shards_of, ["shard"], salt, ["id", "text_crc32"], "slot", SALTS)
+    return salted_rank(shards_of, ["shard"], salt, [*given, "id", "text_crc32"], "slot", SALTS).drop(*given)

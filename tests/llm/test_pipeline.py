@@ -6,8 +6,8 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
-from postmill.llm import decontaminate, queries, quality, simhash
-from postmill.llm.common import materialise, read_table
+from postmill.llm import decontaminate, mixing, queries, quality, sharding, simhash
+from postmill.llm.common import materialise, read_table, with_place
 
 pipeline = importlib.import_module("corpus_pipeline")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -78,3 +78,30 @@ def test_empty_corpus(spark, small):
     for _, stage in pipeline.STAGES:
         docs = materialise(stage(spark, docs, small), "empty")
     assert docs.count() == 0
+
+
+def test_shards_follow_the_mixture(spark, small, stages, monkeypatch):
+    mixed = [r.doc_id for r in with_place(stages[4], "at").orderBy("at").collect()]
+    schedule = mixing.mix_sources(stages[3], queries.WEIGHTS).orderBy("mix_position").collect()
+    assert mixed == [r.doc_id for r in schedule], "files and rows are in the order of the schedule"
+    want = {(i % queries.SHARDS, i // queries.SHARDS, doc) for i, doc in enumerate(mixed)}
+    assert {(r.shard, r.slot, r.doc_id) for r in stages[5].collect()} == want
+    monkeypatch.setattr(pipeline, "WEIGHTS", {"src0": 1, "src1": 9, "*": 2})
+    other = materialise(pipeline.source_mixture(spark, stages[3], small), "other")
+    assert {(r.shard, r.slot, r.doc_id) for r in pipeline.shards(spark, other, small).collect()} != want
+    plain = pipeline.shards(spark, stages[3], small).collect()
+    assert {(r.shard, r.slot, r.doc_id) for r in plain} != want, "the stage taken out changes the result"
+
+
+def test_shards_in_a_given_order_with_copies(spark):
+    rows = [(i, "hot" if i % 3 == 0 else "pair" if i in (1, 50) else f"t{i}", (i * 37) % 101) for i in range(101)]
+    df = spark.createDataFrame([*rows, (None, None, 101)], "doc_id long, text string, at int").repartition(3)
+    out = sharding.shard_documents(df, 5, order_col="at").collect()
+    place = {i: at for i, _, at in rows} | {None: 101}
+    sizes = Counter(r.shard for r in out)
+    assert len(out) == 102 and max(sizes.values()) - min(sizes.values()) <= 1
+    for shard, n in sizes.items():
+        own = sorted((r.slot, place[r.id]) for r in out if r.shard == shard)
+        assert [s for s, _ in own] == list(range(n)) and [p for _, p in own] == sorted(p for _, p in own)
+    assert len({r.shard for r in out if r.id in (1, 50)}) == 1
+    assert pipeline.shards(spark, df, "").count() == 102, "a frame that is no written table"
