@@ -63,6 +63,14 @@ def add_fingerprints(df: DataFrame, id_col: str, text_col: str, width: int) -> D
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(signed, f"id {kind}, fingerprint long")
 
 
+def fingerprint_of(text: Column, width: int) -> Column:
+    @F.pandas_udf("long")
+    def signed(texts):
+        return texts.map(lambda t: fingerprint(t, width)).astype("int64")
+
+    return signed(text)
+
+
 def gray_rank(code: Column) -> Column:
     """Place of a code in the sequence in which neighbours differ in one bit."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -223,12 +231,13 @@ def near_links(codes: DataFrame, distance: int) -> DataFrame:
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """``(id, fingerprint, component_id)`` for every row.
+    """``(id, fingerprint, component, component_id)`` for every row.
 
     Words are runs without white space in lower-cased text (A to Z only), shingles have ``width`` words, repeats
     included; a shorter text is one shingle. A NULL text counts as empty; texts without words have fingerprint zero
     and are linked like any other. Rows are in one component if a chain of fingerprints leads from one to the other in
-    steps of at most ``distance`` bits; ``component_id`` is the smallest id in it. Repeated rows and ids are kept, NULL
+    steps of at most ``distance`` bits; ``component_id`` is the smallest id in it. Two components may share it where ids
+    repeat or are NULL; ``component``, the smallest fingerprint, tells them apart. Repeated rows and ids are kept, NULL
     ids get a component like others and do not name one unless all its ids are NULL. Other columns are not read. An
     empty table gives an empty result.
     """
@@ -238,24 +247,38 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = materialise(connected_components(links).withColumnRenamed("id", "fingerprint"), "fingerprint-components")
     linked = classes.join(members, "fingerprint")
     named = linked.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    moved = linked.join(named, "component").select("fingerprint", "component_id")
-    labels = classes.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "lowest").alias("component_id"))
+    moved = linked.join(named, "component").select("fingerprint", "component", "component_id")
+    alone = [F.coalesce("component", "fingerprint").alias("component"), F.coalesce("component_id", "lowest").alias("component_id")]
+    labels = classes.join(moved, "fingerprint", "left").select("fingerprint", *alone)
     # Written, so that the join has a plain exchange on both sides, which Spark can split at a hot fingerprint.
     labels = materialise(labels, "fingerprint-labels")
-    return signed.join(labels, "fingerprint").select("id", "fingerprint", "component_id")
+    return signed.join(labels, "fingerprint").select("id", "fingerprint", "component", "component_id")
 
 
 def hex_code(code: Column) -> Column:
     return F.lpad(F.lower(F.hex(code)), 16, "0")
 
 
-def keep_one(df: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The row that names each component, one of them if the id repeats; ``groups`` is a written result."""
-    named = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("_n"))
-    named = materialise(named, "kept")
+def keep_one(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """One row of each component: of the rows with its smallest id that with the smallest fingerprint, and of these the
+    one with the smallest text. ``groups`` is the written result of ``simhash_groups`` for the same columns and width.
+
+    A row is known by its id where the id occurs once; rows of repeated ids, NULL among them, get their fingerprint
+    again and are known by both.
+    """
+    names = F.col("id").eqNullSafe(F.col("component_id"))
+    ids = groups.groupBy("id").agg(F.count("*").alias("_n"), F.max(names).alias("_names")).where("_names")
+    ids = materialise(ids.select(F.col("id").alias("_kept"), "_n"), "kept")
     # The ids grow with the corpus, so they are never broadcast: the same plan at every size.
-    once = named.where(F.col("_n") == 1).select(F.col("id").alias("_kept")).hint("merge")
-    again = named.where(F.col("_n") > 1).select(F.col("id").alias("_kept")).hint("merge")
+    once = ids.where(F.col("_n") == 1).select("_kept").hint("merge")
     single = df.join(once, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = df.join(again, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
-    return single.unionByName(repeated)
+    again = ids.where(F.col("_n") > 1).select("_kept").hint("merge")
+    named = groups.where(names).groupBy("component", "id").agg(F.min("fingerprint").alias("_code"))
+    named = named.join(again, F.col("id").eqNullSafe(F.col("_kept")), "left_semi").select(F.col("id").alias("_kept"), "_code")
+    code = fingerprint_of(F.coalesce(F.col(text_col), F.lit("")), width)
+    repeated = df.join(again, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").withColumn("_own", code)
+    same = F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_code"))
+    chosen = repeated.join(named.hint("merge"), same, "left_semi").groupBy(id_col, "_own")
+    rest = [c for c in df.columns if c not in (id_col, text_col)]
+    row = chosen.agg(F.min(F.struct(text_col, *rest)).alias("_row"))
+    return single.unionByName(row.select(id_col, "_row.*").select(*df.columns))

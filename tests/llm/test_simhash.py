@@ -112,3 +112,15 @@ def test_repeats_nulls_and_empty_table(spark):
     kept = simhash.keep_one(df, groups).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept if r.doc_id) == [(1, "a b c d e"), (5, "")]
     assert simhash.simhash_groups(df.limit(0)).collect() == []
+
+
+def test_one_row_of_each_component_is_kept(spark):
+    rng = random.Random(9)
+    a, b, c, d, e, f = [" ".join(f"v{rng.randrange(10_000)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (2, e), (9, e), (9, f), (None, e), (11, e), (12, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = simhash.keep_one(df, materialise(simhash.simhash_groups(df), "groups"))
+    assert kept.columns == df.columns
+    want = [(None, a), (None, b), (7, c), (7, d), (2, e), (9, f), (12, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+    assert simhash.keep_one(df.limit(0), materialise(simhash.simhash_groups(df.limit(0)), "none")).collect() == []
