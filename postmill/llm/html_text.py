@@ -3,8 +3,10 @@
 Every node of a page's tree has a number of characters, tags, link characters and link tags. Its density is characters
 per tag, corrected by how much of both lies in links; the node whose children have the largest sum of densities holds
 the main text, and the smallest density on the path from it to the body is the threshold beyond which other nodes
-belong to the text as well. Parts that are no text of the page by their tag, role or class (menus, forms, scripts,
-notices, adverts, comments of readers) are left out before densities are computed.
+belong to the text as well. The text is written from the nearest node that holds all of them, kept blocks whole with
+what is inline in them. Parts that are no text of the page by their tag, role or class (menus, controls of forms,
+scripts, notices, adverts, comments of readers) are left out before densities are computed, unless they hold an article,
+the main element or most of the page's text.
 """
 
 from __future__ import annotations
@@ -218,35 +220,78 @@ def main_text(page: str | None) -> str:
     while node is not body:
         node = node.parent
         threshold = min(threshold, node.density)
+    above, node = set(), best
+    while node is not body:
+        node = node.parent
+        above.add(node)
     for node in order:
-        node.kept = node.density >= threshold > 0
+        node.kept = node.density >= threshold > 0 and node not in above
     best.kept = True
+    for node in reversed(order):
+        while node.kept and node.name not in _BLOCK and node.parent is not None and node.parent not in above and node is not body:
+            node = node.parent
+            node.kept = True
+    top = _lifted(best, body, order, above)
+    holds = set()
+    for node in reversed(order):
+        if node.kept or node in holds:
+            holds.add(node)
+            if node.parent:
+                holds.add(node.parent)
+    for node in order:
+        node.kept = node.kept or node.name in ("article", "main") and node in holds and node not in above
     out: list[str] = []
-    _write(body, best, out, False)
+    _write(body, top, best, holds, above if threshold > 0 else set(), out)
     blocks = (" ".join(html.unescape(b).split()) for b in "".join(out).split("\x00"))
     return "\n".join(b for b in blocks if b)
 
 
-def _write(top: Node, best: Node, out: list[str], whole: bool) -> None:
-    """Texts under kept nodes in page order, blocks apart by NUL; all that is under ``best``."""
-    stack: list[tuple[object, bool]] = [(top, whole)]
+def _lifted(best: Node, body: Node, order: list[Node], above: set[Node]) -> Node:
+    """The outermost article or main element around ``best``; without one, the nearest node that holds all kept ones."""
+    found, node = None, best
+    while True:
+        if node.name in ("article", "main"):
+            found = node
+        if node is body:
+            break
+        node = node.parent
+    if found:
+        return found
+    inside = dict.fromkeys(order, 0)
+    for node in reversed(order):
+        inside[node] += node.kept
+        if node is not body:
+            inside[node.parent] += inside[node]
+    node = best
+    while inside[node] < inside[body]:
+        node = node.parent
+    return node
+
+
+def _write(body: Node, top: Node, best: Node, holds: set[Node], above: set[Node], out: list[str]) -> None:
+    """Texts in page order, blocks apart by NUL: all under ``best`` and kept nodes, all under ``top`` but blocks of links
+    that hold nothing kept, and what stands in the nodes above ``best`` themselves."""
+    links = top is not best and top.name not in ("article", "main")
+    stack: list[tuple[object, bool, bool]] = [(body, False, False)]
     while stack:
-        item, taken = stack.pop()
+        item, lifted, whole = stack.pop()
         if isinstance(item, str):
-            if taken:
+            if lifted or whole:
                 out.append(item.replace("\x00", " "))
             continue
         if item is None:
             out.append("\x00")
             continue
-        inside = taken or item is best
+        whole = whole or item is best or item.kept
+        lifted = lifted or item is top
         block = item.name in _BLOCK
+        if links and lifted and not whole and block and item not in holds and 2 * item.link_chars > item.chars:
+            continue
         if block:
             out.append("\x00")
-            stack.append((None, False))
-        said = inside or item.kept
+            stack.append((None, False, False))
         for child in reversed(item.children):
-            stack.append((child, said if isinstance(child, str) else inside))
+            stack.append((child, lifted or isinstance(child, str) and item in above, whole))
 
 
 def extract_text(df: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

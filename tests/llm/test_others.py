@@ -252,3 +252,16 @@ def test_terms_of_a_long_text_do_not_depend_on_the_block(monkeypatch):
     monkeypatch.setattr(quality, "TEXT_BLOCK", 7)
     again, same = quality.terms(text)
     assert (found == again).all() and np.allclose(counts, same)
+
+
+def sentence(n):
+    return ("word " * n)[: n - 1] + "."
+
+
+@pytest.mark.parametrize("wrap", ["article", "div", "main"])
+def test_nested_sections_come_whole(wrap):
+    first = "".join(f"<p>{sentence(100)}</p>" for _ in range(3))
+    second = f"<h2>Next</h2><p>{sentence(50)} <b>bold</b> {sentence(50)}</p><p>{sentence(60)}</p>"
+    page = f"<body><nav>menu</nav><{wrap}><section>{first}</section><section>{second}</section></{wrap}><ul><li><a href=x>other</a><li><a href=y>pages</a></ul></body>"
+    want = [sentence(100)] * 3 + ["Next", f"{sentence(50)} bold {sentence(50)}", sentence(60)]
+    assert html_text.main_text(page).split("\n") == want
