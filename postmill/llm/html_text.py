@@ -31,7 +31,7 @@ _BLOCK = frozenset(
     " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
 #: Never part of the text.
-_DROPPED = _RAW | frozenset("head nav aside footer form button select option input svg canvas object audio video map dialog menu label".split())
+_DROPPED = _RAW | frozenset("head nav aside footer button select option input svg canvas object audio video map dialog menu label".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words of a class or id that mark a part as no text of the page.
 _DROPPED_NAMES = frozenset(
@@ -40,20 +40,36 @@ _DROPPED_NAMES = frozenset(
     " subscription signup login comment comments commentlist disqus replies reply respond discussion reactions share sharing social related recommended"
     " recommendations pagination pager widget toolbar skip legal copyright disclaimer".split()
 )
+#: Words that may stand beside them in a name, as in "site-footer" or "ad-container".
+_NEUTRAL_NAMES = frozenset(
+    "site page global main primary secondary top bottom left right inner outer container wrapper wrap box bar block section area list item items link"
+    " links button buttons icon icons group message consent slot unit form".split()
+)
 _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "kept")
+    __slots__ = ("name", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "kept", "marked")
 
     def __init__(self, name: str, parent: Node | None) -> None:
         self.name, self.parent, self.children = name, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density, self.kept = 0.0, False
+        self.density, self.kept, self.marked = 0.0, False, False
+
+
+def _is_name_of_dropped(token: str) -> bool:
+    """Whether every word of a class or id is one of no text or a neutral one, and not all are neutral."""
+    words = set(_WORD.findall(token))
+    return not words.isdisjoint(_DROPPED_NAMES) and words <= _DROPPED_NAMES | _NEUTRAL_NAMES
+
+
+def _is_dropped(name: str, inside: set[str]) -> bool:
+    return name in _DROPPED or name == "header" and not inside & {"article", "main"}
 
 
-def _is_dropped(name: str, rest: str, inside: set[str]) -> bool:
-    if name in _DROPPED or name == "header" and not inside & {"article", "main"}:
+def _is_marked(name: str, rest: str) -> bool:
+    """Whether a part's attributes or its being a form speak against it; see ``_pruned``."""
+    if name == "form":
         return True
     if not rest or name in ("html", "body", "article", "main"):
         return False
@@ -64,13 +80,13 @@ def _is_dropped(name: str, rest: str, inside: set[str]) -> bool:
             return True
         if key == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if key in ("class", "id") and not _DROPPED_NAMES.isdisjoint(_WORD.findall(value)):
+        if key == "class" and any(map(_is_name_of_dropped, value.split())) or key == "id" and _is_name_of_dropped(value):
             return True
     return False
 
 
 def parse(page: str) -> Node:
-    """Tree of a page's nodes and texts, without the parts that are dropped by name. Unclosed and stray tags are borne:
+    """Tree of a page's nodes and texts, without the parts that are dropped by tag. Unclosed and stray tags are borne:
     a block ends an open paragraph, a list item, cell or option its predecessor, and what stays open ends with the page."""
     root = node = Node("#root", None)
     skipped: list[str] = []  # open tags inside a dropped part
@@ -118,12 +134,13 @@ def parse(page: str) -> Node:
             while above:
                 inside.add(above.name)
                 above = above.parent
-        if _is_dropped(name, token["rest"], inside):
+        if _is_dropped(name, inside):
             if not empty:
                 skipped.append(name)
                 node.children.append("\n")
             continue
         made = Node(name, node)
+        made.marked = _is_marked(name, token["rest"])
         node.children.append(made)
         if not empty:
             node = made
@@ -176,6 +193,22 @@ def _nodes(top: Node) -> list[Node]:
     return order
 
 
+def _pruned(root: Node) -> None:
+    """Take out marked parts, but for those that hold an article or main element, or, on a page without one outside
+    them, more than half of the page's text."""
+    order = _nodes(root)
+    chars, mains = dict.fromkeys(order, 0), dict.fromkeys(order, 0)
+    for node in reversed(order):
+        chars[node] += sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        mains[node] += node.name in ("article", "main")
+        if node.parent:
+            chars[node.parent] += chars[node]
+            mains[node.parent] += mains[node]
+    gone = {n for n in order if n.marked and not mains[n] and (mains[root] or 2 * chars[n] <= chars[root])}
+    for node in {n.parent for n in gone}:
+        node.children = ["\n" if isinstance(c, Node) and c in gone else c for c in node.children]
+
+
 def _measure(order: list[Node]) -> None:
     for node in reversed(order):
         node.chars += sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
@@ -206,6 +239,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _pruned(root)
     order = _nodes(root)
     body = next((n for n in order if n.name == "body"), root)
     _measure(order)

@@ -265,3 +265,25 @@ def test_nested_sections_come_whole(wrap):
     page = f"<body><nav>menu</nav><{wrap}><section>{first}</section><section>{second}</section></{wrap}><ul><li><a href=x>other</a><li><a href=y>pages</a></ul></body>"
     want = [sentence(100)] * 3 + ["Next", f"{sentence(50)} bold {sentence(50)}", sentence(60)]
     assert html_text.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize(
+    "tag", [f"div class='{c}'" for c in ("content has-sidebar", "no-comments", "with-nav", "post ad-free", "social-policy", "legal-history", "sidebar")] + ["div id='share-prices'", "form"]
+)
+def test_wrapping_parts_are_kept(tag):
+    name = tag.split()[0]
+    for article in (f"<article>{ARTICLE}</article>", f"<div>{ARTICLE}</div>"):
+        page = f"<body><{tag}><input value=x><button>send</button><div class='site-footer'>about</div>{article}</{name}></body>"
+        assert html_text.main_text(page) == MAIN
+
+
+@pytest.mark.parametrize("tag", ["div class='no-comments'", "div class='ad-free'", "section id='share-prices'"])
+def test_small_parts_of_like_names_are_kept(tag):
+    part = f"<{tag}><p>{sentence(60)}</p></{tag.split()[0]}>"
+    assert html_text.main_text(f"<body><article>{ARTICLE}{part}</article></body>") == f"{MAIN}\n{sentence(60)}"
+
+
+@pytest.mark.parametrize("tag", ["div class='ad-container'", "div id=comments", "div class='x cookie-notice'", "form", "p hidden", "div style='display: none'"])
+def test_small_parts_are_dropped(tag):
+    page = f"<body><article>{ARTICLE}<{tag}>{sentence(20)}</{tag.split()[0]}></article></body>"
+    assert html_text.main_text(page) == MAIN
