@@ -7,13 +7,15 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chat_format, decontaminate, hamming, html_text, mixing, quality, sharding, simhash, token_counts, warc
+from postmill.llm import chat_format, decontaminate, hamming, hard_negatives, html_text, mixing, odd_sketch, ptolemy, quality
+from postmill.llm import sharding, simhash, token_counts, warc
 from postmill.llm.common import read_table
 from postmill.sources.scratch import scratch_path
 
 CONTEXT = 512
 SHARDS = 24
 NEIGHBOURS = 10
+CLUSTERS, CLUSTER_ROUNDS, DIMENSIONS = 40, 5, 64
 #: Target weights of the mixture; sources that are not named share the weight of ``*``.
 WEIGHTS = {"src0": 8, "src1": 4, "src2": 4, "src3": 2, "src4": 2, "src5": 2, "*": 8}
 
@@ -156,6 +158,95 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ptolemy.cluster_vectors(read_table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+def _op11_sql() -> str:
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = []
+    for turn in range(CLUSTER_ROUNDS + 1):
+        steps.append(f"""a{turn} AS MATERIALIZED (
+  SELECT row, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+  FROM (SELECT v.row, c.cluster, {distance} AS distance FROM v, c{turn} c) GROUP BY row
+)""")
+        if turn < CLUSTER_ROUNDS:
+            steps.append(f"""c{turn + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{turn} c LEFT JOIN (
+    SELECT cluster, list(x ORDER BY i) AS x FROM (
+      SELECT cluster, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x
+      FROM (SELECT cluster, unnest(v.x)::HUGEINT AS x, unnest(range({DIMENSIONS})) AS i FROM v JOIN a{turn} USING (row)) GROUP BY cluster, i
+    ) GROUP BY cluster
+  ) m USING (cluster)
+)""")
+    last = f"a{CLUSTER_ROUNDS}"
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS x FROM embeddings
+  WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMENSIONS}
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1)::INTEGER AS cluster, x FROM v QUALIFY cluster < {CLUSTERS}
+), {", ".join(steps)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN {last} USING (row) JOIN c{CLUSTER_ROUNDS} c USING (cluster)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(vectors.withColumn("label", noisy), F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), w AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id, label, x) AS row FROM v),
+s AS MATERIALIZED (
+  SELECT a.id AS anchor_id, a.row AS anchor_row, c.id, c.row, a.label = c.label AS same,
+    coalesce(list_sum(list_transform(list_zip(a.x, c.x), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+  FROM w a, w c WHERE a.id % 50 = 0 AND a.row <> c.row
+), p AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY anchor_row ORDER BY score DESC, id, row) AS place FROM s WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY p.anchor_row, p.row ORDER BY n.score DESC, n.id, n.row))::INTEGER AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_row = p.anchor_row AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+def op13_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = odd_sketch.near_duplicates(read_table(spark, sf_dir, "documents"), similarity=(85, 100))
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE doc AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, (len(w) - 3)::BIGINT), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM doc
+), classes AS MATERIALIZED (
+  SELECT min(row) AS class, min(doc_id) AS lowest, len(s) AS n, s FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS MATERIALIZED (SELECT class, n, unnest(s) AS shingle FROM classes),
+links AS MATERIALIZED (
+  SELECT a.class AS a, b.class AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.class < b.class
+  GROUP BY a.class, a.n, b.class, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT class AS a, class AS b FROM classes UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+named AS (SELECT reach.a AS class, min(lowest) AS component_id FROM reach JOIN classes ON reach.b = classes.class GROUP BY reach.a)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id, sets.doc_id IS NOT DISTINCT FROM coalesce(component_id, sets.doc_id) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s AND len(sets.s) > 0 LEFT JOIN named ON classes.class = named.class
+"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -167,6 +258,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_ptolemaic_clusters": op11_ptolemaic_clusters,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_odd_sketch": op13_odd_sketch,
 }
 
 ORACLES = {
@@ -174,4 +268,7 @@ ORACLES = {
     "op4_chat_format": OP4_SQL,
     "op7_decontaminate": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op11_ptolemaic_clusters": _op11_sql(),
+    "op12_hard_negatives": OP12_SQL,
+    "op13_odd_sketch": OP13_SQL,
 }
