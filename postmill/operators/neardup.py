@@ -7,22 +7,18 @@ represented by m - 1 links to its lowest id, never by its m * (m - 1) / 2 pairs.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import fixed, text as tx
 from postmill.operators import minhash
 from postmill.operators.components import connected_components
 from postmill.operators.corpus import drop_ids
+from postmill.operators.setjoin import similar_sets, token_sets
 from postmill.operators.skew import attach
 from postmill.sources.scratch import materialise, scratch_path
 
 SALTS = 4_096
-ROWS_PER_SALT = 100_000
-#: Bands and rows of a verified search: its recall at a similarity of 0.95 is all but complete.
-VERIFIED_BANDS = (16, 8)
 
 
 @dataclass(frozen=True)
@@ -34,6 +30,23 @@ class Signed:
     copies: DataFrame
 
 
+def _text_hashes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(id, hash)`` of every text and ``copies (id, first)``, the other ids of a text."""
+    texts = df.where(F.col(text_col).isNotNull())
+    hashes = materialise(texts.select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("hash")), "text-hashes")
+    repeated = hashes.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = materialise(repeated, "repeated-texts")
+    return hashes, materialise(hashes.join(repeated, "hash").where("id <> first").select("id", "first"), "copies")
+
+
+def _distinct_texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(name, id, text)`` of every distinct text, under 16 bytes of its hash and the lowest of its ids, and its copies."""
+    _, copies = _text_hashes(df, id_col, text_col)
+    first = drop_ids(df.where(F.col(text_col).isNotNull()), copies.select(F.col("id").alias(id_col)), id_col)
+    name = F.substring(F.unhex(F.sha2(text_col, 256)), 1, 16).alias("name")
+    return materialise(first.select(name, F.col(id_col).alias("id"), F.col(text_col).alias("text")), "distinct-texts"), copies
+
+
 def sign_corpus(
     df: DataFrame,
     id_col: str,
@@ -49,10 +62,7 @@ def sign_corpus(
     if bands * rows > num_perm:
         raise ValueError("bands * rows exceeds the number of permutations")
     texts = df.where(F.col(text_col).isNotNull())
-    hashes = materialise(texts.select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("hash")), "text-hashes")
-    repeated = hashes.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeated = materialise(repeated, "repeated-texts")
-    copies = materialise(hashes.join(repeated, "hash").where("id <> first").select("id", "first"), "copies")
+    _, copies = _text_hashes(df, id_col, text_col)
     first = drop_ids(texts, copies.select(F.col("id").alias(id_col)), id_col)
     return Signed(materialise(minhash.band_keys(first, id_col, bands, rows, text_col, num_perm), "bands"), copies)
 
@@ -80,28 +90,6 @@ def _tree_edges(bands: DataFrame) -> DataFrame:
     return up.unionByName(down.select(F.col("id").alias("a"), F.col("local").alias("b")))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays without repeats."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
-
-
-def _checked(links: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """``(id, leader, jaccard)`` of the similar ones among distinct ``links (id, leader)``.
-
-    A leader's tokens are copied once per 100,000 of its links, so a hot leader is checked by many tasks.
-    """
-    counts = materialise(links.groupBy("leader").agg(F.count("*").alias("n")), "leaders")
-    copies = F.floor(F.col("n") / ROWS_PER_SALT)
-    leaders = counts.join(tokens.withColumnsRenamed({"id": "leader", "tokens": "leader_tokens"}), "leader").select(
-        "leader", "leader_tokens", F.explode(F.sequence(F.lit(0).cast("long"), copies)).alias("salt")
-    )
-    salted = links.join(counts, "leader").select("id", "leader", F.pmod(F.xxhash64("id"), copies + 1).alias("salt"))
-    both = salted.join(tokens, "id").join(leaders, ["leader", "salt"])
-    scored = both.select("id", "leader", jaccard(F.col("tokens"), F.col("leader_tokens")).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= threshold)
-
-
 def near_duplicate_pairs(
     df: DataFrame,
     id_col: str,
@@ -111,40 +99,23 @@ def near_duplicate_pairs(
     bands: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
-    """``(id, leader, jaccard)``: verified links that hold the near-duplicate groups together.
+    """``(id, leader, jaccard)``: similar pairs that hold the near-duplicate groups together, a spanning forest of all pairs
+    of similarity ``threshold`` or more.
 
-    In every bucket the lowest id is compared with all members. Members that are not similar to it elect the next
-    lowest of them, which is compared with all members as well, until each member is similar to a leader or has been
-    one; a bucket of similar texts takes one round, and its pairs are never enumerated. The similarity is exact, over
-    the tokens between single spaces; only texts that share a bucket are tokenised. Copies of a text are linked to its
-    lowest id with similarity 1. Without ``bands`` and ``rows`` the search takes 16 bands of 8 rows.
+    The similarity is exact, over the distinct tokens between single spaces, as 64-bit hashes. Copies of a text are linked
+    to its lowest id with similarity 1 and searched for once. Candidates come from a prefix index, which misses no
+    pair; with ``bands`` and ``rows`` they come from the bands of MinHash signatures instead, which may miss some but do
+    not depend on rare tokens. Runs jobs.
     """
-    if bands is None or rows is None:
-        bands, rows = VERIFIED_BANDS
-    signed = sign_corpus(df, id_col, text_col, threshold, num_perm, bands, rows)
-    n_bands = signed.bands.count()
-    shared = materialise(signed.bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
-    buckets = materialise(attach(signed.bands, shared, "key", "inner", n_bands), "buckets")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(buckets.select("id").distinct(), "id", "left_semi")
-    tokens = materialise(texts.select("id", F.array_distinct(tx.space_tokens("text")).alias("tokens")), "tokens")
-    found = [signed.copies.select("id", F.col("first").alias("leader"), F.lit(1.0).alias("jaccard"))]
-    open_rows, tried = buckets, None
-    while not open_rows.isEmpty():
-        elected = materialise(open_rows.groupBy("key").agg(F.min("id").alias("leader")), "elected")
-        met = attach(buckets, elected, "key", "inner", n_bands).where("id <> leader").select("id", "leader").distinct()
-        if tried is not None:
-            met = met.join(tried, ["id", "leader"], "left_anti").join(
-                tried.select(F.col("leader").alias("id"), F.col("id").alias("leader")), ["id", "leader"], "left_anti"
-            )
-        links = materialise(met, "links")
-        similar = materialise(_checked(links, tokens, threshold), "similar")
-        found.append(similar)
-        tried = links if tried is None else tried.unionByName(links)
-        alike = reduce(DataFrame.unionByName, found[1:]).select("id", "leader")
-        alike = alike.unionByName(alike.select(F.col("leader").alias("id"), F.col("id").alias("leader")))
-        left = attach(open_rows, elected, "key", "inner", n_bands).where("id <> leader")
-        open_rows = materialise(left.join(alike, ["id", "leader"], "left_anti").select("id", "key"), "open")
-    return reduce(DataFrame.unionByName, found)
+    texts, copies = _distinct_texts(df, id_col, text_col)
+    keys = None
+    if bands is not None and rows is not None:
+        keys = materialise(minhash.band_keys(texts, "name", bands, rows, "text", num_perm).select(F.col("id").alias("name"), "key"), "bands")
+    links = similar_sets(token_sets(texts, tx.space_tokens("text")), threshold, keys)
+    ids = texts.select("name", "id")
+    named = links.join(ids.withColumnsRenamed({"name": "a", "id": "_a"}), "a").join(ids.withColumnsRenamed({"name": "b", "id": "_b"}), "b")
+    found = named.select(F.greatest("_a", "_b").alias("id"), F.least("_a", "_b").alias("leader"), "jaccard")
+    return found.unionByName(copies.select("id", F.col("first").alias("leader"), F.lit(1.0).alias("jaccard")))
 
 
 def _with_copies(groups: DataFrame, copies: DataFrame) -> DataFrame:
@@ -175,8 +146,8 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """``(id, group_id)`` for every text that is in a group; a group is named by its lowest id.
 
-    ``components`` joins texts that are connected by collisions, or with ``verify`` by similar links; without ``bands``
-    and ``rows`` the first takes the bands that fit the threshold, the second 16 bands of 8 rows.
+    ``components`` joins texts that are connected by collisions in the bands that fit the threshold, or with ``verify``
+    by similar pairs, none of which is missed; see ``near_duplicate_pairs``.
     ``star`` walks the ids upwards and lets each text that is in no group yet open one with all texts it
     collides with, so groups may overlap.
     """
