@@ -2,14 +2,17 @@
 
 A code is cut into m chunks and indexed once per chunk. In step r a query probes, in every chunk, the values at exactly
 r flipped bits; a code not found by then differs in more than r bits in every chunk, so in m (r + 1) bits at least. A
-query is finished once its k-th verified distance is below that, ties included. Every step is an equi-join of probes
-with the index; when a step would probe more values than there are codes, what is left is compared with all codes in
-blocks, which is exact as well.
+query is finished once its k-th verified distance is below that, ties included. In every step probes and index entries
+of all chunks meet in one exchange; a task verifies what meets there and lets out no more than the k best per query.
+When a step would probe more values than there are codes, what is left is compared with all codes in a grid of query
+blocks and shares of the codes, which is exact as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 from math import ceil, comb, log2
 
 import numpy as np
@@ -21,7 +24,11 @@ from postmill.llm.common import materialise
 
 BITS = 64
 SALTS = 256
-SCAN_QUERIES = 20_000  # queries compared with all codes in one pass
+SCAN_QUERIES = 16_384  # queries a task holds while codes stream past them
+SCAN_CODES = 16_777_216  # codes that stream past them
+HOT_ENTRIES = 100_000  # index entries of one value that a task takes; more are dealt to several
+HELD = 1 << 20  # found pairs a task holds before it cuts them to the best
+PAIRS = 1 << 20  # pairs verified at once
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
@@ -43,63 +50,177 @@ def _mask(bits: range) -> int:
     return _signed(sum(1 << b for b in bits))
 
 
-def _probes(queries: DataFrame, bits: range, flips: int) -> DataFrame:
-    """Queries with ``value``, the chunk's bits in place, at exactly ``flips`` flipped ones: a flip at a time, upwards."""
-    value = F.col("query_code").bitwiseAND(_mask(bits))
-    probes = queries.select("query_id", "query_code", value.alias("value"), F.lit(bits.start - 1).alias("_bit"))
-    for _ in range(flips):
-        further = probes.where(F.col("_bit") < bits.stop - 1)
-        grown = further.withColumn("_bit", F.explode(F.sequence(F.col("_bit") + 1, F.lit(bits.stop - 1))))
-        probes = grown.withColumn("value", F.expr("value ^ shiftleft(1L, _bit)"))
-    return probes.drop("_bit")
+class Nearest:
+    """The ``k`` nearest codes of every query met so far, ties by the lowest id."""
 
+    names = ("query_id", "query_code", "code", "lowest", "n_ids", "distance")
+
+    def __init__(self, k: int) -> None:
+        self.k, self.held, self.size, self.most = k, [], 0, HELD
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.held.append(columns)
+        self.size += len(columns[0])
+        if self.size > self.most:
+            self.cut()
+            self.most = max(HELD, 2 * self.size)
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        found = tuple(np.concatenate(column) for column in zip(*self.held))
+        id_, code, _, lowest, _, distance = found
+        order = np.lexsort((lowest, distance, code, id_))
+        id_, code = id_[order], code[order]
+        start = np.flatnonzero(np.append(True, (id_[1:] != id_[:-1]) | (code[1:] != code[:-1])))
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+        found = tuple(column[order[rank < self.k]] for column in found)
+        self.held, self.size = [found], len(found[0])
+        return found
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in self.cut()], names=list(self.names))
+
+
+FOUND = ", ".join(f"{name} long" for name in Nearest.names)
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(name).to_numpy(zero_copy_only=False) for name in names]
 
-def _nearest(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id", "query_code").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+def _probes(queries: DataFrame, cuts: list[range], flips: int) -> DataFrame:
+    """``(chunk, value, query_id, query_code)``: every value of a chunk, its bits in place, at exactly ``flips`` flipped ones."""
 
-def _found_first(xor: Column, chunk: int, cuts: list[range], flips: int) -> Column:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id_, code = _columns(batch, "query_id", "query_code")
+            for chunk, bits in enumerate(cuts):
+                masks = np.array([_signed(sum(1 << b for b in flipped)) for flipped in combinations(bits, flips)], dtype=np.int64)
+                step = max(1, PAIRS // max(len(masks), 1))
+                for lo in range(0, len(id_) if len(masks) else 0, step):
+                    value = ((code[lo : lo + step, None] & _mask(bits)) ^ masks).ravel()
+                    repeated = [pa.array(np.repeat(x[lo : lo + step], len(masks))) for x in (id_, code)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), chunk, np.int32)), pa.array(value), *repeated], names=["chunk", "value", "query_id", "query_code"])
+
+    return queries.select("query_id", "query_code").mapInArrow(probe, "chunk int, value long, query_id long, query_code long")
+
+
+def _found_first(xor: np.ndarray, chunk: np.ndarray, cuts: list[range], flips: int) -> np.ndarray:
     """Whether no earlier step, and no earlier chunk of this step, has found the code."""
-    first = F.lit(True)
+    first = np.ones(len(xor), dtype=bool)
     for other, bits in enumerate(cuts):
-        apart = F.bit_count(xor.bitwiseAND(_mask(bits)))
-        if other != chunk:
-            first = first & (apart > flips if other < chunk else apart >= flips)
+        apart = np.bitwise_count((xor & _mask(bits)).view(np.uint64))
+        first &= (other == chunk) | (apart > flips) | ((other > chunk) & (apart == flips))
     return first
 
 
-def _scan(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-    """Compare a bounded number of queries with all codes, blocks of codes at a time; per task the ``k`` nearest stay."""
-    rows = queries.collect()
-    ids, wanted = [r.query_id for r in rows], np.array([r.query_code for r in rows], dtype=np.int64).view(np.uint64)
-    shared = codes.sparkSession.sparkContext.broadcast(wanted)
+def _verified(cuts: list[range], flips: int, k: int):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (chunk, value, piece); of a key the probes come before the entries."""
+        nearest = Nearest(k)
+        key, open_ = None, []  # the key whose probes are open, and they
+
+        for batch in batches:
+            chunk, value, piece, side = _columns(batch, "chunk", "value", "piece", "side")
+            id_, query, code, lowest, n_ids = _columns(batch, "query_id", "query_code", "code", "lowest", "n_ids")
+            change = (chunk[1:] != chunk[:-1]) | (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])
+            start = np.concatenate([[0], np.flatnonzero(change) + 1, [len(chunk)]]) if len(chunk) else np.zeros(1, dtype=np.int64)
+            middle = start[:-1] + np.array([np.count_nonzero(side[a:b] == 0) for a, b in zip(start[:-1], start[1:])], dtype=np.int64)
+            for lo, mid, hi in zip(start[:-1].tolist(), middle.tolist(), start[1:].tolist()):
+                own = (chunk[lo], value[lo], piece[lo])
+                if own != key:
+                    key, open_ = own, []
+                if mid > lo:
+                    open_.append((id_[lo:mid].astype(np.int64), query[lo:mid].astype(np.int64)))
+                if hi == mid or not open_:
+                    continue
+                if len(open_) > 1:
+                    open_ = [tuple(np.concatenate(column) for column in zip(*open_))]
+                ids, queries = open_[0]
+                step = max(1, PAIRS // len(ids))
+                for at in range(mid, hi, step):
+                    entry = code[at : min(at + step, hi)].astype(np.int64)
+                    xor = (queries[:, None] ^ entry).ravel()
+                    kept = np.flatnonzero(_found_first(xor, np.full(len(xor), own[0]), cuts, flips))
+                    if len(kept):
+                        q, e = np.divmod(kept, len(entry))
+                        nearest.add(ids[q], queries[q], entry[e], lowest[at + e].astype(np.int64), n_ids[at + e].astype(np.int64), np.bitwise_count(xor[kept].view(np.uint64)).astype(np.int64))
+        yield from nearest.batches()
+
+    return verify
+
+
+def _step(active: DataFrame, index: DataFrame, hot: DataFrame | None, cuts: list[range], flips: int, k: int) -> DataFrame:
+    """What a step finds: probes and index meet in one exchange, a value of very many codes in several pieces."""
+    key = ["chunk", "value"]
+    probes = _probes(active, cuts, flips).withColumns({"code": F.lit(0).cast("long"), "lowest": F.lit(0).cast("long"), "n_ids": F.lit(0).cast("long"), "side": F.lit(0)})
+    entries = index.select(*key, F.lit(0).cast("long").alias("query_id"), F.lit(0).cast("long").alias("query_code"), "code", "lowest", "n_ids", F.lit(1).alias("side"))
+    if hot is None:
+        both = probes.unionByName(entries).withColumn("piece", F.lit(0).cast("long"))
+    else:
+        # At most one hot value per HOT_ENTRIES index entries, so the table may be broadcast.
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1)).alias("piece")
+        own = F.coalesce(F.pmod(F.xxhash64("code"), F.col("_pieces")), F.lit(0)).alias("piece")
+        both = probes.join(F.broadcast(hot), key, "left").select(*probes.columns, every)
+        both = both.unionByName(entries.join(F.broadcast(hot), key, "left").select(*entries.columns, own))
+    tasks = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(tasks, *key, "piece").sortWithinPartitions(*key, "piece", "side")
+    return dealt.mapInArrow(_verified(cuts, flips, k), FOUND)
+
+
+def _scan(queries: DataFrame, codes: DataFrame, sizes: tuple[int, int], k: int) -> DataFrame:
+    """Compare all queries with all codes: blocks of queries are held while shares of the codes stream past them."""
+    n_queries, n_codes = sizes
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = -(-n_queries // SCAN_QUERIES) or 1
+    shares = max(-(-n_codes // SCAN_CODES), -(-tasks // blocks), 1)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
+        nearest, held, ids, wanted, most = Nearest(k), [], None, None, None
         for batch in batches:
-            code = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo in range(0, len(queries), 64):
-                apart = np.bitwise_count(queries[lo : lo + 64, None] ^ code[None])
-                kth = np.partition(apart, k - 1, axis=1)[:, k - 1 : k] if len(code) > k else np.full((len(apart), 1), BITS)
-                row, column = np.nonzero(apart <= kth)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + lo), batch.column(1).take(pa.array(column)), pa.array(apart[row, column].astype(np.int32))], names=["at", "ids", "distance"]
-                )
-
-    kind = codes.schema["ids"].dataType.simpleString()
-    found = codes.select("code", "ids").mapInArrow(near, f"at long, ids {kind}, distance int")
-    id_kind = queries.schema["query_id"].dataType.simpleString()
-    order = queries.sparkSession.createDataFrame(list(zip(range(len(ids)), ids, wanted.view(np.int64).tolist())), f"at long, query_id {id_kind}, query_code long")
-    return found.join(F.broadcast(order), "at").select("query_id", "query_code", F.explode("ids").alias("id"), "distance")
+            n_own = int(np.count_nonzero(_columns(batch, "side")[0] == 0))
+            if n_own:
+                held.append([c.astype(np.int64) for c in _columns(batch.slice(0, n_own), "query_id", "query_code")])
+            rest = batch.slice(n_own)
+            if not rest.num_rows or not held:
+                continue
+            if ids is None:
+                ids, wanted = (np.concatenate(column) for column in zip(*held))
+                most = np.full(len(ids), BITS)
+            code, lowest, n_ids = (c.astype(np.int64) for c in _columns(rest, "code", "lowest", "n_ids"))
+            step = max(1, PAIRS // len(code))
+            for lo in range(0, len(ids), step):
+                apart = np.bitwise_count((wanted[lo : lo + step, None] ^ code).view(np.uint64))
+                if len(code) > k:  # the k-th of these codes bounds the result; equal ones may win by their id
+                    kth = np.partition(apart, k - 1, axis=1)[:, k - 1]
+                    most[lo : lo + step] = np.minimum(most[lo : lo + step], kth)
+                q, c = np.nonzero(apart <= most[lo : lo + step, None])
+                nearest.add(ids[lo + q], wanted[lo + q], code[c], lowest[c], n_ids[c], apart[q, c].astype(np.int64))
+        yield from nearest.batches()
+
+    none = [F.lit(0).cast("long").alias(name) for name in ("query_id", "query_code", "code", "lowest", "n_ids")]
+    block = F.pmod(F.xxhash64("query_id", "query_code"), F.lit(blocks)).cast("int") * shares
+    share = F.pmod(F.xxhash64("code"), F.lit(shares)).cast("int")
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.lit(shares - 1)), lambda i: block + i)).alias("cell")
+    ours = queries.select("query_id", "query_code", *none[2:], F.lit(0).alias("side"), cell)
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: i * shares + share)).alias("cell")
+    theirs = codes.select(*none[:2], "code", "lowest", "n_ids", F.lit(1).alias("side"), cell)
+    dealt = ours.unionByName(theirs).repartitionById(blocks * shares, F.col("cell")).sortWithinPartitions("cell", "side")
+    return dealt.drop("cell").mapInArrow(near, FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """Codes of every query in order of (distance, lowest id), as many as hold ``k`` ids."""
+    before = Window.partitionBy("query_id", "query_code").orderBy("distance", "lowest").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).where(F.col("_before") < k).select(*Nearest.names)
 
 
 def distinct_codes(df: DataFrame, id_col: str, code: Column, k: int) -> DataFrame:
-    """``(code, ids)``: distinct codes with their ``k`` lowest ids, which are all that a result of ``k`` can hold.
+    """``(code, ids)``: distinct codes with their ``k`` lowest ids in order, which are all that a result of ``k`` can hold.
 
     A code held by a third of all rows is thinned in salted parts first.
     """
-    rows = df.select(F.col(id_col).alias("id"), code.alias("code")).where("code IS NOT NULL AND id IS NOT NULL").distinct()
+    rows = df.select(F.col(id_col).cast("long").alias("id"), code.alias("code")).where("code IS NOT NULL AND id IS NOT NULL").distinct()
     part = Window.partitionBy("code", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("id")
     thinned = rows.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= k)
     return thinned.groupBy("code").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k).alias("ids"))
@@ -108,8 +229,8 @@ def distinct_codes(df: DataFrame, id_col: str, code: Column, k: int) -> DataFram
 def nearest_codes(codes: DataFrame, queries: DataFrame, k: int, chunks: int | None = None) -> DataFrame:
     """``(query_id, rank, id, distance)``: the ``k`` nearest ids of every query, ties by the lower id.
 
-    ``codes`` is a written table ``(code, ids)`` of distinct codes, ``queries`` one ``(query_id, query_code)``. Fewer
-    than ``k`` ids in all give as many rows. No codes or no queries give an empty result. Runs jobs.
+    ``codes`` is a written table ``(code, ids)`` of distinct codes, ``queries`` one ``(query_id, query_code)``; ids are
+    longs. Fewer than ``k`` ids in all give as many rows. No codes or no queries give an empty result. Runs jobs.
     """
     n_codes = codes.count()
     total = min(k, codes.select(F.sum(F.size("ids"))).first()[0] or 0)
@@ -117,47 +238,35 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int, chunks: int | No
         # As many chunks as leave a chunk no more values than there are codes, so that few probes are in vain.
         chunks = max(2, ceil(BITS / max(log2(max(n_codes, 2)), 4)))
     cuts = chunk_bits(chunks)
+    small = codes.select("code", F.get("ids", F.lit(0)).alias("lowest"), F.size("ids").cast("long").alias("n_ids"))
     numbers = F.array(*[F.struct(F.lit(j).alias("chunk"), F.col("code").bitwiseAND(_mask(bits)).alias("value")) for j, bits in enumerate(cuts)])
-    index = materialise(codes.select(F.explode(numbers).alias("_entry"), "code", "ids").select("_entry.*", "code", "ids"), "code-index")
-    best = finished = None
-    active = queries
+    index = small.select(F.explode(numbers).alias("_entry"), "*").select("_entry.*", "code", "lowest", "n_ids")
+    pieces = F.ceil(F.col("_n") / HOT_ENTRIES).alias("_pieces")
+    hot = materialise(index.groupBy("chunk", "value").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ENTRIES).select("chunk", "value", pieces), "hot-values")
+    hot = None if hot.isEmpty() else hot
+    same = ["query_id", "query_code"]
+    best, active, finished = None, queries, []
     for flips in range(max(map(len, cuts)) + 1):
-        if active.isEmpty():
+        n_active = active.count()
+        if not n_active:
             break
         if sum(comb(len(bits), flips) for bits in cuts) > n_codes:
-            scanned = []
-            n_active = active.count()
-            pieces = -(-n_active // SCAN_QUERIES)
-            for piece in range(pieces):
-                own = active.where(F.pmod(F.xxhash64("query_id", "query_code"), F.lit(pieces)) == piece)
-                scanned.append(materialise(_nearest(_scan(own, codes, k), k), "scanned"))
-            for done in scanned:
-                finished = done if finished is None else finished.unionByName(done)
+            finished.append(materialise(_best(_scan(active, small, (n_active, n_codes), k), k), "scanned"))
             break
-        step = None
-        for chunk, bits in enumerate(cuts):
-            if flips > len(bits):
-                continue
-            # Probes are far more than their queries, which Catalyst can't see: both sides are shuffled, none is broadcast.
-            met = _probes(active, bits, flips).join(index.where(F.col("chunk") == chunk).hint("merge"), "value")
-            xor = F.col("query_code").bitwiseXOR(F.col("code"))
-            met = met.where(_found_first(xor, chunk, cuts, flips))
-            met = met.select("query_id", "query_code", F.explode("ids").alias("id"), F.bit_count(xor).cast("int").alias("distance"))
-            step = met if step is None else step.unionByName(met)
-        if best is not None:
-            step = step.unionByName(best)
-        columns = ["query_id", "query_code", "id", "distance", "rank"]
-        best = materialise(_nearest(step, k).select(*columns), "nearest")
-        state = best.groupBy("query_id", "query_code").agg(F.count("*").alias("_n"), F.max("distance").alias("_kth"))
-        covered = state.where((F.col("_n") >= total) & (F.col("_kth") < chunks * (flips + 1))).select("query_id", "query_code")
-        same = ["query_id", "query_code"]
-        done = materialise(best.join(covered, same, "left_semi").select(*columns), "finished")
-        finished = done if finished is None else finished.unionByName(done)
+        step = _step(active, index, hot, cuts, flips, k)
+        best = materialise(_best(step if best is None else step.unionByName(best), k), "nearest")
+        state = best.groupBy(*same).agg(F.sum("n_ids").alias("_n"), F.max("distance").alias("_kth"))
+        covered = materialise(state.where((F.col("_n") >= total) & (F.col("_kth") < chunks * (flips + 1))).select(*same), "covered")
+        finished.append(best.join(covered, same, "left_semi"))
         active = materialise(active.join(covered, same, "left_anti"), "active")
-        best = best.join(covered, same, "left_anti").select("query_id", "query_code", "id", "distance")
-    if finished is None:
-        return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("id"), F.lit(0).alias("distance")).limit(0)
-    return finished.select("query_id", "rank", "id", "distance")
+        best = best.join(covered, same, "left_anti")
+    if not finished:
+        return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("id"), F.lit(0).cast("long").alias("distance")).limit(0)
+    found = materialise(reduce(DataFrame.unionByName, [f.select("query_id", "query_code", "code", "distance") for f in finished]), "finished")
+    rows = found.join(codes, "code").select("query_id", "query_code", F.explode("ids").alias("id"), "distance")
+    order = Window.partitionBy("query_id", "query_code").orderBy("distance", "id")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "id", "distance")
 
 
 def search_vectors(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", chunks: int | None = None) -> DataFrame:
@@ -165,10 +274,10 @@ def search_vectors(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_i
 
     Codes are the signs of the entries. Rows with a NULL id, a NULL vector or one of another length have no code: they
     are neither found nor searched for. Rows that repeat in id and code count once; an id with several codes is
-    searched for and found under each. Other columns are not read. An empty table gives an empty result.
+    searched for and found under each. Ids are whole numbers. Other columns are not read. An empty table gives an empty result.
     """
     code = sign_code(vector_col)
     codes = materialise(distinct_codes(df, id_col, code, k), "codes")
-    queries = df.where(is_query).select(F.col(id_col).alias("query_id"), code.alias("query_code"))
+    queries = df.where(is_query).select(F.col(id_col).cast("long").alias("query_id"), code.alias("query_code"))
     queries = materialise(queries.where("query_id IS NOT NULL AND query_code IS NOT NULL").distinct(), "queries")
     return nearest_codes(codes, queries, k, chunks)

@@ -7,8 +7,9 @@ the number of samples that differ as -(n / 2) ln(1 - 2 z / n), and with it the s
 Texts are grouped by their sets first, so copies are signed but searched for once. Distinct sets that share a band are
 compared by their sketches inside the bucket; what the sketches connect, with a margin of several standard deviations
 below the asked similarity, makes one family, and a family's full sets meet once and are compared exactly. Buckets and
-families give spanning forests, never their pairs. Those too large for one task are cut into pieces and every pair of
-pieces is searched in a task of its own, so no link is left out.
+families give spanning forests, never their pairs. Those too large for one task are cut into pieces that all get a copy
+of the group's first member; what that does not connect with it meets all pieces in a second step, so no link is left
+out and a group of like texts moves only once.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from math import exp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import materialise
 from postmill.operators.components import connected_components
+from postmill.operators.forests import link_members, named_links, spanning_links, whole_groups
 
 WIDTH = 5
 BANDS, ROWS = 42, 6  # a pair at 0.85 is missed by all bands once in 400 million
@@ -33,10 +35,9 @@ MARGIN = 0.15  # taken off the similarity where sketches decide: over six standa
 SEED = 42
 CHUNK = 1 << 20  # bytes of text cut into words at once
 BLOCK = 4_096  # shingle hashes put through all samples at once
-BUCKET_ROWS = 16_384  # sketches of a bucket searched in one piece
-FAMILY_ROWS = 2_048  # sets of a family searched in one piece
+BUCKET_ROWS = 4_096  # sketches of a bucket searched in one piece
+FAMILY_ROWS = 512  # sets of a family searched in one piece
 FAMILY_BYTES = 1 << 25  # of these sets
-WINDOW_BYTES = 1 << 24  # rows a task gathers before it searches
 COMPARED = 1 << 22  # shingle hashes looked up at once
 
 _draw = np.random.RandomState(SEED)
@@ -121,102 +122,34 @@ def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(*columns).mapInArrow(signed, f"id {kind}, text_key long, n_shingles long, name binary, bands array<long>, sketch binary")
 
 
-class Forest:
-    """Components of the members of one group, and the links that made them."""
-
-    def __init__(self, size: int) -> None:
-        self.label = np.arange(size)
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def join(self, one: int, others: np.ndarray) -> None:
-        """Link a member with others of components of their own."""
-        _, first = np.unique(self.label[others], return_index=True)
-        others = others[first]
-        self.links.append((np.full(len(others), one), others))
-        self.label[np.isin(self.label, self.label[others])] = self.label[one]
+def _bitmaps(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), BITS // 64)
 
 
-def _search(sketches: np.ndarray, sizes: np.ndarray, side: np.ndarray | None, most: int, ratio: tuple[int, int], confirm: Callable[[int, np.ndarray], np.ndarray] | None) -> Forest:
-    """Link members whose sketches differ in at most ``most`` bits, whose sizes allow the similarity, and that ``confirm``
-    lets pass. ``side`` is given where only members of different sides are to be compared."""
-    forest = Forest(len(sketches))
+def _possible(sketches: np.ndarray, sizes: np.ndarray, most: int, ratio: tuple[int, int]) -> Callable[[int | np.ndarray, np.ndarray], np.ndarray]:
+    """Whether sizes allow the similarity and sketches differ in at most ``most`` bits."""
     part, whole = ratio
-    for one in range(len(sketches) - 1):
-        others = one + 1 + np.flatnonzero(forest.label[one + 1 :] != forest.label[one])
-        if side is not None:
-            others = others[side[others] != side[one]]
-        if not len(others):
-            continue
-        small, large = np.minimum(sizes[others], sizes[one]), np.maximum(sizes[others], sizes[one])
-        others = others[whole * small >= part * large]
-        others = others[np.bitwise_count(sketches[others] ^ sketches[one]).sum(axis=1, dtype=np.int64) <= most]
-        if confirm is not None and len(others):
-            others = others[confirm(one, others)]
-        if len(others):
-            forest.join(one, others)
-    return forest
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of whole groups, groups being runs of rows that agree in the first ``keys`` columns."""
-    held: list[pa.RecordBatch] = []
-    size, most = 0, WINDOW_BYTES
-
-    def ends(table: pa.Table) -> np.ndarray:
-        columns = [table.column(i).to_numpy() for i in range(keys)]
-        return np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.nbytes
-        if size >= most:
-            table = pa.Table.from_batches(held)
-            found = ends(table)
-            if len(found):
-                yield table.slice(0, int(found[-1]))
-                table = table.slice(int(found[-1]))
-            held, size = table.to_batches(), table.nbytes
-            most = max(WINDOW_BYTES, 2 * size)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _starts(table: pa.Table, keys: int) -> np.ndarray:
-    columns = [table.column(i).to_numpy() for i in range(keys)]
-    change = np.any([c[1:] != c[:-1] for c in columns], axis=0) if table.num_rows > 1 else np.empty(0, dtype=bool)
-    return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
 
+    def possible(one: int | np.ndarray, others: np.ndarray) -> np.ndarray:
+        sized = whole * np.minimum(sizes[others], sizes[one]) >= part * np.maximum(sizes[others], sizes[one])
+        return sized & (np.bitwise_count(sketches[others] ^ sketches[one]).sum(axis=1, dtype=np.int64) <= most)
 
-def _bitmaps(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), BITS // 64)
+    return possible
 
 
 def _bucket_links(most: int, ratio: tuple[int, int]):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Columns key, piece, own, name, n_shingles, sketch, sorted by the first two."""
-        for table in _groups(batches, 2):
-            start = _starts(table, 2)
-            sketches, sizes, own = _bitmaps(table.column("sketch")), table.column("n_shingles").to_numpy(), table.column("own").to_numpy()
+        for table, start in whole_groups(batches):
+            possible = _possible(_bitmaps(table.column("sketch")), table.column("n_shingles").to_numpy(), most, ratio)
             # Most buckets hold sets like their first one: all are compared with it at once.
-            first = np.repeat(start[:-1], np.diff(start))
-            near = np.bitwise_count(sketches ^ sketches[first]).sum(axis=1, dtype=np.int64) <= most
-            near &= ratio[1] * np.minimum(sizes, sizes[first]) >= ratio[0] * np.maximum(sizes, sizes[first])
-            single = ~np.logical_or.reduceat(own != own[first], start[:-1]) if len(start) > 1 else np.empty(0, dtype=bool)
-            left, right = [], []
-            for lo, hi, one_side in zip(start[:-1], start[1:], single):
-                if one_side and near[lo:hi].all():
-                    left.append(np.full(hi - lo - 1, lo))
-                    right.append(np.arange(lo + 1, hi))
-                else:
-                    side = None if one_side else own[lo:hi]
-                    for a, b in _search(sketches[lo:hi], sizes[lo:hi], side, most, ratio, None).links:
-                        left.append(lo + a)
-                        right.append(lo + b)
-            if left:
-                a, b = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
-                names = table.column("name").combine_chunks()
-                yield pa.RecordBatch.from_arrays([names.take(a), names.take(b)], names=["a", "b"])
+            near = possible(np.repeat(start[:-1], np.diff(start)), np.arange(table.num_rows)) & table.column("label").is_null().to_numpy()
+            for lo, hi in zip(start[:-1].tolist(), start[1:].tolist()):
+                if near[lo:hi].all():
+                    yield named_links(table, np.full(hi - lo - 1, lo), np.arange(lo + 1, hi))
+                    continue
+                a, b = link_members(table.slice(lo, hi - lo), lambda one, others, lo=lo: others[possible(lo + one, lo + others)])
+                if len(a):
+                    yield named_links(table, lo + a, lo + b)
 
     return found
 
@@ -225,52 +158,32 @@ def _family_links(most: int, ratio: tuple[int, int]):
     part, whole = ratio
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Columns family, piece, own, name, sketch, hashes, sorted by the first two; one group at a time."""
-        for table in _groups(batches, 2):
-            start = _starts(table, 2)
+        for table, start in whole_groups(batches):
             for lo, hi in zip(start[:-1].tolist(), start[1:].tolist()):
                 rows = table.slice(lo, hi - lo)
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("hashes").to_pylist()]
-                sizes, own = np.array([len(x) for x in sets]), rows.column("own").to_numpy()
+                sizes = np.array([len(x) for x in sets])
+                possible = _possible(_bitmaps(rows.column("sketch")), sizes, most, ratio)
 
                 def alike(one: int, others: np.ndarray) -> np.ndarray:
                     """Exact similarity of full sets."""
-                    mine, out = sets[one], []
-                    step = max(1, COMPARED // max(int(sizes[others].max()), 1))
+                    others, mine, out = others[possible(one, others)], sets[one], []
+                    step = max(1, COMPARED // max(int(sizes[others].max(initial=1)), 1))
                     for at in range(0, len(others), step):
                         few = others[at : at + step]
                         flat = np.concatenate([sets[i] for i in few])
                         place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
                         both = np.add.reduceat(mine[place] == flat, np.append(0, np.cumsum(sizes[few])[:-1]), dtype=np.int64)
-                        out.append(whole * both >= part * (len(mine) + sizes[few] - both))
-                    return np.concatenate(out)
+                        out.append(few[whole * both >= part * (len(mine) + sizes[few] - both)])
+                    return np.concatenate(out) if out else others
 
-                side = own if (own != own[0]).any() else None
-                links = _search(_bitmaps(rows.column("sketch")), sizes, side, most, ratio, alike).links
-                if links:
-                    a, b = (pa.array(np.concatenate(column)) for column in zip(*links))
-                    names = rows.column("name").combine_chunks()
-                    yield pa.RecordBatch.from_arrays([names.take(a), names.take(b)], names=["a", "b"])
+                a, b = link_members(rows, alike)
+                if len(a):
+                    yield named_links(rows, a, b)
 
     return found
 
 
-def _in_pieces(rows: DataFrame, key: str, fill: Column, columns: list[str]) -> DataFrame:
-    """Rows with ``piece`` and ``own``, sorted so that a task meets whole groups; groups of one row are left out.
-
-    ``fill`` is an aggregate that says how many pieces a group fills; it is cut into as many by hash. Each pair of pieces, and each piece by itself, is
-    a group of its own; in a pair ``own`` tells the pieces apart, and only rows of different ones are to be compared.
-    """
-    spark = rows.sparkSession
-    counted = rows.groupBy(key).agg(F.count("*").alias("_n"), F.ceil(fill).cast("long").alias("_pieces"))
-    cut = rows.join(materialise(counted.where("_n > 1").drop("_n"), "shared-groups"), key)
-    own = F.pmod(F.xxhash64("name"), F.col("_pieces"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1), lambda other: F.least(own, other) * F.col("_pieces") + F.greatest(own, other))
-    dealt = cut.select(key, F.explode(pairs).alias("piece"), own.alias("own"), *columns)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(tasks, key, "piece").sortWithinPartitions(key, "piece").select(key, "piece", "own", *columns)
-
-
 def _families(signed: DataFrame, most: int, ratio: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """``(name, lowest, text_key, n_shingles, sketch)`` of the distinct sets, and ``(name, family)`` of those that sketches connect."""
     text_key = F.coalesce(F.min_by("text_key", "id"), F.min("text_key")).alias("text_key")
@@ -282,8 +195,7 @@ def _families(signed: DataFrame, most: int, ratio: tuple[int, int]) -> tuple[Dat
     keys = sets.select("name", F.explode("bands").alias("key"))
     shared = materialise(keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "shared-bands")
     hits = materialise(keys.join(shared, "key", "left_semi"), "band-hits").join(sets.select("name", "n_shingles", "sketch"), "name")
-    links = _in_pieces(hits, "key", F.count("*") / BUCKET_ROWS, ["name", "n_shingles", "sketch"]).mapInArrow(_bucket_links(most, ratio), "a binary, b binary")
-    families = connected_components(materialise(links.distinct(), "sketch-links"))
+    families = connected_components(spanning_links(hits, "key", F.count("*") / BUCKET_ROWS, ["n_shingles", "sketch"], _bucket_links(most, ratio)))
     return sets.drop("bands"), materialise(families.select(F.col("id").alias("name"), F.col("component").alias("family")), "families")
 
 
@@ -326,8 +238,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = members.select("name", "family", "sketch").join(_full_sets(df, id_col, text_col, members), "name")
     full = materialise(full, "family-sets")
     fill = F.greatest(F.count("*") / FAMILY_ROWS, F.sum(F.octet_length("hashes")) / FAMILY_BYTES)
-    links = _in_pieces(full, "family", fill, ["name", "sketch", "hashes"]).mapInArrow(_family_links(most, ratio), "a binary, b binary")
-    components = connected_components(materialise(links, "set-links")).withColumnRenamed("id", "name")
+    links = spanning_links(full, "family", fill, ["sketch", "hashes"], _family_links(most, ratio))
+    components = connected_components(links).withColumnRenamed("id", "name")
     linked = materialise(sets.select("name", "lowest").join(components, "name"), "linked-sets")
     named = linked.groupBy("component").agg(F.min("lowest").alias("component_id"))
     moved = linked.join(named, "component").select("name", "component_id")

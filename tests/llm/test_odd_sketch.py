@@ -51,8 +51,8 @@ def test_equals_brute_force(spark, seed, n, length, changes, groups, monkeypatch
     rows = corpus(seed, n, length, changes, groups)
     want = brute(rows)
     assert got(spark, rows) == want
-    monkeypatch.setattr(odd_sketch, "BUCKET_ROWS", 16)
-    monkeypatch.setattr(odd_sketch, "FAMILY_ROWS", 16)
+    monkeypatch.setattr(odd_sketch, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(odd_sketch, "FAMILY_ROWS", 8)
     assert got(spark, rows) == want
 
 

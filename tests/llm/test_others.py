@@ -122,8 +122,11 @@ def brute_search(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunks", [None, 2, 3, 8])
-def test_top_k_equals_brute_force(spark, chunks):
+@pytest.mark.parametrize("chunks,small", [(None, False), (2, False), (3, True), (8, True)])
+def test_top_k_equals_brute_force(spark, chunks, small, monkeypatch):
+    if small:  # values in pieces, queries in blocks, pairs in runs
+        for name, size in {"HOT_ENTRIES": 5, "SCAN_QUERIES": 2, "SCAN_CODES": 40, "HELD": 50, "PAIRS": 30}.items():
+            monkeypatch.setattr(hamming, name, size)
     rng = np.random.default_rng(chunks or 0)
     bases = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     codes = bases[rng.integers(0, 30, 600)]
