@@ -14,14 +14,16 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<[A-Za-z/!?][^>]*\Z|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S
+    r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<[A-Za-z/!?][^>]*\Z|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+)>""", re.S
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_SELF_CLOSING = re.compile(r"""(?:\A|[\s"'])/\Z""")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -30,6 +32,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
+#: What may stand in a head; any other element ends it, and so does text.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title html".split())
 #: Never part of the text.
 _DROPPED = _RAW | frozenset("head nav aside footer button select option input svg canvas object audio video map dialog menu label".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -49,10 +53,13 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "kept", "marked")
+    __slots__ = ("name", "children", "parent", "block", "in_main", "chars", "tags", "link_chars", "link_tags", "density", "kept", "marked")
 
     def __init__(self, name: str, parent: Node | None) -> None:
         self.name, self.parent, self.children = name, parent, []
+        #: The nearest block around, itself included, and whether an article or main element is.
+        self.block = self if name in _BLOCK or parent is None else parent.block
+        self.in_main = name in ("article", "main") or parent is not None and parent.in_main
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density, self.kept, self.marked = 0.0, False, False
 
@@ -63,10 +70,6 @@ def _is_name_of_dropped(token: str) -> bool:
     return not words.isdisjoint(_DROPPED_NAMES) and words <= _DROPPED_NAMES | _NEUTRAL_NAMES
 
 
-def _is_dropped(name: str, inside: set[str]) -> bool:
-    return name in _DROPPED or name == "header" and not inside & {"article", "main"}
-
-
 def _is_marked(name: str, rest: str) -> bool:
     """Whether a part's attributes or its being a form speak against it; see ``_pruned``."""
     if name == "form":
@@ -85,101 +88,106 @@ def _is_marked(name: str, rest: str) -> bool:
     return False
 
 
+class _Open:
+    """The open nodes of a page, innermost last, with their number by name."""
+
+    def __init__(self) -> None:
+        self.root = self.node = Node("#root", None)
+        self.counts: Counter[str] = Counter()
+
+    def enter(self, node: Node) -> None:
+        self.node = node
+        self.counts[node.name] += 1
+
+    def leave_to(self, outer: Node) -> None:
+        while self.node is not outer:
+            self.counts[self.node.name] -= 1
+            self.node = self.node.parent
+
+    def close(self, name: str) -> None:
+        """The end tag ``name``: a stray one ends nothing, an inline one no block around it, and the body goes on to the end."""
+        if self.counts[name] and name not in ("body", "html"):
+            own = self.node
+            while own.name != name:
+                if name not in _BLOCK and own.name in _BLOCK:
+                    return
+                own = own.parent
+            self.leave_to(own.parent)
+
+
 def parse(page: str) -> Node:
     """Tree of a page's nodes and texts, without the parts that are dropped by tag. Unclosed and stray tags are borne:
-    a block ends an open paragraph, a list item, cell or option its predecessor, and what stays open ends with the page."""
-    root = node = Node("#root", None)
+    a block ends an open paragraph, a list item, cell or option its predecessor, whatever cannot stand in a head ends it,
+    and what stays open ends with the page."""
+    tree = _Open()
     skipped: list[str] = []  # open tags inside a dropped part
     place = 0
 
     def text(until: int) -> None:
-        if until > place and not skipped:
-            node.children.append(page[place:until])
+        if until > place:
+            if skipped == ["head"] and not page[place:until].isspace():
+                skipped.clear()
+            if not skipped:
+                tree.node.children.append(page[place:until])
 
     while True:
         token = _TOKEN.search(page, place)
         if token is None:
             text(len(page))
-            return root
+            return tree.root
         text(token.start())
         place = token.end()
         if token["name"] is None:
             continue
         name = token["name"].lower()
         if token["close"]:
-            if skipped:
-                if name in skipped:
-                    while skipped.pop() != name:
-                        pass
-                elif _encloses(node, name):
-                    skipped.clear()
-                    node = _closed(node, name)
-            else:
-                node = _closed(node, name)
+            if name in skipped:
+                while skipped.pop() != name:
+                    pass
+            elif not skipped:
+                tree.close(name)
+            elif tree.counts[name]:
+                skipped.clear()
+                tree.close(name)
             continue
-        empty = name in _VOID or token["rest"].endswith("/") and name not in _BLOCK
+        empty = name in _VOID or name not in _BLOCK and bool(_SELF_CLOSING.search(token["rest"]))
         if name in _RAW:
             end = _RAW_END[name].search(page, place)
             place = end.end() if end else len(page)
             continue
+        if skipped == ["head"] and name not in _HEAD:
+            skipped.clear()
         if skipped:
             if not empty:
                 skipped.append(name)
             continue
         if name in _BLOCK and name != "br":
-            node = _ended(node, name)
-        inside = set()
-        if name == "header":
-            above = node
-            while above:
-                inside.add(above.name)
-                above = above.parent
-        if _is_dropped(name, inside):
+            tree.leave_to(_ended(tree.node, name))
+        if name in _DROPPED or name == "header" and not tree.node.in_main:
             if not empty:
                 skipped.append(name)
-                node.children.append("\n")
+                tree.node.children.append("\n")
             continue
-        made = Node(name, node)
+        made = Node(name, tree.node)
         made.marked = _is_marked(name, token["rest"])
-        node.children.append(made)
+        tree.node.children.append(made)
         if not empty:
-            node = made
-
-
-def _encloses(node: Node | None, name: str) -> bool:
-    while node:
-        if node.name == name:
-            return True
-        node = node.parent
-    return False
-
-
-def _closed(node: Node, name: str) -> Node:
-    """Where the text goes on after the end tag ``name``."""
-    own = node
-    while own and own.name != name:
-        if name not in _BLOCK and own.name in _BLOCK:  # a stray inline end tag ends no block
-            return node
-        own = own.parent
-    return own.parent if own and own.parent else node
+            tree.enter(made)
 
 
 _SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",)}
 
 
 def _ended(node: Node, name: str) -> Node:
-    """Close a paragraph, or an earlier item of the same list, that a new block ends."""
-    own = node
-    while own and (own.name not in _BLOCK or own.name == "p"):
-        if own.name == "p":
-            return own.parent
-        own = own.parent
+    """Where a new block goes: it ends an open paragraph, or an earlier item of the same list."""
+    own = node.block
+    if own.name == "p":
+        return own.parent
     if name in _SIBLINGS:
-        own = node
-        while own and own.name not in _SIBLINGS[name]:
+        while own.parent and own.name not in _SIBLINGS[name]:
             if own.name == name or own.name in ("dt", "dd") and name in ("dt", "dd"):
                 return own.parent
-            own = own.parent
+            own = own.parent.block
     return node
 
 
@@ -261,10 +269,9 @@ def main_text(page: str | None) -> str:
     for node in order:
         node.kept = node.density >= threshold > 0 and node not in above
     best.kept = True
-    for node in reversed(order):
-        while node.kept and node.name not in _BLOCK and node.parent is not None and node.parent not in above and node is not body:
-            node = node.parent
-            node.kept = True
+    for node in reversed(order):  # children come before their parents, so one step each leads up to the block
+        if node.kept and node.name not in _BLOCK and node.parent is not None and node.parent not in above and node is not body:
+            node.parent.kept = True
     top = _lifted(best, body, order, above)
     holds = set()
     for node in reversed(order):
