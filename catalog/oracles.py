@@ -166,17 +166,28 @@ def overlap(internal: bool) -> str:
             WHERE human = 0 AND (meets = 1 {more}))"""
 
 
-def star_groups() -> str:
-    """Walk ids upwards: each step opens the group of the lowest id that is in no group."""
+def star_groups(order: str = "id", source: str = DOCUMENTS) -> str:
+    """Walk the texts in order: each step opens the group of the first one that is in no group."""
     return f"""
-        WITH RECURSIVE b AS MATERIALIZED (SELECT id, key FROM ({bands(DOCUMENTS)}) QUALIFY count(*) OVER (PARTITION BY key) > 1),
-        near AS MATERIALIZED (SELECT x.id AS centre, list(DISTINCT y.id) AS members FROM b x JOIN b y USING (key) GROUP BY x.id),
+        WITH RECURSIVE b AS MATERIALIZED (SELECT id, key FROM ({bands(source)}) QUALIFY count(*) OVER (PARTITION BY key) > 1),
+        near AS MATERIALIZED (
+            SELECT centre, members, row_number() OVER (ORDER BY {order.replace('id', 'centre')}) AS place
+            FROM (SELECT x.id AS centre, list(DISTINCT y.id) AS members FROM b x JOIN b y USING (key) GROUP BY x.id)),
         walk AS (
-            SELECT -1::BIGINT AS centre, []::BIGINT[] AS members, []::BIGINT[] AS covered
+            SELECT -1::BIGINT AS centre, 0::BIGINT AS place, []::BIGINT[] AS members, []::BIGINT[] AS covered
             UNION ALL
-            SELECT n.centre, n.members, list_concat(w.covered, n.members)
-            FROM walk w JOIN near n ON n.centre = (SELECT min(m.centre) FROM near m WHERE m.centre > w.centre AND NOT list_contains(w.covered, m.centre)))
-        SELECT unnest(members) AS id, centre AS group_id FROM walk WHERE centre >= 0"""
+            SELECT n.centre, n.place, n.members, list_concat(w.covered, n.members)
+            FROM walk w JOIN near n ON n.place = (SELECT min(m.place) FROM near m WHERE m.place > w.place AND NOT list_contains(w.covered, m.centre)))
+        SELECT unnest(members) AS id, centre AS group_id FROM walk WHERE place > 0"""
+
+
+def star_groups_by_hash() -> str:
+    """The walk over distinct texts, each under its lowest id; its copies are in the same groups."""
+    first = "SELECT min(doc_id) AS doc_id, text, count(*) AS n FROM documents GROUP BY text"
+    return f"""
+        WITH walked AS MATERIALIZED ({star_groups("md5(id::VARCHAR)", f"SELECT doc_id, text FROM ({first})")}),
+        every AS (SELECT id, group_id FROM walked UNION ALL SELECT doc_id, doc_id FROM ({first}) WHERE n > 1 AND doc_id NOT IN (SELECT id FROM walked))
+        SELECT d.doc_id AS id, group_id FROM every JOIN ({first}) f ON f.doc_id = every.id JOIN documents d ON d.text = f.text"""
 
 
 def prompts() -> str:
@@ -401,6 +412,7 @@ ORACLES: dict[str, str] = {
     "near_duplicate_groups": GROUPS,
     "near_duplicate_groups_verified": components(SIMILAR),
     "near_duplicate_star_groups": star_groups(),
+    "near_duplicate_star_groups_hashed": star_groups_by_hash(),
     "near_duplicate_report": f"SELECT group_id, id, text FROM ({GROUPS}) JOIN documents ON doc_id = id",
     "remove_near_duplicates": f"SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT id FROM ({GROUPS}) WHERE id <> group_id)",
     "remove_overlap": overlap(False),
@@ -417,6 +429,7 @@ ORACLES: dict[str, str] = {
     "training_set_validation": f"SELECT doc_id, text, label FROM ({HUMAN_TRAIN}) WHERE split = 'validation'",
     "held_out_for_perplexity": f"SELECT doc_id, text FROM ({FINETUNING}) WHERE split = 'train'",
     "curate_synthetic": curated(),
+    "curate_incremental": curated(),
     "curation_profile": curation(),
     "encode_corpus": encoded(512),
     "mlm_mask": masked_tokens(1000, 4, list(range(len(SPECIAL)))),

@@ -404,6 +404,11 @@ def near_duplicate_star_groups(spark, d):
     return neardup.near_duplicate_groups(_documents(spark, d), "doc_id", grouping="star")
 
 
+@query
+def near_duplicate_star_groups_hashed(spark, d):
+    return neardup.near_duplicate_groups(_documents(spark, d), "doc_id", grouping="star", order="hash")
+
+
 @query
 def near_duplicate_report(spark, d):
     docs = _documents(spark, d)
@@ -499,6 +504,21 @@ def curate_synthetic(spark, d):
     return curation.curate_synthetic(main, new, human, "doc_id").select("doc_id", "sentiment")
 
 
+@query
+def curate_incremental(spark, d):
+    """The same posts in three batches and the human texts in two, one of them late."""
+    posts = src.tweets(spark, d)
+    human = posts.where(src.is_human()).select("doc_id", "tweet")
+    made = posts.where(~src.is_human()).select("doc_id", "tweet", "sentiment").withColumn("sentiment", lb.decode_labels("sentiment"))
+    kept = curation.Curation(spark, scratch_path(spark, "curation"), "doc_id")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    for batch in range(3):
+        kept.add_posts(made.where(turn == batch), batch)
+        if batch:
+            kept.add_human(human.where(turn % 2 == batch % 2), batch)
+    return kept.result().select("doc_id", "sentiment")
+
+
 @query
 def curation_profile(spark, d):
     made = src.tweets(spark, d).where(~src.is_human()).select("doc_id", "tweet", "sentiment")

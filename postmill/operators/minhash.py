@@ -37,14 +37,10 @@ def permutations(num_perm: int) -> tuple[np.ndarray, np.ndarray]:
     return a.copy(), b.copy()
 
 
-def token_hashes(text_col: str) -> Column:
-    """Distinct tokens between single spaces, as the first four bytes of their SHA-1 read from the low end."""
+def token_digests(text_col: str) -> Column:
+    """The first four bytes of the SHA-1 of every distinct token between single spaces, one after another."""
     tokens = F.array_distinct(F.split(text_col, " ", -1))
-    digests = F.transform(tokens, lambda t: F.substring(F.sha1(t.cast("binary")), 1, 8))
-    return F.transform(
-        digests,
-        lambda h: F.conv(F.concat(*[F.substring(h, at, 2) for at in (7, 5, 3, 1)]), 16, 10).cast("long"),
-    )
+    return F.unhex(F.array_join(F.transform(tokens, lambda t: F.substring(F.sha1(t.cast("binary")), 1, 8)), ""))
 
 
 def permuted(hashes: np.ndarray, num_perm: int) -> np.ndarray:
@@ -77,26 +73,25 @@ def minima(hashes: np.ndarray, starts: np.ndarray, num_perm: int) -> np.ndarray:
     return out
 
 
-def signatures(hashes: pd.Series, num_perm: int) -> np.ndarray:
-    """One row per array of token hashes, none of which may be missing or empty."""
-    starts = np.append(0, np.cumsum([len(h) for h in hashes]))
-    flat = np.concatenate(list(hashes)) if len(hashes) else np.empty(0)
-    return minima(flat.astype(np.uint64), starts, num_perm)
+def signatures(digests: pd.Series, num_perm: int) -> np.ndarray:
+    """One row per text's digests, none of which may be missing or empty; a digest is read from the low end."""
+    starts = np.append(0, np.cumsum([len(d) // 4 for d in digests]))
+    return minima(np.frombuffer(b"".join(digests), dtype="<u4").astype(np.uint64), starts, num_perm)
 
 
 def minhash_signature(df: DataFrame, text_col: str = "text", num_perm: int = fixed.NUM_PERM) -> DataFrame:
     """Add ``signature``: one minimum per permutation over the tokens between single spaces; NULL for a NULL text.
 
-    Tokens are hashed in the JVM; only 32-bit hashes reach Python, in Arrow batches.
+    Tokens are hashed in the JVM; only 32 bits of each reach Python, in Arrow batches.
     """
 
     @F.pandas_udf("array<long>")
-    def sign(hashes: pd.Series) -> pd.Series:
-        known = hashes.notna()
-        signed = iter(signatures(hashes[known], num_perm).astype(np.int64))
+    def sign(digests: pd.Series) -> pd.Series:
+        known = digests.notna()
+        signed = iter(signatures(digests[known], num_perm).astype(np.int64))
         return pd.Series([next(signed) if ok else None for ok in known])
 
-    return df.withColumn("signature", sign(token_hashes(text_col)))
+    return df.withColumn("signature", sign(token_digests(text_col)))
 
 
 def band_keys(
@@ -108,13 +103,13 @@ def band_keys(
     """
 
     @F.pandas_udf("array<binary>")
-    def keys(hashes: pd.Series) -> pd.Series:
-        signed = np.ascontiguousarray(signatures(hashes, num_perm))
+    def keys(digests: pd.Series) -> pd.Series:
+        signed = np.ascontiguousarray(signatures(digests, num_perm))
         cuts = [(i.to_bytes(2, "little"), i * rows, (i + 1) * rows) for i in range(bands)]
         return pd.Series([[hashlib.md5(name + row[lo:hi].tobytes()).digest() for name, lo, hi in cuts] for row in signed])
 
     texts = df.select(F.col(id_col).alias("id"), text_col).where(F.col(text_col).isNotNull())
-    return texts.select("id", F.explode(keys(token_hashes(text_col))).alias("key"))
+    return texts.select("id", F.explode(keys(token_digests(text_col))).alias("key"))
 
 
 @lru_cache(maxsize=None)

@@ -84,7 +84,8 @@ def _bucket_links(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return local.where("id <> local").select("key", "id", "local"), heads.where("n > 1")
 
 
-def _tree_edges(bands: DataFrame) -> DataFrame:
+def bucket_edges(bands: DataFrame) -> DataFrame:
+    """``(a, b)``: a tree for every bucket of ``bands (id, key)`` with two texts or more."""
     down, heads = _bucket_links(bands)
     up = heads.where("local <> leader").select(F.col("local").alias("a"), F.col("leader").alias("b"))
     return up.unionByName(down.select(F.col("id").alias("a"), F.col("local").alias("b")))
@@ -129,7 +130,7 @@ def _with_copies(groups: DataFrame, copies: DataFrame) -> DataFrame:
 
 def signed_groups(signed: Signed) -> DataFrame:
     """``(id, group_id)``, connected by collisions."""
-    groups = connected_components(_tree_edges(signed.bands)).select("id", F.col("component").alias("group_id"))
+    groups = connected_components(bucket_edges(signed.bands)).select("id", F.col("component").alias("group_id"))
     return _with_copies(materialise(groups, "groups"), signed.copies)
 
 
@@ -143,16 +144,20 @@ def near_duplicate_groups(
     rows: int | None = None,
     grouping: str = "components",
     verify: bool = False,
+    order: str = "id",
 ) -> DataFrame:
-    """``(id, group_id)`` for every text that is in a group; a group is named by its lowest id.
+    """``(id, group_id)`` for every text that is in a group; a group is named by its lowest id, a star by its centre.
 
     ``components`` joins texts that are connected by collisions in the bands that fit the threshold, or with ``verify``
     by similar pairs, none of which is missed; see ``near_duplicate_pairs``.
-    ``star`` walks the ids upwards and lets each text that is in no group yet open one with all texts it
-    collides with, so groups may overlap.
+    ``star`` walks the texts and lets each that is in no group yet open one with all texts it collides with, so groups
+    may overlap. The walk goes upwards by id, or with ``order="hash"`` by the MD5 of the lowest id of a text, which takes
+    few rounds whatever the texts.
     """
     if grouping not in ("components", "star"):
         raise ValueError(f"unknown grouping {grouping!r}")
+    if order not in ("id", "hash"):
+        raise ValueError(f"unknown order {order!r}")
     if verify:
         if grouping == "star":
             raise ValueError("star groups are built from collisions alone")
@@ -161,26 +166,28 @@ def near_duplicate_groups(
         return connected_components(edges).select("id", F.col("component").alias("group_id"))
     signed = sign_corpus(df, id_col, text_col, threshold, num_perm, bands, rows)
     if grouping == "star":
-        return _with_copies(materialise(_star_groups(signed.bands), "star-groups"), signed.copies)
+        return _with_copies(materialise(_star_groups(signed.bands, order), "star-groups"), signed.copies)
     return signed_groups(signed)
 
 
-def _star_groups(bands: DataFrame) -> DataFrame:
-    """Rounds of the upward walk: a text opens a group once it is the lowest open one in all its buckets.
+def _star_groups(bands: DataFrame, order: str = "id") -> DataFrame:
+    """Rounds of the walk: a text opens a group once it is the first open one in all its buckets.
 
-    There are as many rounds as the longest chain of ascending ids in which each text collides with the next; every
-    round appends its centres to one written table.
+    There are as many rounds as the longest chain of texts in walking order in which each collides with the next: by id that
+    may be as long as the corpus, by a hash of the id it grows with the logarithm of it. Every round appends its centres
+    to one written table.
     """
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     n_rows = bands.count()
-    rows = materialise(attach(bands, sizes, "key", "inner", n_rows), "buckets")
+    place = F.col("id") if order == "id" else F.md5(F.col("id").cast("string"))
+    rows = materialise(attach(bands, sizes, "key", "inner", n_rows).withColumn("place", place), "buckets")
     spark, path = bands.sparkSession, scratch_path(bands.sparkSession, "centres")
     schema = rows.select("key", F.col("id").alias("group_id")).schema
     open_rows, rounds = rows, 0
     while not open_rows.isEmpty():
-        lowest = open_rows.groupBy("key").agg(F.min("id").alias("lowest"))
-        seen = materialise(attach(open_rows, lowest, "key", "inner", n_rows), "lowest")
-        centres = seen.groupBy("id").agg(F.bool_and(F.col("id") == F.col("lowest")).alias("opens")).where("opens")
+        first = open_rows.groupBy("key").agg(F.min("place").alias("first"))
+        seen = materialise(attach(open_rows, first, "key", "inner", n_rows), "first-open")
+        centres = seen.groupBy("id").agg(F.bool_and(F.col("place") == F.col("first")).alias("opens")).where("opens")
         own = seen.join(centres.select("id"), "id", "left_semi").select("key", F.col("id").alias("group_id"))
         own.write.parquet(f"{path}/round={rounds}")
         owned = spark.read.schema(schema).parquet(f"{path}/round={rounds}")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.operators.corpus import clean_main, drop_ids, merge_generated
+from postmill.functions import fixed
+from postmill.functions.labels import encode_labels
+from postmill.operators.band_index import BandIndex, text_name
+from postmill.operators.corpus import clean_main, drop_ids, drop_missing, merge_generated
 from postmill.operators.metrics import class_counts, profile_duplicates, profile_nulls
 from postmill.operators.neardup import Signed, overlapping, remove_near_duplicates, remove_overlap, sign_corpus, signed_groups
+from postmill.operators.skew import attach
 from postmill.sources.scratch import materialise
 
 
@@ -35,6 +38,45 @@ def curate_synthetic(
     return drop_ids(cleaned, dropped, id_col)
 
 
+class Curation:
+    """Curation of a main table that grows by batches, kept under ``path``, a folder all executors share.
+
+    Batches of posts and of human texts are added as they come; each signs its new texts only. ``result`` equals
+    ``curate_synthetic`` over all batches at once, in whatever order the ids came.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, id_col: str, **search) -> None:
+        self.spark, self.path, self.id_col = spark, path.rstrip("/"), id_col
+        self.ours = BandIndex(spark, f"{self.path}/ours", **search)
+        self.theirs = BandIndex(spark, f"{self.path}/human", **search)
+
+    def add_posts(self, posts: DataFrame, batch: int) -> int:
+        """Add posts ``(id, tweet, sentiment, ...)``, labels by code or by name; those without a text or a label are left out. Returns how many texts were signed."""
+        if posts.schema["sentiment"].dataType.typeName() == "string":
+            posts = posts.withColumn("sentiment", encode_labels("sentiment", dict(fixed.SENTIMENT_CODES)))
+        cleaned = drop_missing(posts.withColumn("sentiment", F.col("sentiment").cast("int")), ["tweet", "sentiment"])
+        cleaned.withColumn("_name", text_name("tweet")).write.mode("overwrite").parquet(f"{self.path}/posts/batch={batch}")
+        written = self.spark.read.parquet(f"{self.path}/posts/batch={batch}")
+        return self.ours.add(written.select("tweet"), batch, "tweet")
+
+    def add_human(self, texts: DataFrame, batch: int) -> int:
+        """Add human texts ``(tweet, ...)`` that posts must not come near to. Returns how many were signed."""
+        return self.theirs.add(texts.select("tweet"), batch, "tweet")
+
+    def result(self) -> DataFrame:
+        """The posts kept so far: of every group the one with the lowest id, unless it meets a human text."""
+        posts = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/posts/batch={b}" for b in self.ours.batches()])
+        keys = materialise(posts.select(self.id_col, "_name"), "post-names")
+        groups = materialise(self.ours.groups().withColumnsRenamed({"name": "_name", "group": "_group"}), "stored-groups")
+        # The name goes along with the lowest id: it says which text stands for the group.
+        lowest = attach(keys, groups, "_name").groupBy(F.coalesce("_group", "_name").alias("_group"))
+        kept = materialise(lowest.agg(F.min(F.struct(self.id_col, "_name")).alias("_first")).select("_first.*"), "kept-posts")
+        human = self.theirs.table("bands").select("key").distinct()
+        met = self.ours.table("bands").join(human, "key", "left_semi").select(F.col("name").alias("_name")).distinct()
+        kept = kept.join(met, "_name", "left_anti").select(self.id_col)
+        return posts.join(kept, self.id_col, "left_semi").drop("_name")
+
+
 def curation_profile(main: DataFrame, generated: DataFrame, id_col: str, text_col: str = "tweet", label_col: str = "sentiment") -> DataFrame:
     """``(stage, measure, value)``: duplicate rows, missing cells and rows per class before and after cleaning."""
     merged = materialise(merge_generated(main, generated), "merged")

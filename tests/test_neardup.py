@@ -99,6 +99,35 @@ def test_star_groups_equal_the_upward_walk(spark):
     assert got == want
 
 
+def test_star_groups_by_hash_equal_the_walk(spark):
+    texts, df = corpus(spark)
+    bands = band_sets(texts)
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    done, walked = set(), set()
+    for i in sorted(first.values(), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        near = [j for j in first.values() if collide(bands[i], bands[j])]
+        if i not in done and len(near) > 1:
+            done.update(near)
+            walked |= {(j, i) for j in near}
+    walked |= {(i, i) for t, i in first.items() if texts.count(t) > 1 and i not in done}
+    want = {(j, g) for i, g in walked for j in range(len(texts)) if first[texts[j]] == i}
+    got = {(r.id, r.group_id) for r in neardup.near_duplicate_groups(df, "id", grouping="star", order="hash").collect()}
+    assert got == want
+    with pytest.raises(ValueError):
+        neardup.near_duplicate_groups(df, "id", grouping="star", order="size")
+
+
+def test_a_long_chain_takes_few_rounds_by_hash(spark, monkeypatch):
+    tables, write = [], neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, name: tables.append(name) or write(df, name))
+    chain = spark.range(10_000).select("id", F.explode(F.array("id", F.col("id") + 1)).alias("key"))
+    groups = neardup._star_groups(chain, "hash")
+    assert tables.count("first-open") <= 30
+    assert groups.select("id").distinct().count() == 10_000
+    gaps = [r.group_id for r in groups.select("group_id").distinct().orderBy("group_id").collect()]
+    assert all(2 <= b - a <= 3 for a, b in zip(gaps, gaps[1:])), "no two centres collide, and no text is left out"
+
+
 def test_pairs_are_verified(spark):
     texts, df = corpus(spark)
     pairs = neardup.near_duplicate_pairs(df, "id", bands=16, rows=8).collect()
