@@ -334,6 +334,9 @@ def curation() -> str:
 ORACLES: dict[str, str] = {
     "convert_format": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "read_splits": f"SELECT doc_id, 'human' AS split, source, length(text) AS n FROM documents WHERE {HUMAN}",
+    "replace_table_versions": f"""
+        SELECT 1 AS version, doc_id, sentiment FROM ({MAIN})
+        UNION ALL SELECT 2, min(doc_id), sentiment FROM ({MAIN}) WHERE tweet IS NOT NULL AND sentiment IS NOT NULL GROUP BY tweet, sentiment""",
     "replace_table": f"""
         SELECT 'old' AS version, doc_id FROM documents
         UNION ALL SELECT 'new', min(doc_id) FROM ({MAIN}) WHERE tweet IS NOT NULL AND sentiment IS NOT NULL GROUP BY tweet, sentiment""",
@@ -392,7 +395,8 @@ ORACLES: dict[str, str] = {
     "text_as_string": f"SELECT doc_id, sentiment::VARCHAR AS text FROM ({MAIN})",
     "training_columns_pretrain": f"""
         SELECT n_ids, n_used, list_sum(list_transform(string_split(input_ids, ','), lambda x: x::BIGINT))::BIGINT AS sum_ids FROM ({encoded(512)})""",
-    "fit_sentiment_baseline": f"SELECT count(*) AS n_predicted, true AS known_classes, true AS beats_majority FROM ({LABELLED})",
+    "fit_sentiment_baseline": f"SELECT count(*) AS n_predicted, true AS known_classes, true AS holds_up FROM ({HUMAN_TRAIN}) WHERE split = 'validation'",
+    "choose_baseline": f"SELECT count(*) AS n_predicted, true AS known_classes, true AS holds_up, 3 AS n_candidates, true AS is_best FROM ({HUMAN_TRAIN}) WHERE split = 'validation'",
     "evaluate_test": f"""
         SELECT 'test/final_accuracy' AS metric, round({ACCURACY}, 9) AS value UNION ALL SELECT 'test/final_f1_score', round({F1}, 9)""",
     "evaluate_finetune": matrix(["bearish", "bullish", "neutral"], NAMES.format("label"), f"({NAMES.format('predicted')})").replace("GROUP BY label", "GROUP BY 1"),

@@ -11,7 +11,7 @@ from catalog import inputs as src
 from postmill.functions import fixed, labels as lb, scores, text as tx
 from postmill.operators import corpus, encode, generated, metrics, models, neardup, sampling, synonyms
 from postmill.plans import curation, evaluation, preparation
-from postmill.sources import files
+from postmill.sources import files, versions
 from postmill.operators.components import connected_components
 from postmill.sources.scratch import materialise, scratch_path
 from postmill.streaming import ingest
@@ -47,6 +47,16 @@ def read_splits(spark, d):
     return files.read_splits(spark, path, "human").select("doc_id", "split", "source", F.length("text").alias("n"))
 
 
+@query
+def replace_table_versions(spark, d):
+    """The first version of a table and the second, made from the first."""
+    table = versions.VersionedTable(spark, scratch_path(spark, "versioned"))
+    first = table.write(src.main_table(spark, d))
+    table.write(corpus.clean_main(table.read(first), id_col="doc_id"), after=first)
+    every = [table.read(v).select(F.lit(v).alias("version"), "doc_id", "sentiment") for v in table.versions()]
+    return every[0].unionByName(every[1])
+
+
 @query
 def replace_table(spark, d):
     path = scratch_path(spark, "main")
@@ -572,15 +582,38 @@ def score_corpus(spark, d):
     return scored.select("doc_id", F.col("prediction.label").alias("label"), F.round("prediction.score", 9).alias("score"))
 
 
-@query
-def fit_sentiment_baseline(spark, d):
-    """Whether the baseline predicts every row, known classes only, and better than the largest class would."""
-    train = src.labelled(spark, d).select("doc_id", F.when(F.length("text") % 50 != 0, F.col("text")).alias("text"), "label")
-    model = models.fit_sentiment_baseline(train, features=1 << 12, max_iter=10)
-    predicted = materialise(models.predict_baseline(model, train).select("label", "predicted"), "predicted")
-    majority = metrics.largest_class(predicted).first().max_rows / predicted.count()
+def _sides(spark, d):
+    """The training set, unbalanced and some of its posts without a text, and the validation posts."""
+    posts = src.tweets(spark, d)
+    train, validation = preparation.build_training_set(posts.where(~src.is_human()), posts.where(src.is_human()), "doc_id", mode=None)
+    train = train.withColumn("text", F.when(F.length("text") % 50 != 0, F.col("text")))
+    return materialise(train.select("text", "label"), "train"), materialise(validation.select("text", "label"), "validation")
+
+
+def _measured(predicted):
+    """Predictions of all rows, in known classes only, and better than guessing among three."""
     return predicted.agg(
         F.count("predicted").alias("n_predicted"),
         F.bool_and(F.col("predicted").isin(0, 1, 2)).alias("known_classes"),
-        (F.avg((F.col("label") == F.col("predicted")).cast("int")) > majority).alias("beats_majority"),
+        (F.avg((F.col("label") == F.col("predicted")).cast("int")) > 1 / 3).alias("holds_up"),
     )
+
+
+@query
+def fit_sentiment_baseline(spark, d):
+    """The baseline on validation rows, which it has not seen."""
+    train, validation = _sides(spark, d)
+    model = models.fit_sentiment_baseline(train, features=1 << 12, max_iter=10)
+    return _measured(materialise(models.predict_baseline(model, validation).select("label", "predicted"), "predicted"))
+
+
+@query
+def choose_baseline(spark, d):
+    """The best of three on validation rows; one of them is regularised until it knows the largest class only."""
+    train, validation = _sides(spark, d)
+    grid = [{"features": 1 << 10, "max_iter": 5, "regularisation": 100.0}, {"features": 1 << 12, "max_iter": 10}, {"features": 1 << 12, "max_iter": 10, "regularisation": 0.1}]
+    chosen = models.choose_baseline(train, validation, grid, scratch_path(spark, "candidates"))
+    predicted = materialise(models.predict_baseline(chosen.model, validation).select("label", "predicted"), "predicted")
+    share = metrics.accuracy(predicted, "label", "predicted").first().accuracy
+    best = abs(share - max(chosen.accuracies)) < 1e-12 and chosen.candidate == grid[chosen.accuracies.index(max(chosen.accuracies))]
+    return _measured(predicted).withColumns({"n_candidates": F.lit(len(chosen.accuracies)), "is_best": F.lit(best)})

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+import json
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import text as tx
+from postmill.operators.metrics import accuracy
+from postmill.sources.scratch import hadoop_fs
 
 _TEXT = "_baseline_text"
 
@@ -39,7 +44,9 @@ def score_corpus(df: DataFrame, make_predictor: Callable[[], Predictor], text_co
     return df.withColumn("prediction", predict(F.col(text_col)))
 
 
-def fit_sentiment_baseline(train: DataFrame, text_col: str = "text", label_col: str = "label", features: int = 1 << 16, max_iter: int = 20) -> PipelineModel:
+def fit_sentiment_baseline(
+    train: DataFrame, text_col: str = "text", label_col: str = "label", features: int = 1 << 16, max_iter: int = 20, regularisation: float = 0.01
+) -> PipelineModel:
     """Fit TF-IDF features and a multinomial logistic regression; all passes are Spark jobs over the rows.
 
     Words are the library's words. Rows without a text or a label are left out; predicting a NULL text is predicting an
@@ -50,7 +57,7 @@ def fit_sentiment_baseline(train: DataFrame, text_col: str = "text", label_col:
         RegexTokenizer(inputCol=_TEXT, outputCol="tokens", pattern=f"[{tx.SPACE}]+", toLowercase=True),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(labelCol=label_col, featuresCol="features", family="multinomial", maxIter=max_iter, regParam=0.01),
+        LogisticRegression(labelCol=label_col, featuresCol="features", family="multinomial", maxIter=max_iter, regParam=regularisation),
     ]
     return Pipeline(stages=stages).fit(train.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()))
 
@@ -59,3 +66,39 @@ def predict_baseline(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add the predicted class code as ``predicted``."""
     scored = model.transform(df)
     return scored.select(*df.columns, F.col("prediction").cast("int").alias("predicted"))
+
+
+@dataclass(frozen=True)
+class Chosen:
+    """The candidate that did best on the validation rows, and the accuracy of every one, in the order of the grid."""
+
+    model: PipelineModel
+    candidate: Mapping[str, float]
+    accuracies: list[float]
+
+
+def choose_baseline(
+    train: DataFrame, validation: DataFrame, grid: Sequence[Mapping[str, float]], path: str, text_col: str = "text", label_col: str = "label"
+) -> Chosen:
+    """Fit a baseline for every candidate of ``grid`` on ``train`` and keep the most accurate one on ``validation``; of equal
+    ones the first.
+
+    A candidate holds arguments of ``fit_sentiment_baseline``. Its model and accuracy are written under ``path``, by a
+    digest of these arguments, as soon as they are known: a search that was stopped goes on with the candidates that are left.
+    A path belongs to one pair of tables. Validation rows without a label do not count.
+    """
+    if not grid:
+        raise ValueError("the grid has no candidate")
+    spark, found = train.sparkSession, []
+    for candidate in grid:
+        own = f"{path.rstrip('/')}/{hashlib.sha1(json.dumps(dict(candidate), sort_keys=True).encode()).hexdigest()}"
+        fs, done = hadoop_fs(spark, f"{own}/accuracy/_SUCCESS")
+        if not fs.exists(done):
+            model = fit_sentiment_baseline(train, text_col, label_col, **candidate)
+            model.write().overwrite().save(f"{own}/model")
+            scored = predict_baseline(model, validation.select(text_col, label_col))
+            accuracy(scored, label_col, "predicted").write.mode("overwrite").parquet(f"{own}/accuracy")
+        share = spark.read.parquet(f"{own}/accuracy").first().accuracy
+        found.append((-1.0 if share is None else share, own))
+    best = max(range(len(found)), key=lambda i: (found[i][0], -i))
+    return Chosen(PipelineModel.load(f"{found[best][1]}/model"), dict(grid[best]), [share for share, _ in found])
