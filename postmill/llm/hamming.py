@@ -3,7 +3,8 @@
 A code is cut into m chunks and indexed once per chunk. In step r a query probes, in every chunk, the values at exactly
 r flipped bits; a code not found by then differs in more than r bits in every chunk, so in m (r + 1) bits at least. A
 query is finished once its k-th verified distance is below that, ties included. In every step probes and index entries
-of all chunks meet in one exchange; a task verifies what meets there and lets out no more than the k best per query.
+of all chunks meet in one exchange; a task verifies what meets there and lets out no more than the k best per query, and
+none beyond the k-th distance known by then, at first that to a few sampled codes.
 When a step would probe more values than there are codes, what is left is compared with all codes in a grid of query
 blocks and shares of the codes, which is exact as well.
 """
@@ -29,6 +30,7 @@ SCAN_CODES = 16_777_216  # codes that stream past them
 HOT_ENTRIES = 100_000  # index entries of one value that a task takes; more are dealt to several
 HELD = 1 << 20  # found pairs a task holds before it cuts them to the best
 PAIRS = 1 << 20  # pairs verified at once
+SAMPLE = 256  # codes whose k-th distance bounds a query's result from the start
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
@@ -89,28 +91,48 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def _probes(queries: DataFrame, cuts: list[range], flips: int) -> DataFrame:
-    """``(chunk, value, query_id, query_code)``: every value of a chunk, its bits in place, at exactly ``flips`` flipped ones."""
+    """``(chunk, value, query_id, query_code, bound)``: every value of a chunk, its bits in place, at exactly ``flips`` flipped ones."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            id_, code = _columns(batch, "query_id", "query_code")
+            id_, code, bound = _columns(batch, "query_id", "query_code", "bound")
             for chunk, bits in enumerate(cuts):
                 masks = np.array([_signed(sum(1 << b for b in flipped)) for flipped in combinations(bits, flips)], dtype=np.int64)
                 step = max(1, PAIRS // max(len(masks), 1))
                 for lo in range(0, len(id_) if len(masks) else 0, step):
                     value = ((code[lo : lo + step, None] & _mask(bits)) ^ masks).ravel()
-                    repeated = [pa.array(np.repeat(x[lo : lo + step], len(masks))) for x in (id_, code)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), chunk, np.int32)), pa.array(value), *repeated], names=["chunk", "value", "query_id", "query_code"])
+                    repeated = [pa.array(np.repeat(x[lo : lo + step], len(masks))) for x in (id_, code, bound)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), chunk, np.int32)), pa.array(value), *repeated], names=["chunk", "value", "query_id", "query_code", "bound"])
 
-    return queries.select("query_id", "query_code").mapInArrow(probe, "chunk int, value long, query_id long, query_code long")
+    return queries.select("query_id", "query_code", "bound").mapInArrow(probe, "chunk int, value long, query_id long, query_code long, bound long")
 
 
-def _found_first(xor: np.ndarray, chunk: np.ndarray, cuts: list[range], flips: int) -> np.ndarray:
+def _bounded(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
+    """Queries with ``bound``: no result is farther, as ``k`` codes of a sample of 256 are as near."""
+    sample = [row.code for row in codes.select("code").orderBy(F.xxhash64("code"), "code").limit(max(SAMPLE, k)).collect()]
+    if len(sample) < k:
+        return queries.withColumn("bound", F.lit(BITS).cast("long"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.array(sample, dtype=np.int64)
+        for batch in batches:
+            code, found = _columns(batch, "query_code")[0], np.empty(batch.num_rows, dtype=np.int64)
+            for lo in range(0, len(code), 1_024):
+                apart = np.bitwise_count((code[lo : lo + 1_024, None] ^ known).view(np.uint64))
+                found[lo : lo + 1_024] = np.partition(apart, k - 1, axis=1)[:, k - 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["query_id", "query_code", "bound"])
+
+    return queries.select("query_id", "query_code").mapInArrow(bound, "query_id long, query_code long, bound long")
+
+
+def _found_first(xor: np.ndarray, chunk: int, cuts: list[range], flips: int) -> np.ndarray:
     """Whether no earlier step, and no earlier chunk of this step, has found the code."""
     first = np.ones(len(xor), dtype=bool)
     for other, bits in enumerate(cuts):
         apart = np.bitwise_count((xor & _mask(bits)).view(np.uint64))
-        first &= (other == chunk) | (apart > flips) | ((other > chunk) & (apart == flips))
+        if other == chunk:
+            continue
+        first &= (apart > flips) | ((other > chunk) & (apart == flips))
     return first
 
 
@@ -122,7 +144,7 @@ def _verified(cuts: list[range], flips: int, k: int):
 
         for batch in batches:
             chunk, value, piece, side = _columns(batch, "chunk", "value", "piece", "side")
-            id_, query, code, lowest, n_ids = _columns(batch, "query_id", "query_code", "code", "lowest", "n_ids")
+            id_, query, bound, code, lowest, n_ids = _columns(batch, "query_id", "query_code", "bound", "code", "lowest", "n_ids")
             change = (chunk[1:] != chunk[:-1]) | (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])
             start = np.concatenate([[0], np.flatnonzero(change) + 1, [len(chunk)]]) if len(chunk) else np.zeros(1, dtype=np.int64)
             middle = start[:-1] + np.array([np.count_nonzero(side[a:b] == 0) for a, b in zip(start[:-1], start[1:])], dtype=np.int64)
@@ -131,20 +153,22 @@ def _verified(cuts: list[range], flips: int, k: int):
                 if own != key:
                     key, open_ = own, []
                 if mid > lo:
-                    open_.append((id_[lo:mid].astype(np.int64), query[lo:mid].astype(np.int64)))
+                    open_.append((id_[lo:mid], query[lo:mid], bound[lo:mid]))
                 if hi == mid or not open_:
                     continue
                 if len(open_) > 1:
                     open_ = [tuple(np.concatenate(column) for column in zip(*open_))]
-                ids, queries = open_[0]
+                ids, queries, bounds = open_[0]
                 step = max(1, PAIRS // len(ids))
                 for at in range(mid, hi, step):
-                    entry = code[at : min(at + step, hi)].astype(np.int64)
-                    xor = (queries[:, None] ^ entry).ravel()
-                    kept = np.flatnonzero(_found_first(xor, np.full(len(xor), own[0]), cuts, flips))
-                    if len(kept):
-                        q, e = np.divmod(kept, len(entry))
-                        nearest.add(ids[q], queries[q], entry[e], lowest[at + e].astype(np.int64), n_ids[at + e].astype(np.int64), np.bitwise_count(xor[kept].view(np.uint64)).astype(np.int64))
+                    entry = code[at : min(at + step, hi)]
+                    xor = queries[:, None] ^ entry
+                    apart = np.bitwise_count(xor.view(np.uint64)).astype(np.int64)
+                    q, e = np.nonzero(apart <= bounds[:, None])
+                    first = _found_first(xor[q, e], own[0], cuts, flips)
+                    q, e = q[first], e[first]
+                    if len(q):
+                        nearest.add(ids[q], queries[q], entry[e], lowest[at + e], n_ids[at + e], apart[q, e])
         yield from nearest.batches()
 
     return verify
@@ -154,7 +178,7 @@ def _step(active: DataFrame, index: DataFrame, hot: DataFrame | None, cuts: list
     """What a step finds: probes and index meet in one exchange, a value of very many codes in several pieces."""
     key = ["chunk", "value"]
     probes = _probes(active, cuts, flips).withColumns({"code": F.lit(0).cast("long"), "lowest": F.lit(0).cast("long"), "n_ids": F.lit(0).cast("long"), "side": F.lit(0)})
-    entries = index.select(*key, F.lit(0).cast("long").alias("query_id"), F.lit(0).cast("long").alias("query_code"), "code", "lowest", "n_ids", F.lit(1).alias("side"))
+    entries = index.select(*key, F.lit(0).cast("long").alias("query_id"), F.lit(0).cast("long").alias("query_code"), F.lit(0).cast("long").alias("bound"), "code", "lowest", "n_ids", F.lit(1).alias("side"))
     if hot is None:
         both = probes.unionByName(entries).withColumn("piece", F.lit(0).cast("long"))
     else:
@@ -245,7 +269,7 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int, chunks: int | No
     hot = materialise(index.groupBy("chunk", "value").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ENTRIES).select("chunk", "value", pieces), "hot-values")
     hot = None if hot.isEmpty() else hot
     same = ["query_id", "query_code"]
-    best, active, finished = None, queries, []
+    best, active, finished = None, materialise(_bounded(queries, codes, k), "active"), []
     for flips in range(max(map(len, cuts)) + 1):
         n_active = active.count()
         if not n_active:
@@ -256,9 +280,11 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int, chunks: int | No
         step = _step(active, index, hot, cuts, flips, k)
         best = materialise(_best(step if best is None else step.unionByName(best), k), "nearest")
         state = best.groupBy(*same).agg(F.sum("n_ids").alias("_n"), F.max("distance").alias("_kth"))
-        covered = materialise(state.where((F.col("_n") >= total) & (F.col("_kth") < chunks * (flips + 1))).select(*same), "covered")
+        state = materialise(state.withColumn("_covered", (F.col("_n") >= total) & (F.col("_kth") < chunks * (flips + 1))), "state")
+        covered = state.where("_covered").select(*same)
         finished.append(best.join(covered, same, "left_semi"))
-        active = materialise(active.join(covered, same, "left_anti"), "active")
+        nearer = F.least("bound", F.when(F.col("_n") >= k, F.col("_kth"))).alias("bound")
+        active = materialise(active.join(state, same, "left").where("_covered IS NOT TRUE").select(*same, nearer), "active")
         best = best.join(covered, same, "left_anti")
     if not finished:
         return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("id"), F.lit(0).cast("long").alias("distance")).limit(0)
