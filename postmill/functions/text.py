@@ -93,11 +93,23 @@ def drop_chars(text: Column | str) -> Column:
 
 
 def dedupe_tags(text: Column | str) -> Column:
-    """Keep only the last occurrence of each cash or hash tag, comparing whole tags."""
-    text = _col(text)
-    tags = F.regexp_extract_all(text, F.lit(rf"([$#][{WORD}]++)"), 1)
-    deduped = F.regexp_replace(text, rf"(?s)([$#][{WORD}]++)(?=.*?\1(?![{WORD}]))", "")
-    return F.when(F.size(tags) > F.size(F.array_distinct(tags)), deduped).otherwise(text)
+    """Keep only the last occurrence of each cash or hash tag, comparing whole tags.
+
+    Tags are sorted by name and place, so that each sees whether it is the last of its name, and put back between the
+    pieces they stood in: the time grows with n log n in the number of tags.
+    """
+    text, tag = _col(text), rf"[$#][{WORD}]++"
+    tags = F.regexp_extract_all(text, F.lit(f"({tag})"), 1)
+    placed = F.array_sort(F.transform(tags, lambda t, i: F.struct(t.alias("tag"), i.alias("at"))))
+
+    def kept(by_name: Column) -> Column:
+        """Every tag in place, empty unless it is the last of its name."""
+        last = lambda x, i: ~x["tag"].eqNullSafe(F.get(by_name, i + 1)["tag"])
+        out = F.transform(by_name, lambda x, i: F.struct(x["at"].alias("at"), F.when(last(x, i), x["tag"]).otherwise("").alias("tag")))
+        return F.transform(F.array_sort(out), lambda x: x["tag"])
+
+    pieces = F.zip_with(F.split(text, tag, -1), bind(placed, kept), lambda piece, t: F.concat(piece, F.coalesce(t, F.lit(""))))
+    return F.when(F.size(tags) > F.size(F.array_distinct(tags)), F.array_join(pieces, "")).otherwise(text)
 
 
 def has_meta_words(text: Column | str) -> Column:

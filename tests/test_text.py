@@ -1,5 +1,9 @@
 """Golden rows for the text expressions, worked out by hand."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +120,29 @@ def test_masking_is_idempotent(spark, small):
     once = docs.select(tx.preprocess_text("text").alias("once"))
     twice = once.withColumn("twice", tx.mask_mentions(tx.mask_urls("once")))
     assert twice.where(F.col("once") != F.col("twice")).count() == 0
+
+
+def test_tags_keep_their_last_occurrence(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["$BTC", "#go", "$BTCUSD", "#", "$", " ", "x", "é", "$é", "##go", "\n", "\\\\", "."]) for _ in range(rng.randrange(25))) for _ in range(400)]
+
+    def want(text):
+        tags = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[$#]\w+", text)]
+        last = {tag: start for start, _, tag in tags}
+        for start, end, tag in reversed(tags):
+            if last[tag] != start:
+                text = text[:start] + text[end:]
+        return text
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("out", tx.dedupe_tags("text"))
+    assert all(r.out == want(r.text) for r in df.collect())
+
+
+def test_many_different_tags_take_little_time(spark):
+    text = " ".join(f"#t{i}" for i in range(20_000)) + " #t7"
+    df = spark.createDataFrame([(text,)], "text string")
+    df.select(tx.dedupe_tags("text").alias("out")).collect()
+    started = time.perf_counter()
+    out = df.select(tx.dedupe_tags("text").alias("out")).first().out
+    assert time.perf_counter() - started < 2
+    assert out == text.replace("#t7 ", " ", 1)
