@@ -20,6 +20,8 @@ from postmill.llm.common import materialise
 
 BLOCK = 64
 SALTS = 1_024
+#: Most pools there may be; a schedule has up to one row per pair of pools.
+MAX_POOLS = 256
 OTHERS = "*"
 
 
@@ -68,8 +70,9 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[tuple[
 def mix_sources(df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """All rows of ``df`` with ``mix_pool``, ``mix_block``, ``mix_slot`` and ``mix_position``, gapless from 0.
 
-    ``weights`` are positive whole numbers by source; sources it does not name, and NULL, form one pool with the weight
-    under ``"*"`` (1 if absent). Within a pool rows come in the order of a hash of their id, in blocks of ``block``
+    Every source is a pool of its own, with its release times and deadlines. ``weights`` are positive whole numbers by
+    source; a source it does not name has the weight under ``"*"`` (1 if absent). Rows whose source is NULL form the pool
+    ``"*"``, with rows of a source of that very name. More than 256 pools raise: map sources to fewer. Within a pool rows come in the order of a hash of their id, in blocks of ``block``
     rows; the last block of a pool may be short. Nothing is dropped or repeated: when a pool is used up the others go
     on in the ratio of their weights. Repeated rows are rows like others. An empty table gives an empty result.
 
@@ -83,12 +86,15 @@ def mix_sources(df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id
         raise ValueError("weights must be positive whole numbers")
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = [name for name in weights if name != OTHERS]
-    pool = F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(OTHERS) if named else F.lit(OTHERS)
+    pool = F.coalesce(F.col(source_col).cast("string"), F.lit(OTHERS))
     key = F.xxhash64(F.col(id_col))
     salt = F.pmod(key, F.lit(SALTS)).cast("int")
     counts = materialise(df.select(pool.alias("mix_pool"), salt.alias("_salt")).groupBy("mix_pool", "_salt").agg(F.count("*").alias("_n")), "pool-salts")
-    rows = {r.mix_pool: r.n for r in counts.groupBy("mix_pool").agg(F.sum("_n").alias("n")).collect()}
+    totals = counts.groupBy("mix_pool").agg(F.sum("_n").alias("n")).orderBy("mix_pool")
+    rows = {r.mix_pool: r.n for r in totals.limit(MAX_POOLS + 1).collect()}
+    if len(rows) > MAX_POOLS:
+        raise ValueError(f"more than {MAX_POOLS} sources; map them to fewer before mixing")
+    weights = {name: weights.get(name, weights[OTHERS]) for name in rows}
     plan = phases({name: -(-n // block) for name, n in rows.items()}, weights)
     table = F.broadcast(spark.createDataFrame(plan, "mix_pool string, _first long, _end long, _start long, _period long, _slots array<long>"))
     # A pool's last block is short by some rows; blocks behind it move up by as many.

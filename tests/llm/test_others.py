@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.llm import hamming, html_text, mixing, quality, sharding, warc
-from postmill.llm.common import materialise, salted_rank
+from postmill.llm import hamming, html_text, mixing, quality, queries, sharding, warc
+from postmill.llm.common import materialise, read_table, salted_rank
 from postmill.sources.scratch import scratch_path
 
 
@@ -53,15 +53,80 @@ def test_sharding_only_copies_few_rows_none(spark):
     assert sharded(spark, []) == []
 
 
-def test_granted_moves_keep_the_quota():
+def least_cut(counts, sizes):
+    """Fewest groups that are split, by trying every way to put whole groups into shards."""
+    best = len(counts)
+
+    def place(i, room, split):
+        nonlocal best
+        if split >= best:
+            return
+        if i == len(counts):
+            best = split
+            return
+        for j in {r: j for j, r in enumerate(room) if r >= counts[i]}.values():
+            place(i + 1, [r - counts[i] * (k == j) for k, r in enumerate(room)], split)
+        place(i + 1, room, split + 1)
+
+    place(0, list(sizes), 0)
+    return best
+
+
+def split_groups(out):
+    homes = {}
+    for r in out:
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+    return sum(len(s) > 1 for s in homes.values())
+
+
+@pytest.mark.parametrize(
+    "size, groups, singles, most",
+    [
+        (2, 5_000, 0, 8),  # 16 of 24 shards hold 417 rows, an odd number: 8 pairs have to be cut
+        (100, 100, 0, 4),  # a shard holds four whole groups
+        (5, 1_900, 500, 0),
+        (1, 10_000, 0, 0),
+    ],
+)
+def test_groups_stay_whole_where_they_can(spark, size, groups, singles, most):
+    total = size * groups + singles
+    df = spark.range(total).select(F.col("id").alias("doc_id"), F.when(F.col("id") < size * groups, F.col("id") % groups).otherwise(F.col("id")).cast("string").alias("text"))
+    out = sharding.shard_documents(df, 24).collect()
+    sizes = Counter(r.shard for r in out)
+    assert len({r.id for r in out}) == total == len(out) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert split_groups(out) == most
+
+
+def test_cut_of_small_corpora_against_the_least(spark):
+    rng = random.Random(5)
+    for _ in range(4):
+        counts = [rng.choice([2, 2, 3, 4, 6]) for _ in range(7)]
+        rows = [(100 * g + i, f"group {g}") for g, n in enumerate(counts) for i in range(n)] + [(9_000 + i, f"one {i}") for i in range(5)]
+        out = sharded(spark, rows, 3)
+        sizes = sorted(Counter(r.shard for r in out).values(), reverse=True)
+        assert sizes == [len(rows) // 3 + (i < len(rows) % 3) for i in range(3)]
+        assert split_groups(out) <= least_cut(sorted(counts, reverse=True), sizes) + 1
+
+
+def test_pieces_of_large_groups():
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        asked = rng.integers(0, 9, (5, 5))
-        np.fill_diagonal(asked, 0)
-        room = rng.integers(0, 6, 5)
-        quota = sharding.granted(asked, room)
-        assert (quota <= asked).all()
-        assert (quota.sum(axis=0) - quota.sum(axis=1) <= room).all()
+    for _ in range(300):
+        room = sharding.Quotas(int(rng.integers(20, 90)), 7).sizes()
+        sizes, total = room.copy(), int(room.sum())
+        giants = []
+        while total > room.max() and rng.random() < 0.7:
+            n = int(rng.integers(room.max() + 1, total + 1))
+            giants.append((len(giants), n))
+            total -= n
+        pieces, rests = sharding.fill_whole(giants, room)
+        pieces += sharding.cut(rests, room)
+        assert (room >= 0).all() and room.sum() == total
+        for hub, n in giants:
+            spans = sorted((lo, hi) for h, lo, hi, _ in pieces if h == hub)
+            assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+        assert Counter({j: int(sizes[j] - room[j]) for j in range(7) if sizes[j] > room[j]}) == sum(
+            (Counter({j: hi - lo}) for _, lo, hi, j in pieces), Counter()
+        )
 
 
 def test_period_meets_every_deadline():
@@ -102,7 +167,7 @@ def test_mixing_rows(spark):
     out = mixing.mix_sources(df, {"a": 3, "b": 1}, block=8).orderBy("mix_position").collect()
     assert [r.mix_position for r in out] == list(range(len(rows)))
     assert Counter((r.doc_id, r.source) for r in out) == Counter(rows)
-    assert {r.mix_pool for r in out if r.source in ("c", None)} == {"*"}
+    assert {(r.source, r.mix_pool) for r in out} == {("a", "a"), ("b", "b"), ("c", "c"), (None, "*")}
     assert all(max(Counter((r.mix_pool, r.mix_block) for r in out).values()) <= 8 for _ in [0])
     place = {(r.doc_id, r.source): r.mix_position for r in out}
     files = mixing.mixed_order(df, {"a": 3, "b": 1}, block=8).withColumn("_file", F.spark_partition_id()).collect()
@@ -112,6 +177,26 @@ def test_mixing_rows(spark):
     assert mixing.mix_sources(materialise(df.limit(0), "none"), {"a": 1}).collect() == []
     with pytest.raises(ValueError):
         mixing.mix_sources(df, {"a": 0})
+    with pytest.raises(ValueError):
+        mixing.mix_sources(materialise(spark.range(300).selectExpr("id AS doc_id", "string(id) AS source"), "many"), {})
+
+
+def test_every_source_keeps_its_share_in_every_phase(spark, small):
+    docs = read_table(spark, small, "documents")
+    out = mixing.mix_sources(docs, queries.WEIGHTS).orderBy("mix_position").collect()
+    order = [pool for _, pool in sorted({(r.mix_slot, r.mix_pool) for r in out})]
+    blocks = Counter(order)
+    assert len(blocks) == docs.select("source").distinct().count() and len(order) == max(r.mix_slot for r in out) + 1
+    active, served, left = dict(blocks), Counter(), Counter(blocks)
+    weight = {name: queries.WEIGHTS.get(name, queries.WEIGHTS["*"]) for name in blocks}
+    for at in order:
+        served[at] += 1
+        left[at] -= 1
+        total, slots = sum(weight[k] for k in active), sum(served.values())
+        assert all(abs(served[k] - slots * weight[k] / total) < 1 for k in active)
+        if not left[at]:
+            del active[at]
+            served.clear()
 
 
 def brute_search(rows, queries, k):
