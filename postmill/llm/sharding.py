@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from postmill.llm.common import materialise, salted_rank
 from postmill.sources.scratch import scratch_path
 
-SALTS = 1_024
+#: Rows are numbered in pieces of about so many rows, in 64 pieces at least.
+PIECE_ROWS = 1_000_000
 #: Hubs with this share of all linked rows or more, of which there are at most as many, are joined by broadcast.
 HEAVY = 1_024
 PIECES = "hub long, lo long, hi long, shard int"
@@ -32,6 +33,10 @@ PIECES = "hub long, lo long, hi long, shard int"
 Piece = tuple[int, int, int, int]
 
 
+def salts_of(rows: int) -> int:
+    return max(64, rows // PIECE_ROWS)
+
+
 @dataclass(frozen=True)
 class Quotas:
     """Rows per shard that differ by at most one; the first shards take the rest."""
@@ -125,6 +130,7 @@ def propagate(linked: DataFrame, sizes: np.ndarray) -> tuple[DataFrame, np.ndarr
     folder = scratch_path(spark, "granted")
     rest = spark.createDataFrame([(hub, n, lo, []) for hub, n, lo in rests], "hub long, n long, lo long, homes array<int>")
     asking = hubs.where(F.col("n") <= largest).select("hub", "n", F.lit(0).cast("long").alias("lo"), "homes").unionByName(rest)
+    salts = salts_of(int(room.sum()))
     turn = 0
     while True:
         asked = asking.withColumn("shard", _ask(room, turn))
@@ -137,8 +143,8 @@ def propagate(linked: DataFrame, sizes: np.ndarray) -> tuple[DataFrame, np.ndarr
         moved = grants.groupBy("shard").agg(F.sum(F.col("_fits") * F.col("n")).alias("rows")).collect()
         if not moved:
             break
-        salt = F.pmod(F.xxhash64("hub", F.lit(turn)), F.lit(SALTS)).cast("int")
-        ranked = salted_rank(asked, ["shard", "n"], salt, ["hub"], "_rank", SALTS)
+        salt = F.pmod(F.xxhash64("hub", F.lit(turn)), F.lit(salts)).cast("int")
+        ranked = salted_rank(asked, ["shard", "n"], salt, ["hub"], "_rank", salts)
         decided = ranked.join(grants, ["shard", "n"], "left").withColumn("_granted", F.coalesce(F.col("_rank") < F.col("_fits"), F.lit(False)))
         decided = materialise(decided.select("hub", "n", "lo", "homes", "shard", "_granted"), "decided")
         granted = decided.where("_granted").select("hub", "lo", (F.col("lo") + F.col("n")).alias("hi"), "shard")
@@ -192,7 +198,7 @@ def shard_documents(
         "nodes",
     )
     n_rows = nodes.count()
-    sizes = Quotas(n_rows, shards).sizes()
+    sizes, salts = Quotas(n_rows, shards).sizes(), salts_of(n_rows)
     counts = nodes.groupBy("hub").agg(F.count("*").alias("_n"))
     hubs = materialise(counts.where("_n > 1"), "shared-hubs")
     heavy = hubs.where(F.col("_n") * HEAVY >= n_rows).select("hub")
@@ -200,20 +206,20 @@ def shard_documents(
     marked = materialise(marked, "marked")
     # Rows of a hub agree in all but the id, so a number within the hub tells them apart.
     linked = materialise(
-        salted_rank(marked.where("_linked"), ["hub"], F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), ["id"], "row_key", SALTS),
+        salted_rank(marked.where("_linked"), ["hub"], F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"), ["id"], "row_key", salts),
         "linked",
     )
     homes, free = propagate(linked.select("hub", "row_key"), sizes)
     columns = ["id", "size", "text_crc32", "shard", *given]
     placed = _by_hub(linked, homes, heavy, (F.col("row_key") >= F.col("lo")) & (F.col("row_key") < F.col("hi"))).select(*columns)
     if given:  # salts in the given order, so that ranks follow it
-        salt = F.least(F.floor(F.col("_place") * SALTS / max(n_rows, 1)), F.lit(SALTS - 1)).cast("int")
+        salt = F.least(F.floor(F.col("_place") * salts / max(n_rows, 1)), F.lit(salts - 1)).cast("int")
         place = _in_turn(F.col("_rank"), free)
     else:
-        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
         ends = F.array(*[F.lit(int(x)).cast("long") for x in np.cumsum(free)])
         place = F.size(F.filter(ends, lambda end: end <= F.col("_rank")))
-    others = salted_rank(marked.where("not _linked"), [], salt, [*given, "id", "hub"], "_rank", SALTS)
+    others = salted_rank(marked.where("not _linked"), [], salt, [*given, "id", "hub"], "_rank", salts)
     filled = others.withColumn("shard", place).select(*columns)
     shards_of = materialise(placed.unionByName(filled), "placed")
-    return salted_rank(shards_of, ["shard"], salt, [*given, "id", "text_crc32"], "slot", SALTS).drop(*given)
+    return salted_rank(shards_of, ["shard"], salt, [*given, "id", "text_crc32"], "slot", salts).drop(*given)
