@@ -1,16 +1,16 @@
-"""Text expressions. All are built-in Spark expressions except HTML unescaping.
+"""Text expressions, all of them built-in Spark expressions.
 
 Java's ``\\s``, ``\\w`` and ``\\d`` are ASCII, so the Unicode classes are spelled out here once.
 """
 
 from __future__ import annotations
 
-import html
+import json
+from functools import lru_cache
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from postmill.functions import fixed
 from postmill.functions.bind import bind
@@ -23,19 +23,72 @@ def _col(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
-@F.pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+REPLACEMENT = "\ufffd"
+#: What stands for the codes 0x80 to 0x9F: the character of Windows-1252, or the code itself where that has none.
+C1_CHARS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
 
 
-# Not declared deterministic, or a filter on the decoded text would be pushed down with a second call in it.
-_unescape = _unescape.asNondeterministic()
+@lru_cache(maxsize=1)
+def _entity_tables() -> tuple[str, str]:
+    """Entities by initial and name, as JSON, and a pattern for the names that need no semicolon, longest first."""
+    by_initial: dict[str, dict[str, str]] = {}
+    for name, chars in html5.items():
+        by_initial.setdefault(name[0], {})[name] = chars
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+    return json.dumps(by_initial, ensure_ascii=False), rf"\A(?:{'|'.join(bare)})"
+
+
+def _numbered(name: Column) -> Column:
+    """The character of a numeric reference ``#...``; none for codes that stand for no character."""
+    digits = F.regexp_extract(name, r"\A#0*([0-9]*)", 1)
+    hex_digits = F.regexp_extract(name, r"\A#[xX]0*([0-9a-fA-F]*)", 1)
+    beyond = F.lit(0x110000)
+    decimal = F.when(F.length(digits) > 7, beyond).otherwise(F.concat(F.lit("0"), digits).cast("int"))
+    hexadecimal = F.when(F.length(hex_digits) > 6, beyond).otherwise(F.conv(F.concat(F.lit("0"), hex_digits), 16, 10).cast("int"))
+
+    def char(code: Column) -> Column:
+        control = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+        no_character = control | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+        return (
+            F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), REPLACEMENT)
+            .when(code.between(0x80, 0x9F), F.substr(F.lit(C1_CHARS), code - 0x7F, F.lit(1)))
+            .when(no_character, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
+
+    return bind(F.when(name.rlike(r"\A#[xX]"), hexadecimal).otherwise(decimal), char)
+
+
+def _resolved(reference: Column) -> Column:
+    """The characters of one reference, or the reference itself where it is none.
+
+    A name is looked up whole first; failing that, its longest beginning that is a name without a semicolon counts.
+    """
+    entities, bare = _entity_tables()
+    name = F.substr(reference, F.lit(2))
+
+    def chars(key: Column) -> Column:
+        table = F.from_json(F.lit(entities), "map<string,map<string,string>>")  # folded into the plan
+        return F.try_element_at(F.try_element_at(table, F.substr(key, F.lit(1), F.lit(1))), key)
+
+    begun = F.regexp_extract(name, bare, 0)
+    rest = F.substr(name, F.length(begun) + 1)
+    return (
+        F.when(name.startswith("#"), _numbered(name))
+        .otherwise(F.coalesce(chars(name), F.concat(chars(begun), rest), reference))
+    )
 
 
 def unescape_html(text: Column | str) -> Column:
-    """Decode HTML entities. Texts without ``&`` reach Python as NULL, so they cost no transfer."""
-    text = _col(text)
-    return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
+    """Decode HTML character references as a browser does, in the JVM; texts without ``&`` are passed on."""
+
+    def decoded(t: Column) -> Column:
+        chars = F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), _resolved)
+        pieces = F.zip_with(F.split(t, REFERENCE, -1), chars, lambda piece, c: F.concat(piece, F.coalesce(c, F.lit(""))))
+        return F.when(t.contains("&"), F.array_join(pieces, "")).otherwise(t)
+
+    return bind(_col(text), decoded)
 
 
 def mask_urls(text: Column | str) -> Column:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.functions import text as tx
 from postmill.operators.metrics import accuracy
@@ -26,22 +28,26 @@ Predictor = Callable[[Sequence[str]], Sequence[tuple[str, float]]]
 def score_corpus(df: DataFrame, make_predictor: Callable[[], Predictor], text_col: str = "text", batch_size: int = 32) -> DataFrame:
     """Add ``prediction``, a ``(label, score)`` record per text.
 
-    ``make_predictor`` loads the model once per Python worker task; the predictor it returns gets at most
-    ``batch_size`` texts at a time. Only the text column reaches Python; a NULL text has no prediction.
+    ``make_predictor`` loads the model once per Python worker, which keeps it over its tasks; the predictor it returns
+    gets at most ``batch_size`` texts at a time. Only the text column reaches Python; a NULL text has no prediction.
     """
 
-    @F.pandas_udf("label string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make_predict() -> Callable[[np.ndarray], dict[str, np.ndarray]]:
         predictor = make_predictor()
-        for texts in batches:
-            known = texts[texts.notna()]
-            out = pd.DataFrame({"label": None, "score": None}, index=texts.index)
-            for lo in range(0, len(known), batch_size):
-                part = known.iloc[lo : lo + batch_size]
-                out.loc[part.index, ["label", "score"]] = list(predictor(part.tolist()))
-            yield out.astype({"label": object, "score": float})
-
-    return df.withColumn("prediction", predict(F.col(text_col)))
+
+        def predict(texts: np.ndarray) -> dict[str, np.ndarray]:
+            labels, scores = np.full(len(texts), None, dtype=object), np.full(len(texts), np.nan)
+            known = [i for i, text in enumerate(texts) if text is not None]
+            for i, (label, score) in zip(known, predictor([texts[i] for i in known]) if known else ()):
+                labels[i], scores[i] = label, score
+            return {"label": labels, "score": scores}
+
+        return predict
+
+    schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
+    predicted = predict_batch_udf(make_predict, return_type=schema, batch_size=batch_size)(F.col(text_col))
+    nothing = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("score"))
+    return df.withColumn("prediction", F.when(F.col(text_col).isNotNull(), predicted).otherwise(nothing))
 
 
 def fit_sentiment_baseline(

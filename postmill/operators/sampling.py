@@ -98,12 +98,13 @@ def rank_in_class(df: DataFrame, id_col: str, label_col: str, seed: int) -> Data
     A class may hold most rows, so rows are numbered per class and hash prefix and shifted by the size of the
     lower prefixes; no task sees a whole class.
     """
-    key = seeded_key(id_col, seed)
-    keyed = (
-        df.where(F.col(label_col).isNotNull())
-        .select(id_col, label_col, key.alias("_key"))
-        .withColumn("_bucket", F.substring("_key", 1, CLASS_PREFIX))
-    )
+    keyed = df.where(F.col(label_col).isNotNull()).select(id_col, label_col, seeded_key(id_col, seed).alias("_key"))
+    return number_in_class(keyed, label_col, [id_col]).select(id_col, label_col, "rank")
+
+
+def number_in_class(keyed: DataFrame, label_col: str, ties: Sequence[str]) -> DataFrame:
+    """Add ``rank``, 0-based inside every class in the order of ``_key``, an MD5, and ``ties``."""
+    keyed = keyed.withColumn("_bucket", F.substring("_key", 1, CLASS_PREFIX))
     lower = Window.partitionBy(label_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
         keyed.groupBy(label_col, "_bucket")
@@ -111,10 +112,9 @@ def rank_in_class(df: DataFrame, id_col: str, label_col: str, seed: int) -> Data
         .withColumn("_shift", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
         .drop("_n")
     )
-    inside = F.row_number().over(Window.partitionBy(label_col, "_bucket").orderBy("_key", id_col)) - 1
-    return keyed.withColumn("_inside", inside).join(shift, [label_col, "_bucket"]).select(
-        id_col, label_col, (F.col("_inside") + F.col("_shift")).alias("rank")
-    )
+    inside = F.row_number().over(Window.partitionBy(label_col, "_bucket").orderBy("_key", *ties)) - 1
+    ranked = keyed.withColumn("_inside", inside).join(shift, [label_col, "_bucket"])
+    return ranked.withColumn("rank", F.col("_inside") + F.col("_shift")).drop("_inside", "_shift", "_bucket")
 
 
 def oversample_draws(df: DataFrame, id_col: str, label_col: str = "label", seed: int = 0) -> DataFrame:

@@ -166,6 +166,30 @@ def test_stream_quota_and_failures(spark, tmp_path):
     assert bad == [(0, "over_quota"), (1, "no_posts"), (2, "no_text")]
 
 
+def test_a_hard_quota_is_met_exactly(spark, tmp_path):
+    posts = [f"post number {i}" for i in range(50)]
+    rows = [(0, body(*posts[:30])), (0, body(*posts[30:])), (1, body("a b c", "d e f")), (None, body("g h i", "j k l"))]
+    landed = spark.createDataFrame(rows, ingest.RESPONSES).repartition(3)
+    places = f"{tmp_path}/accepted", f"{tmp_path}/failed"
+
+    def sides():
+        good = sorted(((r.label, r.tweet) for r in ingest.read_accepted(spark, places[0]).collect()), key=str)
+        bad = sorted(((r.label, r.generated, r.reason) for r in ingest.read_failed(spark, places[1]).collect()), key=str)
+        return good, bad
+
+    ingest.write_batch(landed, 0, *places, quota=20, hard_quota=True)
+    good, bad = sides()
+    kept = [t for c, t in good if c == 0]
+    assert len(kept) == 20 and len([1 for c, _ in good if c != 0]) == 4
+    assert sorted(kept + [t for c, t, reason in bad if (c, reason) == (0, "over_quota")]) == sorted(posts)
+    ingest.write_batch(landed, 0, *places, quota=20, hard_quota=True)
+    assert sides() == (good, bad)
+    later = spark.createDataFrame([(0, body("one more post")), (1, body(*posts))], ingest.RESPONSES)
+    ingest.write_batch(later, 1, *places, quota=20, hard_quota=True)
+    counts = {r.label: r["count"] for r in ingest.read_accepted(spark, places[0]).groupBy("label").count().collect()}
+    assert counts == {0: 20, 1: 20, None: 2}
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     land(tmp_path / "landing", "1.json", [(0, body("a b c"))])
     before = drain(spark, tmp_path)

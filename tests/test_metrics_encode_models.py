@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,20 @@ def test_scoring(spark):
     assert {p.label for p in out.values() if p.label} == {"N2", "N1"}
 
 
+def test_a_worker_loads_the_model_once(spark, tmp_path):
+    log = f"{tmp_path}/loads"
+
+    def make_predictor():
+        with open(log, "a") as out:
+            out.write(f"{os.getpid()}\n")
+        return lambda texts: [("N", 1.0) for _ in texts]
+
+    df = spark.createDataFrame([(f"t{i}",) for i in range(64)], "text string").repartition(16)
+    assert models.score_corpus(df, make_predictor, batch_size=2).where("prediction.score = 1").count() == 64
+    loads = open(log).read().split()
+    assert 0 < len(loads) == len(set(loads)) <= 8
+
+
 def test_baseline_learns_obvious_words(spark):
     rows = [(f"{w} thing {i}", c) for c, w in enumerate(["flat", "up", "down"]) for i in range(15)]
     df = spark.createDataFrame(rows, "text string, label int")

@@ -1,8 +1,10 @@
 """Golden rows for the text expressions, worked out by hand."""
 
+import html
 import random
 import re
 import time
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,23 @@ def test_unescapes_entities(spark):
     assert apply(spark, tx.unescape_html, *texts) == ["a & b", "&lt; Aé", None, "plain"]
 
 
+def test_unescapes_as_the_standard_library(spark):
+    names = [f"&{n}{end}" for n in html5 for end in ("", "x", " &", "=")]
+    codes = [*range(0x110), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0x1F680, 0x1FFFF, 0x10FFFD, 0x10FFFF, 0x110000, 10**9, 10**30]
+    numbers = [f"a&#{z}{c}{end}b" for c in codes for z in ("", "00") for end in (";", " ")]
+    numbers += [f"&#{x}{c:X}{end}" for c in codes for x in "xX" for end in (";", "g")]
+    odd = ["&", "&&", "&;", "&#;", "&#x;", "&#xg", "&a", "&notit;", "&notin;", "&ampamp;amp;", "&AMP&amp", "&\U0001f680amp;", "&" + "n" * 40 + ";", "&not" + "x" * 29 + ";", "&\tamp;", "", "&é;&eacute", "&Amp;", "&amp ;"]
+    texts = names + numbers + odd
+    got = apply(spark, tx.unescape_html, *texts)
+    assert [(t, g) for t, g in zip(texts, got) if g != html.unescape(t)] == []
+
+
+def test_masking_stays_in_the_jvm(spark):
+    df = spark.range(3).select(tx.preprocess_text(F.concat(F.lit("a &amp; b"), "id"), cashtags=True).alias("t"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "Scan ExistingRDD" not in plan
+
+
 def test_unescaped_space_ends_a_link(spark):
     assert apply(spark, tx.preprocess_text, "http://x&nbsp;y") == ["[URL] y"]
 
