@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Layout:
-    """``fields``: one role and the paths whose texts it says, per turn. ``turns``: list, role and text field."""
+    """``fields``: one role and the paths whose texts it says, per turn. ``turns``: list, role and text field; with it,
+    ``fields`` are turns before those of the list, left out where they have no text."""
 
     name: str
     paths: tuple[str, ...]
@@ -37,8 +38,9 @@ def _single(name: str, *said: tuple[str, tuple[str, ...]]) -> Layout:
     return Layout(name, tuple(p for _, paths in said for p in paths), fields=said)
 
 
-def _listed(items: str, role: str, text: str) -> Layout:
-    return Layout(items, (f"{items}[].{role}", f"{items}[].{text}"), turns=(items, role, text))
+def _listed(items: str, role: str, text: str, *beside: str, system: str | None = None) -> Layout:
+    said = (("system", (system,)),) if system else ()
+    return Layout("_".join((*beside, items)), (*beside, f"{items}[].{role}", f"{items}[].{text}"), fields=said, turns=(items, role, text))
 
 
 LAYOUTS = (
@@ -50,6 +52,13 @@ LAYOUTS = (
     _single("system_prompt_response", ("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))),
     _listed("messages", "role", "content"),
     _listed("conversations", "from", "value"),
+    # The prompt repeats the first message.
+    _listed("messages", "role", "content", "prompt"),
+    _listed("messages", "role", "content", "prompt", "completion"),
+    _listed("messages", "role", "content", "prompt", "response"),
+    # A system message beside its turns is not among them.
+    _listed("messages", "role", "content", "system", system="system"),
+    _listed("conversations", "from", "value", "system", system="system"),
 )
 #: One row per turn.
 ROWS = Layout("turn_rows", ("conv_id", "turn", "role", "text"))
@@ -85,14 +94,15 @@ def _turn(role: Column, text: Column) -> Column:
 
 def _turns_of(layout: Layout, value, items) -> Column:
     """Canonical turns under ``layout``; ``value(path)`` is a text, ``items(list, role, text)`` an array of both."""
-    if layout.turns:
-        name, role, text = layout.turns
-        return F.transform(items(name, role, text), lambda t: _turn(t[role], t[text]))
     said = []
     for role, paths in layout.fields:
         parts = [F.when(F.coalesce(value(p), F.lit("")) != "", value(p)) for p in paths]
         said.append(_turn(F.lit(role), F.concat_ws("\n\n", *parts)))
-    return F.array(*said)
+    if not layout.turns:
+        return F.array(*said)
+    name, role, text = layout.turns
+    listed = F.transform(F.filter(items(name, role, text), lambda t: t.isNotNull()), lambda t: _turn(t[role], t[text]))
+    return F.concat(F.filter(F.array(*said), lambda t: t["text"] != ""), listed) if said else listed
 
 
 def turns_from_rows(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -113,7 +123,9 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", payload: str | None
     a schema that matches none is an error. With ``payload``, a column of JSON texts, every record is fingerprinted
     by itself and tables may mix layouts.
 
-    A NULL or empty text is an empty turn, a NULL role an empty role. A record whose paths match no declaration, or
+    A NULL or empty text is an empty turn, a NULL role an empty role. A record is known by the fields it has, over all
+    items of its list; fields that are NULL count where the others alone make no layout. An item that is NULL is no turn.
+    A record whose paths match no declaration, or
     that is no JSON, or NULL, keeps its row with layout NULL and no turns. Rows of the ``turn_rows`` layout with
     equal order, role and text are all kept; rows with a NULL conversation id form one conversation with that id.
     Other columns are ignored. An empty table gives an empty result.
@@ -140,10 +152,28 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", payload: str | None
     def items(name: str, role: str, text: str) -> Column:
         return F.try_variant_get(F.col("_record"), f"$.{name}", f"array<struct<`{role}`:string,`{text}`:string>>")
 
-    present = F.array_compact(F.array(*[F.when(value(p).isNotNull(), F.lit(p)) for p in KNOWN_PATHS if p not in ROWS.paths]))
+    known = [p for p in KNOWN_PATHS if p not in ROWS.paths]
+    lists = sorted({layout.turns[0] for layout in LAYOUTS if layout.turns})
+    raw = F.from_json(F.col("_text"), ", ".join(f"`{name}` array<string>" for name in lists))
+
+    def names(name: str) -> Column:
+        """Paths of all fields of all items of a list, NULL ones included."""
+        fields = F.flatten(F.transform(F.col("_lists")[name], lambda item: F.coalesce(F.json_object_keys(item), F.array().cast("array<string>"))))
+        return F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda f: F.concat(F.lit(f"{name}[]."), f))
+
+    def print_of(paths: Column) -> Column:
+        return F.sha2(F.array_join(F.filter(F.array(*[F.lit(p) for p in known]), lambda p: F.array_contains(paths, p)), "\n"), 256)
+
+    listed = F.concat(*[names(name) for name in lists])
+    present = F.concat(F.coalesce(F.json_object_keys("_text"), F.array().cast("array<string>")), listed)
+    filled = F.concat(F.array_compact(F.array(*[F.when(value(p).isNotNull(), F.lit(p)) for p in known if "[]" not in p])), listed)
+    declared = [layout.fingerprint for layout in LAYOUTS]
+    # Fields that are there but NULL count only where the others alone make no layout.
     marked = (
-        df.select(F.col(id_col).alias("conv_id"), record.alias("_record"))
-        .withColumn("_print", F.sha2(F.array_join(present, "\n"), 256))
+        df.select(F.col(id_col).alias("conv_id"), F.col(payload).alias("_text"), record.alias("_record"))
+        .withColumn("_lists", F.when(F.col("_record").isNotNull(), raw))
+        .withColumn("_filled", print_of(filled))
+        .withColumn("_print", F.when(F.col("_filled").isin(declared), F.col("_filled")).otherwise(print_of(present)))
     )
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for layout in LAYOUTS:

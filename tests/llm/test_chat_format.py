@@ -70,6 +70,48 @@ def test_records_of_mixed_layouts(spark):
     }
 
 
+def test_records_with_null_fields(spark):
+    records = [
+        {"messages": [{"role": "user", "content": None}, {"role": "assistant", "content": "a"}]},
+        {"messages": [{"role": "user"}, None, {"role": "assistant", "content": "a"}]},
+        {"prompt": "p", "completion": None},
+        {"prompt": None, "completion": None},
+        {"instruction": None, "input": "i", "output": "o"},
+        {"messages": [{"role": None, "content": "c"}], "prompt": None},
+        {"messages": "no list", "prompt": "p", "completion": "c"},
+        {"messages": []},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = {r.conv_id: (r.layout, [tuple(t) for t in r.turns]) for r in cf.canonical_turns(df, payload="record").collect()}
+    assert got == {
+        0: ("messages", [("user", ""), ("assistant", "a")]),
+        1: ("messages", [("user", ""), ("assistant", "a")]),
+        2: ("prompt_completion", [("user", "p"), ("assistant", "")]),
+        3: ("prompt_completion", [("user", ""), ("assistant", "")]),
+        4: ("instruction_input_output", [("user", "i"), ("assistant", "o")]),
+        5: ("messages", [("", "c")]),
+        6: ("prompt_completion", [("user", "p"), ("assistant", "c")]),
+        7: (None, []),
+    }
+
+
+def test_records_with_two_layouts(spark):
+    said = [{"role": "user", "content": "p"}, {"role": "assistant", "content": "a"}]
+    told = [{"from": "human", "value": "h"}]
+    records = [{"prompt": "p", "messages": said}, {"system": "s", "messages": said}, {"system": "", "messages": said}, {"system": "s", "conversations": told}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = {r.conv_id: (r.layout, [tuple(t) for t in r.turns]) for r in cf.canonical_turns(df, payload="record").collect()}
+    both = [("user", "p"), ("assistant", "a")]
+    assert got == {
+        0: ("prompt_messages", both),
+        1: ("system_messages", [("system", "s"), *both]),
+        2: ("system_messages", both),
+        3: ("system_conversations", [("system", "s"), ("user", "h")]),
+    }
+    table = spark.createDataFrame([(1, "p", [("user", "u")])], "id long, prompt string, messages array<struct<role:string,content:string>>")
+    assert [(r.layout, [tuple(t) for t in r.turns]) for r in cf.canonical_turns(table, "id").collect()] == [("prompt_messages", [("user", "u")])]
+
+
 def test_layout_of_a_table(spark):
     pairs = spark.createDataFrame([(1, "q", None, "x")], "id long, question string, answer string, lang string")
     assert [(r.layout, [tuple(t) for t in r.turns]) for r in cf.canonical_turns(pairs, "id").collect()] == [("question_answer", [("user", "q"), ("assistant", "")])]
