@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import chunks_by_size
 
-BLOCK_CHARS = 131_072  # characters read at once; one longer text is a block of its own
+BLOCK_CHARS = 131_072  # characters read at once; a longer text is read in pieces of about this size
 CHUNK = 64  # characters of a chunk of the boundary machine
 MAX_STATES = 120_000  # states kept between blocks; a block adds at most one per byte
 MAX_PAIRS = 500_000  # pairs of tokens remembered
+_CUT = regex.compile(r"(?<=\p{L})(?=[\x00-\x40])")  # places where a long text may be cut
 
 # Symbols of the boundary machine. White space and apostrophes are told apart by what follows them.
 LETTER, NUMBER, OTHER, SPACE_RUN, SPACE_LAST, BLANK_LAST, CLITIC2, CLITIC3, BREAK, PAD = range(10)
@@ -304,6 +305,26 @@ class TokenMachine:
         out[order] = total
         return out
 
+    def count_long(self, text: str, size: int) -> tuple[int, int]:
+        """UTF-8 bytes and tokens of one text, read in pieces of about ``size`` characters.
+
+        A word always begins where a letter is followed by a character of ASCII that is none, whatever comes before or
+        after, so the pieces between such places have the words of the whole. A run without any is one piece.
+        """
+        parts = [text]
+        for special in self.added:
+            if special in text:
+                parts = [p for part in parts for p in part.split(special)]
+        n_tokens = len(parts) - 1
+        for part in parts:
+            lo = 0
+            while lo < len(part):
+                cut = _CUT.search(part, lo + size)
+                hi = cut.start() if cut else len(part)
+                n_tokens += int(self.count([part[lo:hi]])[1][0])
+                lo = hi
+        return len(text.encode("utf-8", "surrogatepass")), n_tokens
+
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes and tokens of every text of a block."""
         extra = np.zeros(len(texts), dtype=np.int64)
@@ -354,7 +375,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     No begin, end or other tokens are added; the file's own special strings inside a text count as one token each,
     which is the library's default. Rows are neither dropped nor merged, so repeated rows give repeated results. A
     NULL text counts as empty: no bytes, no tokens. Other columns are not read, whatever their names. One narrow
-    pass, no shuffle; memory follows the block size or the longest single text, not the number of rows.
+    pass, no shuffle; memory follows the block size and the length of a text as such, not the number of rows.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +384,10 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes, tokens = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for lo, hi in chunks_by_size(texts, BLOCK_CHARS):
-                sizes[lo:hi], tokens[lo:hi] = own.count(texts[lo:hi])
+                if hi - lo == 1 and len(texts[lo]) > BLOCK_CHARS:
+                    sizes[lo], tokens[lo] = own.count_long(texts[lo], BLOCK_CHARS)
+                else:
+                    sizes[lo:hi], tokens[lo:hi] = own.count(texts[lo:hi])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(tokens)], names=[id_col, "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -29,6 +29,24 @@ def test_hard_cases(library):
     assert sizes.tolist() == [len(t.encode()) for t in texts]
 
 
+def test_long_texts_in_pieces(library):
+    rng = random.Random(5)
+    own = token_counts.machine(PATH)
+    texts = ["".join(rng.choices(SIGNS, k=3_000)) for _ in range(20)]
+    texts += ["it's " * 500, "a<|endoftext|> b" * 300, "漢字。" * 700, "x" * 2_000, " " * 2_000 + "y", "", "don't' re'rest a  b\n\n c" * 90]
+    for text, n in zip(texts, expected(library, texts)):
+        for size in (1, 7, 500):
+            assert own.count_long(text, size) == (len(text.encode()), n)
+
+
+def test_rows_longer_than_a_block(spark, library, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK_CHARS", 1_000)
+    texts = ["some words, and more. " * 400, "short", None, "tail's end " * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, PATH).collect()}
+    assert rows == {i: (len((t or "").encode()), n) for (i, t), n in zip(enumerate(texts), expected(library, [t or "" for t in texts]))}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=SIGNS, max_size=200), min_size=1, max_size=8))
 def test_random_texts(texts):
