@@ -15,7 +15,8 @@ from postmill.llm.common import materialise
 
 WINDOW = 13
 ANCHOR = 3
-BROADCAST_ROWS = 1_000_000  # a larger anchor table is joined as Catalyst sees fit
+BROADCAST_BYTES = 64 << 20  # a larger table of anchors or windows is joined as Catalyst sees fit
+ANCHOR_BYTES = 32  # of a row of the anchor table: length, hash, place and window id
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,8 +58,13 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return found.select(F.xxhash64(F.array_join("window", " ")).alias("window_id"), "window", "items", "k", "anchor.hash", "anchor.place")
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _maybe_broadcast(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
+
+
+def _string_bytes(strings: Column) -> Column:
+    """Bytes of an array of strings in a row, with 16 for the place of each."""
+    return F.aggregate(strings, F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s) + 16)
 
 
 def text_key(text: Column) -> Column:
@@ -69,18 +75,19 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
     """``(key, hits, items)``, a row per distinct document text that holds a window: the places of its hit words from
     0, and the sorted ids of the items found. ``key`` is the MD5 of the text. Runs jobs."""
     windows = materialise(benchmark_windows(benchmark, text_col="text", window=window), "windows")
-    n_windows = windows.count()
+    per_window = _string_bytes(F.col("window")) + _string_bytes(F.col("items"))
+    sizes = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(per_window), F.lit(0)).alias("n_bytes")).first()
     anchors = windows.select("k", "hash", "place", "window_id")
     texts = documents.select(F.col(text_col).alias("text"))
     keyed = texts.select(text_key(F.col("text")).alias("key"), words(F.col("text")).alias("_words"))
     met = None
     for k in sorted(r.k for r in windows.select("k").distinct().collect()) or [ANCHOR]:
         at = keyed.select("key", F.posexplode(runs("_words", k)).alias("at", "hash"))
-        own = _maybe_broadcast(anchors.where(F.col("k") == k).drop("k"), n_windows)
+        own = _maybe_broadcast(anchors.where(F.col("k") == k).drop("k"), sizes.n * ANCHOR_BYTES)
         hit = at.join(own, "hash").where("at >= place").select("key", (F.col("at") - F.col("place")).alias("start"), "window_id")
         met = hit if met is None else met.unionByName(hit)
     candidates = materialise(met.distinct(), "window-candidates")
-    compared = candidates.join(_maybe_broadcast(windows.select("window_id", "window", "items"), n_windows), "window_id")
+    compared = candidates.join(_maybe_broadcast(windows.select("window_id", "window", "items"), sizes.n_bytes), "window_id")
     per_text = compared.groupBy("key").agg(F.collect_list(F.struct("start", "window", "items")).alias("_candidates"))
     # Copies meet before the join: a text held by a third of all rows leaves each task once.
     suspects = (
@@ -129,23 +136,23 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, text_col: s
     """``documents`` without the contaminated rows, or with ``spans`` with all rows and without their hit words.
 
     A removed word takes the characters between it and the word before along. All columns are kept as they are
-    otherwise; rows are treated as in ``scan_documents``.
+    otherwise, whatever their names; rows are treated as in ``scan_documents``.
     """
     found = materialise(contamination(documents, benchmark, text_col, window), "contamination")
-    keyed = documents.withColumn("_key", text_key(F.col(text_col)))
+    # The row goes along as one value, so that no column of it clashes with those made here.
+    keyed = documents.select(F.struct("*").alias("_row"), text_key(F.col(text_col)).alias("_key"))
     hits = found.select(F.col("key").alias("_key"), F.col("hits").alias("_hits"))
-    n_words = F.size(words(F.col(text_col)))
+    text = F.col("_row").getField(text_col)
     if not spans:
         # The keys grow with the corpus, so they are never broadcast: the same plan at every size.
         n_hits = hits.select("_key", F.size("_hits").alias("_n_hit")).hint("merge")
         joined = keyed.join(n_hits, "_key", "left")
-        dirty = is_contaminated(F.coalesce("_n_hit", F.lit(0)), F.when(F.col("_n_hit") > 0, n_words).otherwise(0))
-        return joined.where(~dirty).select(*[documents[c] for c in documents.columns])
-    text = F.col(text_col)
+        dirty = is_contaminated(F.coalesce("_n_hit", F.lit(0)), F.when(F.col("_n_hit") > 0, F.size(words(text))).otherwise(0))
+        return joined.where(~dirty).select("_row.*")
     between = F.split(text, _WORD_ANY_CASE)
     said = F.array_remove(F.split(text, _BETWEEN_ANY_CASE), "")
     kept = F.zip_with(said, F.sequence(F.lit(0), F.size(said) - 1), lambda w, i: F.when(~F.array_contains("_hits", i), F.concat(F.get(between, i), w)))
     rebuilt = F.concat(F.array_join(kept, ""), F.element_at(between, -1))
     joined = keyed.join(hits, "_key", "left")
-    columns = [F.when(F.col("_hits").isNotNull(), rebuilt).otherwise(documents[c]).alias(c) if c == text_col else documents[c] for c in documents.columns]
-    return joined.select(*columns)
+    cleaned = F.when(F.col("_hits").isNotNull(), rebuilt).otherwise(text).alias(text_col)
+    return joined.select(*[cleaned if c == text_col else F.col("_row").getField(c).alias(c) for c in documents.columns])

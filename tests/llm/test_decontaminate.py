@@ -80,3 +80,25 @@ def test_no_python_in_the_plan(spark):
     plan = dc.scan_documents(d, b)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert dc.benchmark_windows(b).select(F.sum("k")).first()[0] == 2
+
+
+def test_clashing_columns_are_kept(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    names = "doc_id long, text string, _key string, _hits int, _n_hit int, _row string, key string"
+    rows = [(1, item, "a", 1, 2, "b", "c"), (2, "clean text", "d", 3, 4, "e", "f"), (2, None, "d", 3, 4, "e", "f")]
+    docs, bench = spark.createDataFrame(rows, names), spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = dc.remove_contamination(docs, bench)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:], key=str)
+    cut = dc.remove_contamination(docs, bench, spans=True)
+    assert cut.schema == docs.schema
+    assert sorted(map(tuple, cut.collect()), key=str) == sorted([(1, "", "a", 1, 2, "b", "c"), *rows[1:]], key=str)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_large_tables_are_not_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", most)
+    seen = []
+    monkeypatch.setattr(F, "broadcast", lambda df: seen.append(1) or df)
+    item = " ".join(f"w{i}" for i in range(20))
+    assert [r[-1] for r in scanned(spark, [(1, item), (2, "other words")], [(1, item)], 13)] == [True, False]
+    assert bool(seen) == bool(most)
