@@ -67,6 +67,9 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[tuple[
     return out
 
 
+MIX_COLUMNS = ("mix_pool", "mix_block", "mix_slot", "mix_position")
+
+
 def mix_sources(df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """All rows of ``df`` with ``mix_pool``, ``mix_block``, ``mix_slot`` and ``mix_position``, gapless from 0.
 
@@ -74,7 +77,8 @@ def mix_sources(df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id
     source; a source it does not name has the weight under ``"*"`` (1 if absent). Rows whose source is NULL form the pool
     ``"*"``, with rows of a source of that very name. More than 256 pools raise: map sources to fewer. Within a pool rows come in the order of a hash of their id, in blocks of ``block``
     rows; the last block of a pool may be short. Nothing is dropped or repeated: when a pool is used up the others go
-    on in the ratio of their weights. Repeated rows are rows like others. An empty table gives an empty result.
+    on in the ratio of their weights. Repeated rows are rows like others. Columns of ``df`` of the four names above are
+    replaced, others kept whatever their names. An empty table gives an empty result.
 
     The first pass counts the rows of every pool and salt, of which there are 1,024 per pool. From the counts follows
     where each salt begins in the schedule, so the second pass moves every row once, to the partition of its place, and
@@ -120,11 +124,14 @@ def mix_sources(df: DataFrame, weights: Mapping[str, int], id_col: str = "doc_id
     starts = counts.select("mix_pool", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rank"))
     part = F.floor(F.col("mix_position") * parts / max(sum(rows.values()), 1)).cast("int")
     starts = placed(starts).select("mix_pool", "_salt", F.col("_rank").alias("_before"), part.alias("_part"))
-    salted = df.withColumns({"mix_pool": pool, "_salt": salt, "_key": key}).join(F.broadcast(starts), ["mix_pool", "_salt"])
-    within = Window.partitionBy("_part", "mix_pool", "_salt").orderBy("_key", id_col)
+    # The row goes along as one value, so that no column of it clashes with those made here.
+    row = F.struct(*[c for c in df.columns if c not in MIX_COLUMNS]).alias("_row")
+    packed = df.select(row, F.col(id_col).alias("_id"), pool.alias("mix_pool"), salt.alias("_salt"), key.alias("_key"))
+    salted = packed.join(F.broadcast(starts), ["mix_pool", "_salt"])
+    within = Window.partitionBy("_part", "mix_pool", "_salt").orderBy("_key", "_id")
     moved = salted.repartitionById(parts, F.col("_part"))
     ranked = moved.withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1)
-    return placed(ranked).select(*[F.col(c) for c in df.columns], "mix_pool", "mix_block", "mix_slot", "mix_position")
+    return placed(ranked).select("_row.*", *MIX_COLUMNS)
 
 
 def mixed_order(df: DataFrame, weights: Mapping[str, int], **options) -> DataFrame:
@@ -133,4 +140,4 @@ def mixed_order(df: DataFrame, weights: Mapping[str, int], **options) -> DataFra
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.floor(F.col("mix_position") * parts / max(df.count(), 1)).cast("int")
     placed = mix_sources(df, weights, **options).repartitionById(parts, part)
-    return placed.sortWithinPartitions("mix_position").select(*df.columns)
+    return placed.sortWithinPartitions("mix_position").select(*[c for c in df.columns if c not in MIX_COLUMNS])

@@ -264,21 +264,21 @@ def keep_one(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col:
     one with the smallest text. ``groups`` is the written result of ``simhash_groups`` for the same columns and width.
 
     A row is known by its id where the id occurs once; rows of repeated ids, NULL among them, get their fingerprint
-    again and are known by both.
+    again and are known by both. All columns are kept, whatever their names.
     """
     names = F.col("id").eqNullSafe(F.col("component_id"))
     ids = groups.groupBy("id").agg(F.count("*").alias("_n"), F.max(names).alias("_names")).where("_names")
     ids = materialise(ids.select(F.col("id").alias("_kept"), "_n"), "kept")
     # The ids grow with the corpus, so they are never broadcast: the same plan at every size.
     once = ids.where(F.col("_n") == 1).select("_kept").hint("merge")
-    single = df.join(once, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    # The row goes along as one value, so that no column of it clashes with those made here.
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    single = rows.join(once, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")
     again = ids.where(F.col("_n") > 1).select("_kept").hint("merge")
     named = groups.where(names).groupBy("component", "id").agg(F.min("fingerprint").alias("_code"))
     named = named.join(again, F.col("id").eqNullSafe(F.col("_kept")), "left_semi").select(F.col("id").alias("_kept"), "_code")
-    code = fingerprint_of(F.coalesce(F.col(text_col), F.lit("")), width)
-    repeated = df.join(again, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").withColumn("_own", code)
-    same = F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_code"))
-    chosen = repeated.join(named.hint("merge"), same, "left_semi").groupBy(id_col, "_own")
-    rest = [c for c in df.columns if c not in (id_col, text_col)]
-    row = chosen.agg(F.min(F.struct(text_col, *rest)).alias("_row"))
-    return single.unionByName(row.select(id_col, "_row.*").select(*df.columns))
+    repeated = rows.join(again, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").withColumn("_own", fingerprint_of(F.col("_text"), width))
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_code"))
+    chosen = repeated.join(named.hint("merge"), same, "left_semi").groupBy("_id", "_own")
+    first = chosen.agg(F.min(F.struct(F.col("_row").getField(text_col).alias("_text"), "_row")).alias("_first"))
+    return single.unionByName(first.select("_first._row.*"))

@@ -283,6 +283,17 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    names = "doc_id long, source string, _salt int, _key long, _rank long, _part int, _row string, _id int, _before int, mix_position string"
+    rows = [(i, "ab"[i % 2], 1, 2, 3, 4, "r", 5, 6, "old") for i in range(20)]
+    df = spark.createDataFrame(rows, names)
+    out = mixing.mix_sources(df, {"a": 1, "b": 1}, block=2)
+    assert out.columns == [*df.columns[:-1], *mixing.MIX_COLUMNS]
+    got = out.collect()
+    assert sorted(tuple(r)[:9] for r in got) == [r[:9] for r in rows]
+    assert sorted(r.mix_position for r in got) == list(range(20))
+
+
 def test_extracted_rows(spark):
     df = spark.createDataFrame([(1, "<p>a</p>", "old"), (1, "<p>a</p>", "old"), (2, None, "old")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(df).collect()) == [(1, "a"), (1, "a"), (2, "")]

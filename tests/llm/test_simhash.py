@@ -124,3 +124,12 @@ def test_one_row_of_each_component_is_kept(spark):
     want = [(None, a), (None, b), (7, c), (7, d), (2, e), (9, f), (12, None)]
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
     assert simhash.keep_one(df.limit(0), materialise(simhash.simhash_groups(df.limit(0)), "none")).collect() == []
+
+
+def test_clashing_columns_are_kept(spark):
+    names = "doc_id long, text string, _kept long, _own long, _code long, _n int, _row string, _id string, _text string, component_id long"
+    extra = (1, 2, 3, 4, "r", "i", "t", 5)
+    rows = [(1, "a b c d e", *extra), (2, "a b c d e", *extra), (3, "x y z", *extra), (3, "u v w p q r", *extra)]
+    df = spark.createDataFrame(rows, names)
+    kept = simhash.keep_one(df, materialise(simhash.simhash_groups(df), "groups"))
+    assert kept.schema == df.schema and sorted(map(tuple, kept.collect())) == sorted([rows[0], *rows[2:]])
