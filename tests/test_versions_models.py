@@ -94,3 +94,24 @@ def test_the_best_candidate_is_chosen(spark, tmp_path, monkeypatch):
     assert {r.predicted for r in scored.collect()} == {1}
     with pytest.raises(ValueError):
         models.choose_baseline(train, validation, [], str(tmp_path / "c"))
+
+
+def test_texts_are_cut_into_words_once_for_all_candidates(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    def watched(df):
+        return df.withColumn("text", F.udf(read, "string")("text"))
+
+    train, validation = posts(spark, 40), posts(spark, 10)
+    grid = [{"features": 64, "max_iter": 3}, {"features": 128, "max_iter": 5}, {"features": 128, "max_iter": 5, "regularisation": 0.1}]
+    chosen = models.choose_baseline(watched(train.where("text IS NOT NULL")), watched(validation), grid, str(tmp_path / "c"))
+    # Every row at most once more than it is cut: filters and the words may read the text separately.
+    assert seen.value <= 2 * (41 + 12)
+    for candidate, share in zip(grid, chosen.accuracies):
+        model = models.fit_sentiment_baseline(train, **candidate)
+        scored = models.predict_baseline(model, validation).where("label IS NOT NULL")
+        assert share == scored.where("label = predicted").count() / scored.count()
