@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.operators.components import connected_components
-from postmill.sources.scratch import materialise
+from postmill.sources.scratch import materialise, small_batches
 
 WINDOW_BYTES = 1 << 24  # rows a task gathers before it searches
 
@@ -86,7 +86,8 @@ def _searched(dealt: DataFrame, key: str, find, schema: str, name: str) -> DataF
     tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in dealt.columns if c not in (key, "piece")]
     met = dealt.repartition(tasks, key, "piece").sortWithinPartitions(key, "piece", "name").select(key, "piece", *rest)
-    return materialise(met.mapInArrow(find, schema), name)
+    with small_batches(dealt.sparkSession):
+        return materialise(met.mapInArrow(find, schema), name)
 
 
 def spanning_links(rows: DataFrame, key: str, fill: Column, columns: list[str], find, more: str = "") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators.components import connected_components
 from postmill.operators.forests import link_members, named_links, spanning_links, whole_groups
-from postmill.sources.scratch import materialise
+from postmill.sources.scratch import materialise, small_batches
 
 COUNTERS = 1 << 18  # hash values whose frequencies are counted: 2 MB, whatever the vocabulary
 BITS = 512  # of a bitmap in a bucket
@@ -31,7 +31,7 @@ FINE_BITS = 4_096  # of one in a family, made where it is needed
 BUCKET_ROWS = 4_096
 FAMILY_ROWS = 512
 FAMILY_BYTES = 1 << 25
-COMPARED = 1 << 22  # tokens looked up at once
+COMPARED = 1 << 20  # tokens looked up at once
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,7 +60,8 @@ def token_frequencies(sets: DataFrame) -> np.ndarray:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["counter", "n"])
 
-    found = sets.select("hashes").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(sets.sparkSession):
+        found = sets.select("hashes").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, dtype=np.int64)
     out[found.column("counter").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -181,7 +182,8 @@ def similar_sets(sets: DataFrame, threshold: float, keys: DataFrame | None = Non
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    indexed = materialise(index_sets(sets, threshold, keys is None), "indexed-sets")
+    with small_batches(sets.sparkSession):
+        indexed = materialise(index_sets(sets, threshold, keys is None), "indexed-sets")
     every = indexed.select("name", F.explode("keys").alias("key")) if keys is None else keys
     shared = materialise(every.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "shared-keys")
     hits = materialise(every.join(shared, "key", "left_semi"), "hits").join(indexed.select("name", "size", "bitmap"), "name")

@@ -7,10 +7,14 @@ checkpoint it is columnar: later passes that need only ids do not read the texts
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH = "spark.postmill.scratch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 23
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,6 +40,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside send rows to Python in Arrow batches of about ``BATCH_BYTES`` or fewer, whatever their number, so that
+    a worker's memory does not follow the sizes of rows and partitions; a lower limit of the session stays."""
+    before = spark.conf.get(ARROW_BYTES)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(ARROW_BYTES, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """The Hadoop file system and path object for ``path``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.operators import neardup, setjoin
+from postmill.sources import scratch
 
 
 def brute(texts, threshold):
@@ -112,3 +113,32 @@ def test_classes_and_prefixes_miss_no_pair(threshold):
 def test_thresholds_out_of_range(spark):
     with pytest.raises(ValueError):
         setjoin.similar_sets(spark.range(1).select(F.col("id").alias("name"), F.array("id").alias("hashes")), 0.0)
+
+
+def test_python_gets_small_batches(spark, tmp_path, monkeypatch):
+    """2,000 sets of 2,000 tokens in one partition, 32 MB, of which 50 are linked with another."""
+    log, limit = f"{tmp_path}/sizes", spark.conf.get(scratch.ARROW_BYTES)
+    owner = next(c for c in type(spark.range(1)).__mro__ if "mapInArrow" in vars(c))
+    plain = owner.mapInArrow
+
+    def watched(self, function, schema, *args, **kwargs):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    with open(log, "a") as out:
+                        out.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return function(each())
+
+        return plain(self, run, schema, *args, **kwargs)
+
+    monkeypatch.setattr(owner, "mapInArrow", watched)
+    own = F.when(F.col("id") < 50, F.col("id") + 50).otherwise(F.col("id"))
+    token = lambda i: F.xxhash64(F.when(i < 1, F.col("id")).otherwise(own), i)
+    sets = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("name"), F.transform(F.sequence(F.lit(0), F.lit(1_999)), token).alias("hashes"))
+    links = setjoin.similar_sets(sets, 0.95).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in links} == {(i, i + 50) for i in range(50)}
+    sizes = [int(x) for x in open(log)]
+    assert sum(sizes) > 60_000_000 and max(sizes) < 1.2 * scratch.BATCH_BYTES
+    assert spark.conf.get(scratch.ARROW_BYTES) == limit
