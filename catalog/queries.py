@@ -517,7 +517,7 @@ def curate_synthetic(spark, d):
 @query
 def curate_incremental(spark, d):
     """The same posts in three batches and the human texts in two, one of them late."""
-    posts = src.tweets(spark, d)
+    posts = materialise(src.tweets(spark, d), "tweets")
     human = posts.where(src.is_human()).select("doc_id", "tweet")
     made = posts.where(~src.is_human()).select("doc_id", "tweet", "sentiment").withColumn("sentiment", lb.decode_labels("sentiment"))
     kept = curation.Curation(spark, scratch_path(spark, "curation"), "doc_id")

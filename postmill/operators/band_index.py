@@ -60,11 +60,15 @@ class BandIndex:
         into = connected_components(merges, "label", "into").select(F.col("id").alias("label"), "component")
         return labels.join(into, "label", "left").select("name", F.coalesce("component", "label").alias("group"))
 
-    def add(self, texts: DataFrame, batch: int, text_col: str = "text") -> int:
-        """Add the texts of a batch and return how many were signed. NULL texts are left out, repeated ones count once."""
+    def add(self, texts: DataFrame, batch: int, text_col: str = "text", name_col: str | None = None) -> int:
+        """Add the texts of a batch and return how many were signed. NULL texts are left out, repeated ones count once.
+
+        ``name_col`` holds their ``text_name``, if that is stored already.
+        """
         if any(b > batch for b in self.batches()):
             raise ValueError(f"batch {batch} comes before a finished one")
-        named = texts.where(F.col(text_col).isNotNull()).select(text_name(text_col).alias("name"), F.col(text_col).alias("text"))
+        name = F.col(name_col) if name_col else text_name(text_col)
+        named = texts.where(F.col(text_col).isNotNull()).select(name.alias("name"), F.col(text_col).alias("text"))
         stored = self.table("bands", batch)
         fresh = named.dropDuplicates(["name"]).join(stored.select("name").distinct(), "name", "left_anti")
         signed = minhash.band_keys(fresh, "name", self.bands, self.rows, "text", self.num_perm)

@@ -57,7 +57,7 @@ class Curation:
         cleaned = drop_missing(posts.withColumn("sentiment", F.col("sentiment").cast("int")), ["tweet", "sentiment"])
         cleaned.withColumn("_name", text_name("tweet")).write.mode("overwrite").parquet(f"{self.path}/posts/batch={batch}")
         written = self.spark.read.parquet(f"{self.path}/posts/batch={batch}")
-        return self.ours.add(written.select("tweet"), batch, "tweet")
+        return self.ours.add(written.select("tweet", "_name"), batch, "tweet", "_name")
 
     def add_human(self, texts: DataFrame, batch: int) -> int:
         """Add human texts ``(tweet, ...)`` that posts must not come near to. Returns how many were signed."""

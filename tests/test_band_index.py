@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import queries
 from postmill.operators import neardup
 from postmill.operators.band_index import BandIndex, text_name
 from postmill.plans.curation import Curation, curate_synthetic
@@ -77,3 +78,21 @@ def test_curation_in_batches_equals_curation_at_once(spark, tmp_path, monkeypatc
         kept.add_human(human.where(F.col("id") % 3 == batch), batch)
     assert sorted(tuple(r) for r in kept.result().collect()) == want and 0 < len(want) < 120
     assert signed == len({t for _, t, label in rows if t is not None and label is not None})
+
+
+def test_the_query_joins_its_posts_once(spark, tmp_path, monkeypatch):
+    n = 60
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("post number "), F.col("id") % 50).alias("text"), F.concat(F.lit("src"), F.col("id") % 20).alias("source"), F.lit("en").alias("lang"), F.lit(14).alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    seen, tweets = spark.sparkContext.accumulator(0), queries.src.tweets
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(queries.src, "tweets", lambda *a: tweets(*a).withColumn("tweet", F.udf(read, "string")("tweet")))
+    kept = {r.doc_id for r in queries.curate_incremental(spark, str(tmp_path)).collect()}
+    assert seen.value == n, "every post is made once, not once for each batch"
+    monkeypatch.undo()
+    assert kept == {r.doc_id for r in queries.curate_synthetic(spark, str(tmp_path)).collect()}
