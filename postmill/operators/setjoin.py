@@ -14,6 +14,7 @@ meet once and are compared exactly.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, starmap
 from math import ceil, log
 
 import numpy as np
@@ -46,6 +47,17 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
 
 
+def _numbers(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of every chunk its binary values as 64-bit numbers, one after another where they lie, and the places where they
+    begin, and the end."""
+    for chunk in column.chunks:
+        if len(chunk):
+            chunk = chunk.cast(pa.large_binary())
+            _, ends, data = chunk.buffers()
+            ends = np.frombuffer(ends, dtype=np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+            yield np.frombuffer(data, dtype=np.uint64, count=(ends[-1] - ends[0]) // 8, offset=ends[0]), (ends - ends[0]) // 8
+
+
 def _counter(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(COUNTERS)).astype(np.int64)
 
@@ -94,22 +106,26 @@ def index_sets(sets: DataFrame, threshold: float, prefixes: bool = True) -> Data
         own = length_class(len(hashes), threshold)
         return np.concatenate([(first + np.uint64(c)) * _SPREAD for c in (own, own + 1)])
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, ends = _lists(batch.column(1))
-            own = [np.sort(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            keys = [np.unique(keys_of(h)).view(np.int64) if prefixes else np.empty(0, dtype=np.int64) for h in own]
-            columns = [
-                batch.column(0),
-                pa.array(np.diff(ends), pa.int64()),
-                pa.array(keys, pa.list_(pa.int64())),
-                pa.array([bitmap(h, BITS).tobytes() for h in own], pa.binary()),
-                pa.array([h.tobytes() for h in own], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["name", "size", "keys", "bitmap", "hashes"])
+    def index(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat, ends = _lists(batch.column(1))
+        flat = flat.copy()  # sorted in place, and sent as it is
+        own = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        for hashes in own:
+            hashes.sort()
+        keys = [np.unique(keys_of(h)).view(np.int64) if prefixes else np.empty(0, dtype=np.int64) for h in own]
+        places = pa.array(ends * flat.itemsize, pa.int32()).buffers()[1]
+        columns = [
+            batch.column(0),
+            pa.array(np.diff(ends), pa.int64()),
+            pa.array(keys, pa.list_(pa.int64())),
+            pa.array([bitmap(h, BITS).tobytes() for h in own], pa.binary()),
+            pa.Array.from_buffers(pa.binary(), len(own), [None, places, pa.py_buffer(flat)]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["name", "size", "keys", "bitmap", "hashes"])
 
     kind = sets.schema["name"].dataType.simpleString()
-    return sets.select("name", "hashes").mapInArrow(index, f"name {kind}, size long, keys array<long>, bitmap binary, hashes binary")
+    # No batch is held while the next one is read.
+    return sets.select("name", "hashes").mapInArrow(lambda batches: map(index, batches), f"name {kind}, size long, keys array<long>, bitmap binary, hashes binary")
 
 
 def _possible(maps: np.ndarray, sizes: np.ndarray, threshold: float) -> Callable[[int | np.ndarray, np.ndarray], np.ndarray]:
@@ -125,53 +141,56 @@ def _possible(maps: np.ndarray, sizes: np.ndarray, threshold: float) -> Callable
     return possible
 
 
+def _by_groups(links: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]):
+    """``links`` of the tables of ``whole_groups``, none of which is held while the next one is gathered."""
+    return lambda batches: chain.from_iterable(starmap(links, whole_groups(batches)))
+
+
 def _bucket_links(threshold: float):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, start in whole_groups(batches):
-            maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
-            possible = _possible(maps, table.column("size").to_numpy(), threshold)
-            # Most buckets hold sets like their first one: all are compared with it at once.
-            like_first = possible(np.repeat(start[:-1], np.diff(start)), np.arange(table.num_rows)) & table.column("label").is_null().to_numpy()
-            for lo, hi in zip(start[:-1].tolist(), start[1:].tolist()):
-                if like_first[lo:hi].all():
-                    yield named_links(table, np.full(hi - lo - 1, lo), np.arange(lo + 1, hi))
-                    continue
-                near = lambda one, others, lo=lo: others[possible(lo + one, lo + others)]
-                a, b = link_members(table.slice(lo, hi - lo), near)
-                if len(a):
-                    yield named_links(table, lo + a, lo + b)
-
-    return find
+    def links(table: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        maps = np.concatenate([flat for flat, _ in _numbers(table.column("bitmap"))]).reshape(table.num_rows, -1)
+        possible = _possible(maps, table.column("size").to_numpy(), threshold)
+        # Most buckets hold sets like their first one: all are compared with it at once.
+        like_first = possible(np.repeat(start[:-1], np.diff(start)), np.arange(table.num_rows)) & table.column("label").is_null().to_numpy()
+        for lo, hi in zip(start[:-1].tolist(), start[1:].tolist()):
+            if like_first[lo:hi].all():
+                yield named_links(table, np.full(hi - lo - 1, lo), np.arange(lo + 1, hi))
+                continue
+            near = lambda one, others, lo=lo: others[possible(lo + one, lo + others)]
+            a, b = link_members(table.slice(lo, hi - lo), near)
+            if len(a):
+                yield named_links(table, lo + a, lo + b)
+
+    return _by_groups(links)
 
 
 def _family_links(threshold: float):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, start in whole_groups(batches):
-            for lo, hi in zip(start[:-1].tolist(), start[1:].tolist()):
-                rows = table.slice(lo, hi - lo)
-                sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("hashes").to_pylist()]
-                sizes, found = np.array([len(x) for x in sets]), {}
-                possible = _possible(np.stack([bitmap(x, FINE_BITS) for x in sets]), sizes, threshold)
-
-                def near(one: int, others: np.ndarray) -> np.ndarray:
-                    others, mine, kept = others[possible(one, others)], sets[one], []
-                    step = max(1, COMPARED // max(int(sizes[others].max(initial=1)), 1))
-                    for at in range(0, len(others), step):
-                        few = others[at : at + step]
-                        flat = np.concatenate([sets[i] for i in few])
-                        place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-                        both = np.add.reduceat(mine[place] == flat, np.append(0, np.cumsum(sizes[few])[:-1]), dtype=np.int64)
-                        similarity = both / (len(mine) + sizes[few] - both)
-                        alike = similarity >= threshold
-                        found.update(((one, int(i)), s) for i, s in zip(few[alike], similarity[alike]))
-                        kept.append(few[alike])
-                    return np.concatenate(kept) if kept else others
-
-                a, b = link_members(rows, near)
-                if len(a):
-                    yield named_links(rows, a, b, jaccard=np.array([found[pair] for pair in zip(a.tolist(), b.tolist())]))
-
-    return find
+    def links(table: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo, hi in zip(start[:-1].tolist(), start[1:].tolist()):
+            rows = table.slice(lo, hi - lo)
+            sets = [flat[a:b] for flat, ends in _numbers(rows.column("hashes")) for a, b in zip(ends[:-1], ends[1:])]
+            sizes, found = np.array([len(x) for x in sets]), {}
+            possible = _possible(np.stack([bitmap(x, FINE_BITS) for x in sets]), sizes, threshold)
+
+            def near(one: int, others: np.ndarray) -> np.ndarray:
+                others, mine, kept = others[possible(one, others)], sets[one], []
+                step = max(1, COMPARED // max(int(sizes[others].max(initial=1)), 1))
+                for at in range(0, len(others), step):
+                    few = others[at : at + step]
+                    flat = np.concatenate([sets[i] for i in few])
+                    place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                    both = np.add.reduceat(mine[place] == flat, np.append(0, np.cumsum(sizes[few])[:-1]), dtype=np.int64)
+                    similarity = both / (len(mine) + sizes[few] - both)
+                    alike = similarity >= threshold
+                    found.update(((one, int(i)), s) for i, s in zip(few[alike], similarity[alike]))
+                    kept.append(few[alike])
+                return np.concatenate(kept) if kept else others
+
+            a, b = link_members(rows, near)
+            if len(a):
+                yield named_links(rows, a, b, jaccard=np.array([found[pair] for pair in zip(a.tolist(), b.tolist())]))
+
+    return _by_groups(links)
 
 
 def similar_sets(sets: DataFrame, threshold: float, keys: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -142,3 +143,29 @@ def test_python_gets_small_batches(spark, tmp_path, monkeypatch):
     sizes = [int(x) for x in open(log)]
     assert sum(sizes) > 60_000_000 and max(sizes) < 1.2 * scratch.BATCH_BYTES
     assert spark.conf.get(scratch.ARROW_BYTES) == limit
+
+
+def test_python_holds_few_copies(spark, tmp_path, monkeypatch):
+    """400 sets of 10,000 tokens in one partition, 32 MB, all of which are linked with another: a task holds a batch and
+    what it makes of it, no further copies, and nothing of those before."""
+    log = f"{tmp_path}/peaks"
+    owner = next(c for c in type(spark.range(1)).__mro__ if "mapInArrow" in vars(c))
+    plain = owner.mapInArrow
+
+    def watched(self, function, schema, *args, **kwargs):
+        def run(batches):
+            tracemalloc.start()
+            yield from function(batches)
+            with open(log, "a") as out:
+                out.write(f"{tracemalloc.get_traced_memory()[1]}\n")
+            tracemalloc.stop()
+
+        return plain(self, run, schema, *args, **kwargs)
+
+    monkeypatch.setattr(owner, "mapInArrow", watched)
+    token = lambda i: F.xxhash64(F.when(i < 1, F.col("id")).otherwise(F.floor(F.col("id") / 2)), i)
+    sets = spark.range(0, 400, 1, 1).select(F.col("id").alias("name"), F.transform(F.sequence(F.lit(0), F.lit(9_999)), token).alias("hashes"))
+    links = setjoin.similar_sets(sets, 0.95).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in links} == {(i, i + 1) for i in range(0, 400, 2)}
+    peaks = [int(x) for x in open(log)]
+    assert len(peaks) >= 4 and max(peaks) < 5 * scratch.BATCH_BYTES
